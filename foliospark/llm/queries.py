@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, url_filter
+from . import decontaminate, line_dedup, packing, simhash, url_filter
 from .common import table
 
 
@@ -20,6 +20,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_simhash_near_dedup": _documents(simhash.query_near_dedup),
+    "op3_best_fit_packing": _documents(packing.best_fit_pack),
     "op5_line_dedup": _documents(line_dedup.query),
     "op6_url_filter": url_filter.query,
 }
