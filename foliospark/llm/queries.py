@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, simhash, url_filter
+from . import class_lm, decontaminate, fingerprints, language_id, line_dedup, packing, quality, repeats, simhash, url_filter
 from .common import table
 
 
@@ -18,16 +18,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash_near_dedup": _documents(simhash.query_near_dedup),
     "op3_best_fit_packing": _documents(packing.best_fit_pack),
+    "op4_class_lm": _documents(class_lm.query),
     "op5_line_dedup": _documents(line_dedup.query),
     "op6_url_filter": url_filter.query,
+    "op7_fingerprints": _documents(fingerprints.query),
+    "op8_suffix_array_dedup": _documents(repeats.query),
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": _documents(language_id.query),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op8_suffix_array_dedup": repeats.SQL,
 }
