@@ -1,4 +1,4 @@
-"""Every registered query of the engine, with its SQL."""
+"""Every registered query of the engine: a function (spark, sf_dir) -> DataFrame, and the same in SQL where that can express it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from .registered import company, core, parsing, signals, streams, vectors
+
+FLAGSHIP = "emerging_combinations"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (parsing, core, company, signals, vectors, streams):
+    QUERIES |= _part.REG.queries
+    ORACLE_SQL |= _part.REG.sql
