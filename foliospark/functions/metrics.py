@@ -118,19 +118,19 @@ def growth_ladder(counts: DataFrame, keys: list[str], recent: int = 3, year_max:
     r, y = F.col("_i") < recent, F.col(value).cast("double")
     k = F.least(F.max(F.col("_z") - F.col("_a")) + 1, F.lit(recent))
     a = d.groupBy(*keys).agg(
-        (F.max(F.col("_z") - F.col("_a")) + 1).alias("len"), k.alias("k"),
-        F.sum(F.when(F.col("_i") == F.least(F.col("_z") - F.col("_a"), F.lit(recent - 1)), y)).alias("first"), F.sum(F.when(F.col("_i") == 0, y)).alias("last"),
-        F.regr_slope(F.when(r, y), F.when(r, -F.col("_i").cast("double"))).alias("slope"), F.avg(F.when(r, y)).alias("mean"), F.sum(F.when(r, y)).alias("cur"),
-        F.sum(F.when((F.col("_i") >= recent) & (F.col("_i") < 2 * recent), y)).alias("prev"),
-        F.regr_slope(F.when(r, F.log1p(y)), F.when(r, -F.col("_i").cast("double"))).alias("log_slope"), F.regr_slope(F.log1p(y), -F.col("_i").cast("double")).alias("log_all"),
+        (F.max(F.col("_z") - F.col("_a")) + 1).alias("_g_len"), k.alias("_g_k"),
+        F.sum(F.when(F.col("_i") == F.least(F.col("_z") - F.col("_a"), F.lit(recent - 1)), y)).alias("_g_first"), F.sum(F.when(F.col("_i") == 0, y)).alias("_g_last"),
+        F.regr_slope(F.when(r, y), F.when(r, -F.col("_i").cast("double"))).alias("_g_slope"), F.avg(F.when(r, y)).alias("_g_mean"), F.sum(F.when(r, y)).alias("_g_cur"),
+        F.sum(F.when((F.col("_i") >= recent) & (F.col("_i") < 2 * recent), y)).alias("_g_prev"),
+        F.regr_slope(F.when(r, F.log1p(y)), F.when(r, -F.col("_i").cast("double"))).alias("_g_log_slope"), F.regr_slope(F.log1p(y), -F.col("_i").cast("double")).alias("_g_log_all"),
     )
-    c = F.col
+    c = lambda name: F.col(f"_g_{name}")
     rungs = [
         ("cagr", (c("k") >= 2) & (c("first") > 0) & (c("last") > 0), F.pow(F.try_divide(c("last"), c("first")), F.try_divide(F.lit(1.0), c("k") - 1)) - 1),
         ("linreg_slope_ratio", (c("k") >= 2) & c("slope").isNotNull() & (c("mean") > 0), F.try_divide(c("slope"), c("mean"))),
         ("period_over_period", (c("len") >= 2 * recent) & (c("prev") > 0), F.try_divide(c("cur") - c("prev"), c("prev"))),
         ("period_over_period_newzero", (c("len") >= 2 * recent) & (c("cur") > 0), F.lit(1.0)),
-        ("poisson_trend_approx", (c("k") >= 2) & c("log_slope").isNotNull(), F.exp("log_slope") - 1),
+        ("poisson_trend_approx", (c("k") >= 2) & c("log_slope").isNotNull(), F.exp(c("log_slope")) - 1),
         ("log1p_slope", (c("len") >= 2) & c("log_all").isNotNull(), c("log_all")),
     ]
     growth = reduce(lambda acc, x: acc.when(x[1], x[2]), rungs[1:], F.when(rungs[0][1], rungs[0][2]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -46,7 +46,7 @@ mv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY inventor, pa, ap
 cn AS (SELECT inventor, count(*) AS n FROM rw GROUP BY inventor),
 mo AS (SELECT m.inventor, pa AS source, applicant AS target, base_year AS year, round(0.35 * coalesce(len(list_intersect(list_filter(pi, lambda x: x <> m.inventor), list_filter(inventors, lambda x: x <> m.inventor)))::DOUBLE / nullif(len(list_distinct(list_concat(list_filter(pi, lambda x: x <> m.inventor), list_filter(inventors, lambda x: x <> m.inventor)))), 0), 0) + 0.25 * coalesce(len(list_intersect(pt, tech_list))::DOUBLE / nullif(len(list_distinct(list_concat(pt, tech_list))), 0), 0)
   + 0.2 * CASE WHEN base_year - py <= 3 THEN 1.0 ELSE greatest(0.0, 1 - 0.1 * (base_year - py - 3)) END + 0.1 * (pk = country)::INT + 0.1 * (1 - (cn.n - 1) / greatest((SELECT max(n) FROM cn) - 1, 1)), 9) AS confidence FROM mv m JOIN cn ON cn.inventor = m.inventor)"""
-REG.docs("inventor_moves", lambda d: S.inventor_moves(_alone(d)).withColumn("confidence", F.round("confidence", 7)), sql("SELECT inventor, source, target, year, round(confidence, 7) AS confidence, confidence < 0.6 AS uncertain FROM mo", MV))
+REG.docs("inventor_moves", lambda d: S.inventor_moves(_alone(d)).withColumn("confidence", F.round("confidence", 6)), sql("SELECT inventor, source, target, year, round(confidence, 6) AS confidence, confidence < 0.6 AS uncertain FROM mo", MV))
 REG.docs("mobility_edges", lambda d: S.mobility_edges(S.inventor_moves(_alone(d))).withColumn("confidence", F.round("confidence", 6)), sql("SELECT source, target, count(*) AS n, round(avg(confidence), 6) AS confidence FROM mo GROUP BY 1, 2", MV))
 
 
@@ -66,9 +66,14 @@ REG.docs("first_entries", lambda d: S.first_entries(d.withColumn("country", F.co
 AG = "ag AS (SELECT DISTINCT company, base_year AS year, unnest(agents) AS agent FROM comp WHERE doc_id % 29 = 0), af AS (SELECT *, min(year) OVER (PARTITION BY company, agent) AS first, min(year) OVER (PARTITION BY company) AS start FROM ag)"
 REG.docs("new_agents_share", lambda d: S.new_agents(d.where("doc_id % 29 = 0")), sql("SELECT a.company, a.year, n, new_share, a.year > start AND n >= 3 AND new_share >= 0.25 AS signal FROM (SELECT company, year, avg((first = year)::INT) AS new_share, min(start) AS start FROM af GROUP BY ALL) a JOIN (SELECT company, base_year AS year, count(*) AS n FROM comp WHERE doc_id % 29 = 0 GROUP BY ALL) c ON c.company = a.company AND c.year = a.year", COMPANY, AG))
 REG.docs("examiner_eye", lambda d: S.examiner_eye(d, F.col("oa_count"), F.col("npl_count")), sql("SELECT tech, count(*) AS n, avg(oa_count) AS avg_examiner, avg(npl_count) AS avg_applicant, avg(oa_count) > 1.8 * avg(npl_count) AND avg(oa_count) >= 2 AS risky FROM (SELECT oa_count, npl_count, unnest(tech_list) AS tech FROM docs) GROUP BY tech"))
-URGENT = F.array_contains("tech_c_list", "1-URGENT")
-REG.docs("expedited_rate", lambda d: S.flag_rate(d, URGENT, {"tech": S.primary_tech(), "year": F.col("base_year")}), sql("SELECT tech_list[1] AS tech, base_year AS year, count(*) AS n, avg(list_contains(tech_c_list, '1-URGENT')::INT) AS rate FROM docs GROUP BY 1, 2 HAVING count(*) >= 2"))
-REG.docs("expedited_surge", lambda d: S.surge(d, URGENT, S.primary_tech()).select("key", *rounded("recent_rate prior_rate surge")), sql(f"SELECT key, round(a, 9) AS recent_rate, round(b, 9) AS prior_rate, round(a - b, 9) AS surge FROM (SELECT tech_list[1] AS key, avg(list_contains(tech_c_list, '1-URGENT')::INT) FILTER (base_year > {Y} - 3) AS a, avg(list_contains(tech_c_list, '1-URGENT')::INT) FILTER (base_year <= {Y} - 3) AS b, count(*) FILTER (base_year > {Y} - 3) AS n, count(*) FILTER (base_year <= {Y} - 3) AS m FROM docs GROUP BY 1) WHERE n >= 5 AND m >= 5"))
+
+
+def urgent() -> Column:
+    return F.array_contains("tech_c_list", "1-URGENT")
+
+
+REG.docs("expedited_rate", lambda d: S.flag_rate(d, urgent(), {"tech": S.primary_tech(), "year": F.col("base_year")}), sql("SELECT tech_list[1] AS tech, base_year AS year, count(*) AS n, avg(list_contains(tech_c_list, '1-URGENT')::INT) AS rate FROM docs GROUP BY 1, 2 HAVING count(*) >= 2"))
+REG.docs("expedited_surge", lambda d: S.surge(d, urgent(), S.primary_tech()).select("key", *rounded("recent_rate prior_rate surge")), sql(f"SELECT key, round(a, 9) AS recent_rate, round(b, 9) AS prior_rate, round(a - b, 9) AS surge FROM (SELECT tech_list[1] AS key, avg(list_contains(tech_c_list, '1-URGENT')::INT) FILTER (base_year > {Y} - 3) AS a, avg(list_contains(tech_c_list, '1-URGENT')::INT) FILTER (base_year <= {Y} - 3) AS b, count(*) FILTER (base_year > {Y} - 3) AS n, count(*) FILTER (base_year <= {Y} - 3) AS m FROM docs GROUP BY 1) WHERE n >= 5 AND m >= 5"))
 REG.docs("exam_request_rate", lambda d: S.flag_rate(d, F.col("is_granted"), {"company": F.col("applicant")}, 5), sql("SELECT applicant AS company, count(is_granted) AS n, avg(is_granted::INT) AS rate FROM docs GROUP BY 1 HAVING count(is_granted) >= 5"))
 REG.docs("divisional_rate", lambda d: S.flag_rate(d, F.size("tech_list") >= 5, {"company": F.col("applicant")}, 8), sql("SELECT applicant AS company, count(*) AS n, avg((len(tech_list) >= 5)::INT) AS rate FROM docs GROUP BY 1 HAVING count(*) >= 8"))
 REG.docs("burst_windows", lambda d: S.bursts(d, "applicant", "app_date", 60, 16))
@@ -78,7 +83,7 @@ REG.docs("mad_outliers", lambda d: S.mad_outliers(d, F.datediff("reg_date", "app
 REG.docs("disclosure_z", lambda d: S.disclosure(d, F.col("claims_count")).withColumn("z", F.round("z", 7)), sql("SELECT company, c.tech, n, round((mc - m) / s, 7) AS z FROM (SELECT company, tech, count(*) AS n, avg(claims_count) AS mc FROM (SELECT company, claims_count, unnest(tech_list) AS tech FROM comp) GROUP BY 1, 2 HAVING count(*) >= 3) c JOIN (SELECT tech, avg(claims_count) AS m, stddev_pop(claims_count) AS s FROM (SELECT claims_count, unnest(tech_list) AS tech FROM docs) GROUP BY 1) t ON t.tech = c.tech WHERE s > 1e-12", COMPANY))
 REG.docs("disputes", lambda d: S.disputes(d, F.col("owner") != F.col("applicant")), sql("SELECT tech, count(*) AS n, count(*) FILTER (owner <> applicant) AS disputed, avg(cites_forward) FILTER (owner <> applicant) AS avg_cites_disputed, avg(cites_forward) FILTER (owner = applicant) AS avg_cites_other FROM (SELECT owner, applicant, cites_forward, unnest(tech_list) AS tech FROM docs) GROUP BY tech"))
 REG.docs("dispute_edges", lambda d: S.dispute_edges(d, F.when(F.col("oa_count") >= 3, F.col("country"))), sql("SELECT country AS claimant, owner, count(*) AS n FROM docs WHERE oa_count >= 3 GROUP BY 1, 2"))
-REG.docs("quality_split", lambda d: S.quality_split(d, URGENT), sql("SELECT list_contains(tech_c_list, '1-URGENT') AS flag, count(*) AS n, avg(cites_forward) AS avg_cites, avg(is_granted::INT) AS grant_rate, avg(active_flag::INT) AS active_rate FROM docs GROUP BY 1"))
+REG.docs("quality_split", lambda d: S.quality_split(d, urgent()), sql("SELECT list_contains(tech_c_list, '1-URGENT') AS flag, count(*) AS n, avg(cites_forward) AS avg_cites, avg(is_granted::INT) AS grant_rate, avg(active_flag::INT) AS active_rate FROM docs GROUP BY 1"))
 
 
 def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +96,6 @@ REG.docs("science_link", S.science_link, sql("SELECT tech, count(*) AS n, avg((n
 REG.docs("assignments", lambda d: S.assignments(d, "applicant", "owner", "reg_date"), sql("SELECT year(reg_date)::INT AS year, applicant AS source, owner AS target, count(*) AS n FROM docs GROUP BY ALL"))
 REG.docs("examiners", lambda d: S.examiners(d, F.get("agents", F.lit(0))), sql(f"SELECT agents[1] AS examiner, count(*) AS n, avg(is_granted::INT) AS grant_rate, avg(oa_count) AS avg_actions, avg({MM}) FILTER ({MM} > 0 AND {MM} <= 240) AS avg_months FROM docs GROUP BY 1 HAVING count(*) >= 3"))
 REG.docs("state_maintenance", lambda d: S.state_maintenance(d, "family_countries", "tech_l1_list"), sql("SELECT company, sum(len(family_countries))::BIGINT AS valid, sum(len(tech_l1_list))::BIGINT AS lapsed, sum(len(family_countries)) / (sum(len(family_countries)) + sum(len(tech_l1_list))) AS keep FROM comp GROUP BY company", COMPANY))
-REG.docs("licences", lambda d: S.licences(d, URGENT), sql("SELECT company, count(*) AS n, count(*) FILTER (list_contains(tech_c_list, '1-URGENT')) AS licensed, avg(list_contains(tech_c_list, '1-URGENT')::INT) AS rate FROM comp GROUP BY company HAVING count(*) FILTER (list_contains(tech_c_list, '1-URGENT')) > 0", COMPANY))
+REG.docs("licences", lambda d: S.licences(d, urgent()), sql("SELECT company, count(*) AS n, count(*) FILTER (list_contains(tech_c_list, '1-URGENT')) AS licensed, avg(list_contains(tech_c_list, '1-URGENT')::INT) AS rate FROM comp GROUP BY company HAVING count(*) FILTER (list_contains(tech_c_list, '1-URGENT')) > 0", COMPANY))
 REG.docs("standards", lambda d: S.standards(d.withColumn("sep_org", F.when(F.col("oa_count") >= 2, F.get("tech_l1_list", F.lit(0))).otherwise(""))), sql("SELECT tech_l1_list[1] AS org, company, count(*) AS n FROM comp WHERE oa_count >= 2 GROUP BY 1, 2", COMPANY))
 REG.docs("gov_program_rate", lambda d: S.flag_rate(d, F.col("country") == "ASIA", {"company": F.col("owner")}, 3), sql("SELECT owner AS company, count(*) AS n, avg((country = 'ASIA')::INT) AS rate FROM docs GROUP BY 1 HAVING count(*) >= 3"))
