@@ -60,7 +60,24 @@ def small(df: DataFrame, row_bytes: Column | None = None, limit: int = BROADCAST
     """``df``, marked for broadcast if its measured size is within ``limit``; else left to a shuffled join."""
     each = row_bytes if row_bytes is not None else F.lit(64)
     size = df.agg(F.sum(each)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if size <= limit else df.hint("shuffle_hash")
+
+
+def count_floor(totals: DataFrame, column: str, most: int) -> int:
+    """The least count that ``most`` rows at most reach or exceed, by a histogram of about a thousand classes.
+
+    So the most frequent are found by a filter, where a sort with a limit would
+    bring the candidates of all partitions to one task. If even the highest class
+    has more rows, the floor is above it.
+    """
+    classes = totals.groupBy(F.floor(F.log2(column) * 16).alias("k")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).orderBy(F.desc("k")).collect()
+    floor, held = (classes[0]["hi"] + 1 if classes else 1), 0
+    for c in classes:
+        held += c["n"]
+        if held > most:
+            break
+        floor = c["lo"]
+    return int(floor)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

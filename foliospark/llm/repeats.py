@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, whole
+from .common import small as within
 
 MIN_BYTES, K = 200, 40
 #: Bytes of stretches that one suffix array is built of, and thus of a group that is compared so.
@@ -115,22 +116,25 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols or more, by doubling the ranks."""
-    rank = np.unique(data, return_inverse=True)[1].astype(np.int64)
-    n, done = len(data), 1
-    order = np.argsort(rank, kind="stable")
-    while done < depth:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - done)] = rank[done:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+    """Suffixes sorted by their first ``depth`` symbols (0 to 511) or more: seven at a time in one word, then by doubling the ranks."""
+    n, done = len(data), 7
+    if n == 0:
+        return np.zeros(0, np.int64)
+    padded = np.append(data.astype(np.int64), np.zeros(done, np.int64))
+    key = np.zeros(n, np.int64)
+    for i in range(done):
+        key = (key << 9) | padded[i : i + n]
+    while True:
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, s[1:] != s[:-1]))
+        if done >= depth or rank[order[-1]] == n - 1:
+            return order
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - done)] = rank[done:] + 1
+        key = rank * (n + 2) + second
         done *= 2
-        if n == 0 or rank[order[-1]] == n - 1:
-            break
-    return order
 
 
 def long_common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -150,35 +154,45 @@ def long_common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np
         return unset[:n]
     bwt = data[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")
+    # Where the suffix that starts one symbol earlier stands.
+    back = np.empty(n, np.int64)
+    back[by_symbol] = np.arange(n)
     symbols, counts = np.unique(bwt, return_counts=True)
-    first = np.append(0, np.cumsum(counts))
-    # Positions of each symbol in the transform, one symbol after another: occurrences are counted by search.
     spread = by_symbol + np.repeat(np.arange(len(symbols)), counts) * (n + 1)
     lo, hi = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(lo):
             break
-        next_lo, next_hi = [], []
-        small = hi - lo == 1
-        if small.any():
-            # An interval of one suffix extends by one symbol.
-            at = np.searchsorted(symbols, bwt[lo[small]])
-            x = np.searchsorted(spread, lo[small] + at * (n + 1))
-            next_lo.append(x)
-            next_hi.append(x + 1)
-        wide_lo, wide_hi = lo[~small], hi[~small]
-        if len(wide_lo):
-            for c in range(len(symbols)):
-                x = np.searchsorted(spread, wide_lo + c * (n + 1))
-                y = np.searchsorted(spread, wide_hi + c * (n + 1))
-                some = y > x
-                next_lo.append(x[some])
-                next_hi.append(y[some])
-        lo, hi = np.concatenate(next_lo), np.concatenate(next_hi)
+        parts = []
+        width = hi - lo
+        single = width == 1
+        if single.any():
+            x = back[lo[single]]
+            parts.append((x, x + 1))
+        narrow = ~single & (width <= 256)
+        if narrow.any():
+            # Their suffixes one by one; those that one symbol leads back from stand side by side.
+            w, first = width[narrow], lo[narrow]
+            ends = np.cumsum(w)
+            at = np.arange(ends[-1]) + np.repeat(first - (ends - w), w)
+            which = np.repeat(np.arange(len(w)), w)
+            to = np.sort(which * n + back[at])
+            own, to = to // n, to % n
+            # by_symbol[to] is the suffix that was extended; bwt of it the symbol.
+            c = bwt[by_symbol[to]]
+            new = np.append(True, (own[1:] != own[:-1]) | (c[1:] != c[:-1]))
+            start = np.flatnonzero(new)
+            stop = np.append(start[1:], len(to)) - 1
+            parts.append((to[start], to[stop] + 1))
+        wide = width > 256
+        for c in range(len(symbols)) if wide.any() else ():
+            x = np.searchsorted(spread, lo[wide] + c * (n + 1))
+            y = np.searchsorted(spread, hi[wide] + c * (n + 1))
+            parts.append((x[y > x], y[y > x]))
+        lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
         fresh = unset[hi]
         lo, hi = lo[fresh], hi[fresh]
         unset[hi] = False
-    del first
     return unset[:n]
 
 
@@ -303,16 +317,17 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, k: int = K, block:
     """
     d = docs.select("doc_id", "text")
     key = ["doc_id", "text_hash"]
-    found = cut(document_stretches(d, length, k))
-    # Partial sums first: a hot piece is a few rows from each task.
-    bodies = found.groupBy("piece", "body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("one"))
-    groups = bodies.groupBy("piece").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("one.last") - F.col("one.first") + (length - 1)).alias("bytes"))
-    many = cut(bodies.join(groups.where("total > 1"), "piece").select("piece", "body", "n", "one", "kinds", "bytes"))
-    settled = found.join(many.where("n > 1").select("piece", "body"), ["piece", "body"]).select(*key, "first", "last")
-    open_ = many.where("kinds > 1").select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), F.col("one.first").alias("first"), F.col("one.last").alias("last"), "piece", "bytes")
-    wanted = open_.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "piece", "bytes")).alias("parts"))
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "parts")
-    texts = d.withColumn("_hash", F.xxhash64("text")).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    # The stretches are made twice, which is cheaper than to keep them all: most of their minimisers occur once.
+    found = document_stretches(d, length, k)
+    often = cut(found.groupBy("piece").agg(F.count("*").alias("total"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("total > 1").select("piece", (F.col("b0") != F.col("b1")).alias("open")))
+    members = cut(found.join(within(often, F.lit(40)), "piece"))
+    bodies = members.groupBy("piece", "body").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("one"))
+    settled = members.join(bodies.where("n > 1").select("piece", "body"), ["piece", "body"]).select(*key, "first", "last")
+    one = bodies.where("open").select("piece", "one.*")
+    sizes = one.groupBy("piece").agg(F.sum(F.col("last") - F.col("first") + (length - 1)).alias("bytes"))
+    wanted = cut(one.join(sizes, "piece").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "piece", "bytes")).alias("parts")))
+    wanted = within(wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "parts"), 64 + 40 * F.size("parts"))
+    texts = d.withColumn("_hash", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
     texts = texts.select("doc_id", F.col("_h").alias("text_hash"), whole("text").cast("binary").alias("b"), F.explode("parts").alias("p"))
     # Of rows that are repeated as a whole one will do: the others' stretches are settled above.
     fetched = texts.select(*key, "p.first", "p.last", "p.piece", F.substring("b", F.col("p.first").cast("int") + 1, (F.col("p.last") - F.col("p.first")).cast("int") + (length - 1)).alias("bytes"), F.col("p.bytes").alias("size"))
@@ -336,9 +351,9 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, k: int = K, block:
 
 def cut_repeats(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) for each row of ``docs``; kept may cut a character in two."""
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans")
+    spans = cut(repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans"))
     d = docs.select("doc_id", F.xxhash64("text").alias("_hash"), whole("text").cast("binary").alias("b"))
-    j = d.join(spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
+    j = d.join(within(spans, 64 + 24 * F.size("spans")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
     n = F.octet_length("b")
     s = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(s, lambda x: x["end"]))
