@@ -62,11 +62,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, limit: int
     spots = F.when(last >= low, F.sequence(low, last)).when(low == -1, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
     probes = d.select("doc_id", "text_hash", "w", "n_words", "h", "L", F.explode(spots).alias("pos"))
     probes = probes.withColumn("probe", F.when(F.col("pos") >= 0, _window_hash(F.col("h"), at, F.col("L"))))
-    hits = probes.join(
-        near(table),
-        (F.col("probe") == F.col("key")) & (F.col("L") == F.col("w_len")) & (F.concat_ws(" ", F.slice("w", at, F.col("L"))) == F.col("window")),
-        "left",
-    ).where((F.col("pos") == -1) | F.col("window_id").isNotNull())
+    mine = F.concat_ws(" ", F.slice("w", at, F.col("L")))
+    if size > limit:
+        # Rows that are shuffled carry their own window, not their document; a document's own row goes anywhere but to one task.
+        own = F.xxhash64("doc_id", "text_hash", F.lit("document"))
+        probes = probes.select("doc_id", "text_hash", "n_words", "L", "pos", F.coalesce("probe", own).alias("probe"), F.when(F.col("pos") >= 0, mine).alias("mine"))
+        mine = F.col("mine")
+    same = (F.col("probe") == F.col("key")) & (F.col("L") == F.col("w_len")) & (mine == F.col("window"))
+    hits = probes.join(near(table), same, "left").where((F.col("pos") == -1) | F.col("window_id").isNotNull())
     hit = F.struct(F.col("pos"), F.col("L").alias("len"), F.col("window_id"))
     grouped = hits.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
