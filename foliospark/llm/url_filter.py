@@ -77,7 +77,7 @@ def _sweep(rules: list[tuple[str, str, str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames, nxt, stack = _frames(rules), 0, []
         for pdf in batches:
-            found, verdicts = [], []
+            found, verdicts, hosts = [], [], []
             for key, path in zip(pdf["_key"], pdf["path"], strict=True):
                 while nxt < len(frames) and frames[nxt].key <= key:
                     while stack and not frames[nxt].key.startswith(stack[-1].key):
@@ -86,13 +86,15 @@ def _sweep(rules: list[tuple[str, str, str]]):
                     nxt += 1
                 while stack and not key.startswith(stack[-1].key):
                     stack.pop()
-                best, verdict = None, None
+                best, verdict, size = None, None, 0
                 for f in stack:
                     if (at := f.longest(path)) >= 0 and (best is None or len(f.host) + len(f.paths[at]) >= len(best)):
-                        best, verdict = f.host + f.paths[at], f.verdicts[at]
+                        best, verdict, size = f.host + f.paths[at], f.verdicts[at], len(f.host)
                 found.append(best)
                 verdicts.append(verdict)
+                hosts.append(size)
             pdf["rule"], pdf["_verdict"] = pd.Series(found, dtype=object, index=pdf.index), pd.Series(verdicts, dtype=object, index=pdf.index)
+            pdf["_size"] = pd.Series(hosts, dtype="int32", index=pdf.index)
             yield pdf
 
     return run
@@ -114,22 +116,23 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", block
     """page_id, url, host, path, rule, verdict for each row of ``pages``; repeated rows stay repeated.
 
     A rule fits its host and all subdomains if the path starts with the rule's;
-    the longest (host and path together) wins. No rule: ``default``. A null
+    the longest (host and path together) wins, of equally long ones that with
+    the longer host. No rule: ``default``. A null
     url, or one without ``://``, has an empty host and path, which no rule with
     a host fits. Rules with a null in them are passed over; of two rules with
     the same host and path the one that blocks counts.
     """
     host, path = url_parts(F.col("url"))
     out = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_key", reversed_key(F.col("host")))
-    out = out.withColumn("rule", F.lit(None).cast("string")).withColumn("_verdict", F.lit(None).cast("string"))
+    out = out.withColumn("rule", F.lit(None).cast("string")).withColumn("_verdict", F.lit(None).cast("string")).withColumn("_size", F.lit(0))
     for block in _blocks(rules, block_bytes):
-        before = out.withColumnsRenamed({"rule": "_rule0", "_verdict": "_verdict0"})
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in before.schema) + ", rule string, _verdict string"
+        before = out.withColumnsRenamed({"rule": "_rule0", "_verdict": "_verdict0", "_size": "_size0"})
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in before.schema) + ", rule string, _verdict string, _size int"
         swept = before.sortWithinPartitions("_key").mapInPandas(_sweep(block), schema)
-        better = F.col("_rule0").isNull() | (F.length("rule") > F.length("_rule0"))
+        better = F.col("_rule0").isNull() | (F.length("rule") > F.length("_rule0")) | ((F.length("rule") == F.length("_rule0")) & (F.col("_size") > F.col("_size0")))
         take = F.col("rule").isNotNull() & better
         out = swept.select(
-            "page_id", "url", "host", "path", "_key", F.when(take, F.col("rule")).otherwise(F.col("_rule0")).alias("rule"), F.when(take, F.col("_verdict")).otherwise(F.col("_verdict0")).alias("_verdict")
+            "page_id", "url", "host", "path", "_key", F.when(take, F.col("rule")).otherwise(F.col("_rule0")).alias("rule"), F.when(take, F.col("_verdict")).otherwise(F.col("_verdict0")).alias("_verdict"), F.when(take, F.col("_size")).otherwise(F.col("_size0")).alias("_size")
         )
     return out.select("page_id", "url", "host", "path", "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
 
