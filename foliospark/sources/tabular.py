@@ -30,6 +30,8 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, e
                 bytes(head["b"]).decode("utf-8")
             except UnicodeDecodeError as e:  # a character cut off at the end of the head is no fault
                 encoding = "UTF-8" if e.start >= len(head["b"]) - 4 else "x-windows-949"
+    if encoding.upper() not in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "ISO-8859-1", "US-ASCII"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark 4 reads no other charset
     return _tidy(reader(encoding), columns)
 
 
