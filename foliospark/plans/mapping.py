@@ -161,7 +161,7 @@ REQUIRED: dict[str, list] = {
     "overview": [_TECH, _DATE], "technology-network": [_TECH], "emerging-combinations": [_TECH, _DATE], "lifecycle": [_TECH, _DATE], "opportunity": [_TECH, _DATE], "problem-solution": [("tech_c_l1", "tech_c_l2", "tech_c_l3"), ("tech_b_l1", "tech_b_l2", "tech_b_l3")],
     "technology-transition": [_TECH, _DATE], "trajectory": [_TECH, _DATE, _WHO], "company-dna": [_TECH, _DATE, _WHO], "lead-lag": [_TECH, _DATE, _WHO], "claim-density": ["indep_claim", _TECH], "citation-diffusion": ["cites_forward", _TECH], "inventor-mobility": ["inventors", _WHO, _DATE],
     "classification-quality": [_TECH], "basic-stats": [_DATE], "advanced-stats": [_WHO], "portfolio-index": [_WHO, "cites_forward"], "scope-entropy": [_TECH, _WHO], "combo-upset": [_TECH], "emerging-clusters": [_TEXT, _DATE], "semantic-influence": [_TEXT, _DATE], "similarity-network": [_TEXT],
-    "wips-deep": [_DATE], "exec-plus": [_DATE, _WHO], "executive-summary": [_TECH, _DATE, _WHO], "axis-cross": [_TECH], "tech-year-bubble": [_TECH, _DATE], "company-focus": [_TECH, _DATE, _WHO], "tech-tree": [_TECH], "deep-plus": [(*_WHO, "pub_number", "app_number")], "ownership": [_WHO, "assignee"],
+    "procedure-deep": [_DATE], "exec-plus": [_DATE, _WHO], "executive-summary": [_TECH, _DATE, _WHO], "axis-cross": [_TECH], "tech-year-bubble": [_TECH, _DATE], "company-focus": [_TECH, _DATE, _WHO], "tech-tree": [_TECH], "deep-plus": [(*_WHO, "pub_number", "app_number")], "ownership": [_WHO, "assignee"],
 }
 
 
