@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_training, whole
+from .common import count_floor, cut, in_training, whole
 from .tokens import Memo
 
 MODEL_WORDS, MODEL_GRAMS, LONGEST = 100_000, 60_000, 4
@@ -48,9 +48,9 @@ def training_counts(train: DataFrame) -> DataFrame:
 
 
 def _most(counts: DataFrame, key: str, most: int) -> DataFrame:
-    """The rows of the ``most`` keys with the highest sums over all languages."""
-    top = counts.groupBy(key).agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), key).limit(most).select(key)
-    return counts.join(F.broadcast(top), key)
+    """The rows of the most frequent keys over all languages, ``most`` keys at most."""
+    totals = counts.groupBy(key).agg(F.sum("n").alias("_all"))
+    return counts.join(F.broadcast(totals.where(F.col("_all") >= count_floor(totals, "_all", most)).select(key)), key)
 
 
 def _vectors(rows: list, key: str, langs: list[str], totals: dict[str, float]) -> tuple[dict[str, bytes], bytes]:
