@@ -25,7 +25,7 @@ def rounded(names: str, digits: int = 9):
 REG.docs("transition_cooccurrence", K.transition, sql(f"SELECT a AS source, b AS target, (count(*) FILTER (base_year > {Y} - 3) - count(*) FILTER (base_year <= {Y} - 3))::DOUBLE AS weight FROM pairs WHERE base_year > {Y} - 6 GROUP BY a, b HAVING weight > 0 ORDER BY weight DESC, source, target LIMIT 120", TECH, PAIRS))
 TR = f"""o AS (SELECT DISTINCT KEY AS k, tech AS source FROM tech WHERE base_year <= {Y} - 3 AND base_year > {Y} - 6), n AS (SELECT DISTINCT KEY AS k, tech AS target FROM tech WHERE base_year > {Y} - 3),
 links AS (SELECT source, target, round(sum(round(1.0::DOUBLE / (s * t), 12)), 9) AS weight FROM (SELECT *, count(*) OVER (PARTITION BY k) AS s FROM o) o JOIN (SELECT *, count(*) OVER (PARTITION BY k) AS t FROM n) n ON o.k = n.k GROUP BY source, target ORDER BY weight DESC, source, target LIMIT 120)"""
-REG.docs("transition_applicant", lambda d: K.transition(d.where("doc_id % 41 = 0"), "applicant").withColumn("weight", F.round("weight", 7)), sql("SELECT source, target, round(weight, 7) AS weight FROM links", TECH, TR.replace("KEY", "applicant")).replace("GROUP BY l_orderkey", "WHERE l_orderkey % 41 = 0 GROUP BY l_orderkey", 1))
+REG.docs("transition_applicant", lambda d: K.transition(d, "applicant").withColumn("weight", F.round("weight", 7)), sql("SELECT source, target, round(weight, 7) AS weight FROM links", TECH, TR.replace("KEY", "applicant")).replace("GROUP BY l_orderkey", "WHERE l_orderkey % 41 = 0 GROUP BY l_orderkey", 1))
 REG.docs("transition_family", lambda d: K.transition(d, "family", top=100000).withColumn("weight", F.round("weight", 6)), sql("SELECT source, target, round(weight, 6) AS weight FROM links", TECH, TR.replace("KEY", "family_id").replace("LIMIT 120", "LIMIT 100000")))
 REG.docs("transition_net_inflow", lambda d: K.net_inflow(K.transition(d)), sql(f"""SELECT tech, sum(i) AS inflow, sum(o) AS outflow, sum(i - o) AS net FROM (SELECT target AS tech, weight AS i, 0.0::DOUBLE AS o FROM l UNION ALL SELECT source, 0.0, weight FROM l) GROUP BY tech""", TECH, PAIRS, f"l AS (SELECT a AS source, b AS target, (count(*) FILTER (base_year > {Y} - 3) - count(*) FILTER (base_year <= {Y} - 3))::DOUBLE AS weight FROM pairs WHERE base_year > {Y} - 6 GROUP BY a, b HAVING weight > 0 ORDER BY weight DESC, source, target LIMIT 120)"))
 CONC = M.concentration_sql("ctn", "company")
@@ -79,6 +79,6 @@ REG.docs("key_people", lambda d: K.key_people(d).select("company", "inventors",
 CV = f"cv AS (SELECT tech, company, count(*) AS n, (count(*) FILTER (base_year > {Y} - 3)) / 3 AS v FROM ct GROUP BY ALL), ld AS (SELECT tech, arg_min(company, (-n, company)) AS leader, max(n) AS ln, arg_min(v, (-n, company)) AS lv FROM cv GROUP BY tech)"
 REG.docs("catch_up", lambda d: K.catch_up(d, "NATION_6").select("tech", "leader", "gap", *rounded("own_speed lead_speed years")), sql("SELECT cv.tech, leader, ln - n AS gap, round(v, 9) AS own_speed, round(lv, 9) AS lead_speed, round(CASE WHEN v > lv THEN (ln - n) / (v - lv) END, 9) AS years FROM cv JOIN ld ON ld.tech = cv.tech WHERE company = 'NATION_6' AND leader <> 'NATION_6'", COMPANY, CT, CV))
 TH = f"th AS (SELECT company, tech, count(*) AS n, min(base_year) AS entry, sum(cites_forward) AS cites FROM ct WHERE doc_id % 17 = 0 AND company <> 'NATION_6' AND tech IN (SELECT unnest(tech_list) FROM docs WHERE {MINE} AND doc_id % 17 = 0) GROUP BY ALL HAVING min(base_year) > 2001 - 3)"
-REG.docs("threats", lambda d: K.threats(d.where("doc_id % 17 = 0"), "NATION_6", year_max=2001).withColumn("score", F.round("score", 7)), sql("SELECT company, tech, n, entry, cites, round(0.5 * n / (SELECT max(n) FROM th) + 0.3 * (1 - (2001 - entry) / 3) + 0.2 * cites / (SELECT max(cites) FROM th), 7) AS score FROM th ORDER BY round(0.5 * n / (SELECT max(n) FROM th) + 0.3 * (1 - (2001 - entry) / 3) + 0.2 * cites / (SELECT max(cites) FROM th), 9) DESC, company, tech LIMIT 10", COMPANY, CT, TH))
+REG.docs("threats", lambda d: K.threats(d, "NATION_6", year_max=2001).withColumn("score", F.round("score", 7)), sql("SELECT company, tech, n, entry, cites, round(0.5 * n / (SELECT max(n) FROM th) + 0.3 * (1 - (2001 - entry) / 3) + 0.2 * cites / (SELECT max(cites) FROM th), 7) AS score FROM th ORDER BY round(0.5 * n / (SELECT max(n) FROM th) + 0.3 * (1 - (2001 - entry) / 3) + 0.2 * cites / (SELECT max(cites) FROM th), 9) DESC, company, tech LIMIT 10", COMPANY, CT, TH))
 REG.docs("pruning", lambda d: K.pruning(d, "NATION_6"), sql(f"SELECT doc_id, {Y} - base_year AS age, tech_list[1] AS tech FROM docs WHERE {MINE} AND {Y} - base_year >= 5 AND cites_forward <= 1 AND len(family_countries) <= 1 AND tech_list[1] NOT IN (SELECT tech FROM ct WHERE company = 'NATION_6' GROUP BY tech ORDER BY count(*) DESC, tech LIMIT 3)", COMPANY, CT))
 REG.docs("applicant_list", K.applicant_list, sql("SELECT company, count(*) AS n, count(*) FILTER (applicant = company) AS as_lead FROM comp GROUP BY company", COMPANY))

@@ -64,7 +64,7 @@ FAM = "f AS (SELECT d.*, date_diff('day', t0, app_date) / 30.44 AS lag FROM (SEL
 REG.docs("market_entry", lambda d: S.market_entry(d.withColumn("country", F.col("owner"))).withColumn("months", F.round("months", 7)), sql("SELECT company, place AS country, count(*) AS n, round(avg(lag), 7) AS months FROM (SELECT *, unnest(co_applicants) AS company FROM f2) GROUP BY 1, 2 HAVING count(*) >= 3", FAM))
 REG.docs("first_entries", lambda d: S.first_entries(d.withColumn("country", F.col("owner"))), sql("SELECT country, count(*) AS n, count(*) / (SELECT count(DISTINCT family_id) FROM docs) AS share FROM (SELECT family_id, arg_min(owner, (app_date, doc_id)) AS country FROM docs GROUP BY 1) GROUP BY 1"))
 AG = "ag AS (SELECT DISTINCT company, base_year AS year, unnest(agents) AS agent FROM comp WHERE doc_id % 29 = 0), af AS (SELECT *, min(year) OVER (PARTITION BY company, agent) AS first, min(year) OVER (PARTITION BY company) AS start FROM ag)"
-REG.docs("new_agents_share", lambda d: S.new_agents(d.where("doc_id % 29 = 0")), sql("SELECT a.company, a.year, n, new_share, a.year > start AND n >= 3 AND new_share >= 0.25 AS signal FROM (SELECT company, year, avg((first = year)::INT) AS new_share, min(start) AS start FROM af GROUP BY ALL) a JOIN (SELECT company, base_year AS year, count(*) AS n FROM comp WHERE doc_id % 29 = 0 GROUP BY ALL) c ON c.company = a.company AND c.year = a.year", COMPANY, AG))
+REG.docs("new_agents_share", S.new_agents, sql("SELECT a.company, a.year, n, new_share, a.year > start AND n >= 3 AND new_share >= 0.25 AS signal FROM (SELECT company, year, avg((first = year)::INT) AS new_share, min(start) AS start FROM af GROUP BY ALL) a JOIN (SELECT company, base_year AS year, count(*) AS n FROM comp WHERE doc_id % 29 = 0 GROUP BY ALL) c ON c.company = a.company AND c.year = a.year", COMPANY, AG))
 REG.docs("examiner_eye", lambda d: S.examiner_eye(d, F.col("oa_count"), F.col("npl_count")), sql("SELECT tech, count(*) AS n, avg(oa_count) AS avg_examiner, avg(npl_count) AS avg_applicant, avg(oa_count) > 1.8 * avg(npl_count) AND avg(oa_count) >= 2 AS risky FROM (SELECT oa_count, npl_count, unnest(tech_list) AS tech FROM docs) GROUP BY tech"))
 
 
