@@ -19,10 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are in some learnt language; those without a letter go."""
-    model = language_id.train_model(docs.where(in_training(F.col("doc_id"), 3, 1)).select("text", "lang"))
-    if not model.langs:  # nothing to tell documents apart by
+    trained = language_id.train_model(docs.where(in_training(F.col("doc_id"), 3, 1)).select("text", "lang"))
+    if not trained.model.langs:  # nothing to tell documents apart by
         return docs.select(*COLUMNS)
-    return language_id.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
+    return language_id.predict(docs.select(*COLUMNS), trained).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,20 +1,23 @@
 """Language ID: known words first, then ever shorter character n-grams.
 
 The counts of words and n-grams by language are taken over all training texts.
-The model that is sent to the tasks holds the most frequent of them, MODEL_WORDS
-and MODEL_GRAMS at most, so its size has a bound that doesn't depend on the
-corpus; a word that isn't in it is scored by n-grams like any unseen word.
+The tasks hold the most frequent of them, MODEL_WORDS and MODEL_GRAMS at most, as
+a cache whose size doesn't depend on the corpus. What it can't tell is joined
+from the distributed counts: words that aren't held, then the n-grams of those
+that no training text has. So the results don't depend on the cache.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import count_floor, cut, in_training, whole
@@ -34,6 +37,16 @@ class Model(NamedTuple):
     words: dict[str, bytes]
     grams: list[dict[str, bytes]]
     unseen: list[bytes]
+    all_words: bool = True  # whether ``words`` and ``grams`` are all there are
+    all_grams: bool = True
+
+
+class Trained(NamedTuple):
+    """The cache that tasks hold, and what it doesn't hold: (word or gram, v array<float>)."""
+
+    model: Model
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
 def training_counts(train: DataFrame) -> DataFrame:
@@ -47,88 +60,183 @@ def training_counts(train: DataFrame) -> DataFrame:
     )
 
 
-def _most(counts: DataFrame, key: str, most: int) -> DataFrame:
-    """The rows of the most frequent keys over all languages, ``most`` keys at most."""
-    totals = counts.groupBy(key).agg(F.sum("n").alias("_all"))
-    return counts.join(F.broadcast(totals.where(F.col("_all") >= count_floor(totals, "_all", most)).select(key)), key)
+def _by_key(counts: DataFrame, key: str) -> DataFrame:
+    """(key, c: count by language, all) of (lang, key, n)."""
+    return cut(counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("c"), F.sum("n").alias("all")))
+
+
+def _vectors(rows: list, key: str, langs: list[str], norm: np.ndarray) -> dict[str, bytes]:
+    return {r[key]: np.log((np.array([r["c"].get(x, 0) for x in langs]) + SMOOTHING) / norm).astype("<f4").tobytes() for r in rows}
 
 
-def _vectors(rows: list, key: str, langs: list[str], totals: dict[str, float]) -> tuple[dict[str, bytes], bytes]:
-    at = {x: i for i, x in enumerate(langs)}
-    keys: dict[str, np.ndarray] = {}
-    for r in rows:
-        keys.setdefault(r[key], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-    norm = np.array([totals.get(x, 0) for x in langs]) + SMOOTHING * (len(keys) + 1)
-    vector = lambda c: np.log((c + SMOOTHING) / norm).astype("<f4").tobytes()
-    return {k: vector(c) for k, c in keys.items()}, vector(np.zeros(len(langs)))
+def _vector(langs: list[str], norm: np.ndarray) -> Column:
+    """What _vectors has, of the column c."""
+    by = F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(float(n)).alias("norm")) for x, n in zip(langs, norm, strict=True)])
+    return F.transform(by, lambda x: F.log((F.coalesce(F.try_element_at(F.col("c"), x["lang"]), F.lit(0)) + SMOOTHING) / x["norm"]).cast("float"))
 
 
-def train_model(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS, longest: int = LONGEST) -> Model:
-    """Learns from the text and non-null lang of ``docs``."""
-    counts = cut(training_counts(docs))
-    total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
+def train_model(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS, longest: int = LONGEST) -> Trained:
+    """Learns from the text and non-null lang of ``docs``; tasks hold ``words`` words and ``grams`` n-grams at most."""
+    table = _by_key(training_counts(docs), "word")
+    total = {r["lang"]: r["n"] for r in table.select(F.explode("c").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     langs = sorted(total)
     if not langs:
-        return Model([], {}, [], [])
-    short = counts.where(F.length("word") <= WORD_CHARS)
-    by_word, _ = _vectors(_most(short, "word", words).collect(), "word", langs, total)
+        return Trained(Model([], {}, [], []))
+    smoothed = lambda totals, keys: np.array([totals.get(x, 0) for x in langs]) + SMOOTHING * (keys + 1)
+    short = table.where(F.length("word") <= WORD_CHARS)
+    least, distinct = count_floor(short, "all", words), short.count()
+    norm = smoothed(total, distinct)
+    by_word = _vectors(short.where(F.col("all") >= least).collect(), "word", langs, norm)
+    other_words = short.where(F.col("all") < least).select("word", _vector(langs, norm).alias("v"))
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     size = F.length(padded)
     pieces = [F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, longest + 1)]
-    gram_counts = (
-        short.select("lang", F.explode(F.concat(*pieces)).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    )
-    gram_counts = cut(gram_counts)
-    by_gram: list[dict[str, bytes]] = []
-    unseen = []
-    order = gram_counts.withColumn("size", F.length("gram"))
-    sums = {(r["lang"], r["size"]): r["n"] for r in order.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    kept = _most(order, "gram", grams).collect()
-    for n in range(1, longest + 1):
-        table, none = _vectors([r for r in kept if r["size"] == n], "gram", langs, {x: sums.get((x, n), 0) for x in langs})
-        by_gram.append(table)
-        unseen.append(none)
-    return Model(langs, by_word, by_gram, unseen)
+    gram_counts = short.select("word", F.explode("c").alias("lang", "n")).select("lang", F.explode(F.concat(*pieces)).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = _by_key(gram_counts, "gram").withColumn("size", F.length("gram"))
+    sums = {(r["lang"], r["size"]): r["n"] for r in order.select("size", F.explode("c").alias("lang", "n")).groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    kinds = {r["size"]: r["n"] for r in order.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    floor = count_floor(order, "all", grams)
+    kept = order.where(F.col("all") >= floor).collect()
+    norms = [smoothed({x: sums.get((x, n), 0) for x in langs}, kinds.get(n, 0)) for n in range(1, longest + 1)]
+    by_gram = [_vectors([r for r in kept if r["size"] == n], "gram", langs, norms[n - 1]) for n in range(1, longest + 1)]
+    unseen = [np.log(SMOOTHING / x).astype("<f4").tobytes() for x in norms]
+    vector = F.coalesce(*[F.when(F.col("size") == n, _vector(langs, norms[n - 1])) for n in range(1, longest + 1)])
+    other_grams = order.where(F.col("all") < floor).select("gram", vector.alias("v"))
+    return Trained(Model(langs, by_word, by_gram, unseen, len(by_word) == distinct, len(kept) == sum(kinds.values())), other_words, other_grams)
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.words, self.chunks = model, Memo(self._word), Memo(self._chunk)
 
-    def _word(self, word: str) -> bytes:
-        """A known word's log frequencies, or the sum of those of the longest known n-grams that make it up."""
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
+    def _held(self, text: str, at: int) -> tuple[int, bytes | None]:
+        """The longest held n-gram at a place, and its vector."""
+        for n in range(min(len(self.model.grams), len(text) - at), 0, -1):
+            v = self.model.grams[n - 1].get(text[at : at + n])
+            if v is not None:
+                return n, v
+        return 0, None
+
+    def missing(self, word: str) -> list[tuple[int, str]]:
+        """(place, n-gram) that aren't held and would go before what is held there."""
+        text = f"^{word}$"
+        most = len(self.model.grams)
+        return [(at, text[at : at + n]) for at in range(len(text)) for n in range(self._held(text, at)[0] + 1, min(most, len(text) - at) + 1)]
+
+    def by_grams(self, word: str, found: dict[tuple[int, int], bytes] | None = None) -> bytes | None:
+        """The sum of those of the longest known n-grams that make up the word; ``found``: vectors by place and length that aren't held.
+
+        None if n-grams that aren't held may go before, and ``found`` isn't given.
+        """
         text, at, total = f"^{word}$", 0, np.zeros(len(self.model.langs), "<f4")
+        most = len(self.model.grams)
         while at < len(text):
-            for n in range(min(len(self.model.grams), len(text) - at), 0, -1):
-                v = self.model.grams[n - 1].get(text[at : at + n])
-                if v is not None:
-                    break
-            else:
+            n, v = self._held(text, at)
+            if n < min(most, len(text) - at) and not self.model.all_grams:
+                if found is None:
+                    return None
+                n, v = next(((m, found[at, m]) for m in range(min(most, len(text) - at), n, -1) if (at, m) in found), (n, v))
+            if v is None:
                 n, v = 1, self.model.unseen[0]
             total += np.frombuffer(v, "<f4")
             at += n
         return total.tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, LETTERS.findall(chunk.lower())))
+    def _word(self, word: str) -> bytes | None:
+        """A known word's log frequencies, or those by n-grams; None if what is held can't tell."""
+        known = self.model.words.get(word)
+        if known is not None:
+            return known
+        return self.by_grams(word) if self.model.all_words or len(word) > WORD_CHARS else None
+
+    def _chunk(self, chunk: str) -> tuple[bytes, list[str]]:
+        ws = LETTERS.findall(chunk.lower())
+        vs = [*map(self.words.__getitem__, ws)]
+        return b"".join(v for v in vs if v is not None), [w for w, v in zip(ws, vs, strict=True) if v is None]
+
+    def parts(self, text: str | None) -> tuple[bytes, Counter[str]]:
+        """The vectors of the words that can be told here, one after the other, and how often each other word occurs."""
+        found = [*map(self.chunks.__getitem__, (text or "").split())] if self.model.langs else []
+        return b"".join(v for v, _ in found), Counter(w for _, ws in found if ws for w in ws)
+
+    def total(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, "<f4").reshape(-1, len(self.model.langs)).sum(axis=0, dtype=np.float64)
 
     def best(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood; und and 0 without letters or without a model."""
-        data = b"".join(map(self.chunks.__getitem__, (text or "").split())) if self.model.langs else b""
+        data, _ = self.parts(text)
         if not data:
             return "und", 0.0
-        total = np.frombuffer(data, "<f4").reshape(-1, len(self.model.langs)).sum(axis=0, dtype=np.float64)
+        total = self.total(data)
         at = int(total.argmax())
         return self.model.langs[at], float(1 / np.exp(total - total[at]).sum())
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score after its other columns (which must not be named so)."""
+def _unseen_words(words: DataFrame, trained: Trained, shared: Broadcast) -> DataFrame:
+    """(word, v) of words that no training text has, by all n-grams: those that tasks don't hold are joined."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            asked = [[{"place": at, "gram": g} for at, g in scorer.missing(w.as_py())] for w in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked, pa.list_(pa.struct([("place", pa.int32()), ("gram", pa.string())])))], ["word", "asked"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            vs = []
+            for w, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                vs.append(np.frombuffer(scorer.by_grams(w, {(x["place"], x["n"]): np.array(x["v"], "<f4").tobytes() for x in found}), "<f4"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vs, pa.list_(pa.float32()))], ["word", "v"])
+
+    asked = words.mapInArrow(ask, "word string, asked array<struct<place:int,gram:string>>").select("word", F.explode_outer("asked").alias("x")).select("word", "x.place", "x.gram")
+    # Words without a question have none in the join; a key of their own keeps them from meeting in one task.
+    asked = asked.withColumn("gram", F.coalesce("gram", F.concat(F.lit(" "), F.col("word"))))
+    found = F.when(F.col("v").isNotNull(), F.struct("place", F.length("gram").alias("n"), "v"))
+    return asked.join(trained.grams, "gram", "left").groupBy("word").agg(F.collect_list(found).alias("found")).mapInArrow(walk, "word string, v array<float>")
+
+
+def _joined(docs: DataFrame, trained: Trained) -> DataFrame:
+    """doc_id, text_hash, lang_pred, score of each different (doc_id, text), by what tasks hold and joins for the rest."""
+    model = trained.model
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = len(model.langs)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            sums, tails, n = [], [], []
+            for text in batch.column(2):
+                data, tail = scorer.parts(text.as_py())
+                sums.append(scorer.total(data))
+                tails.append([{"word": w, "tf": f} for w, f in tail.items()])
+                n.append(len(data) + len(tail))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(tails, pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())])))], ["doc_id", "text_hash", "n", "sums", "tail"]
+            )
+
+    keys = ["doc_id", "text_hash"]
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, n long, sums array<double>, tail array<struct<word:string,tf:int>>"))
+    tail = rows.select(*keys, F.explode("tail").alias("x")).select(*keys, "x.word", "x.tf")
+    unseen = _unseen_words(tail.select("word").distinct().join(trained.words, "word", "left_anti"), trained, shared)
+    own = rows.select(*keys, F.lit(1).alias("copies"), "n", *[F.col("sums")[i].alias(f"s{i}") for i in range(size)])
+    rest = tail.join(trained.words.unionByName(unseen), "word").select(*keys, F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n"), *[(F.col("v")[i].cast("double") * F.col("tf")).alias(f"s{i}") for i in range(size)])
+    x = own.unionByName(rest).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)])
+    x = x.select(*keys, "n", F.array(*[F.col(f"s{i}") / F.col("copies") for i in range(size)]).alias("s")).withColumn("top", F.array_max("s"))
+    share = 1 / F.aggregate(F.transform("s", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
+    best = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("s", F.col("top")).cast("int"))
+    return x.select(*keys, F.when(F.col("n") > 0, best).otherwise("und").alias("lang_pred"), F.when(F.col("n") > 0, share).otherwise(0.0).alias("score"))
+
+
+def predict(docs: DataFrame, trained: Trained) -> DataFrame:
+    """``docs`` with lang_pred and score after its other columns (which must not be named so)."""
+    model = trained.model
     own = docs.schema.fieldNames()
+    if not (model.all_words and model.all_grams):
+        of = _joined(docs.select("doc_id", "text"), trained).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+        return docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select(*own, "lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = own.index("text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -148,8 +256,8 @@ def identify(docs: DataFrame) -> DataFrame:
     ``und`` with score 0; so are all if no language could be learnt. Rows stay
     as they are repeated; an empty table gives an empty one.
     """
-    model = train_model(docs.where(in_training(F.col("doc_id"), 3, 1)).select("text", "lang"))
-    return predict(docs.select("doc_id", "text", (~in_training(F.col("doc_id"), 3, 1)).alias("held_out")), model)
+    trained = train_model(docs.where(in_training(F.col("doc_id"), 3, 1)).select("text", "lang"))
+    return predict(docs.select("doc_id", "text", (~in_training(F.col("doc_id"), 3, 1)).alias("held_out")), trained)
 
 
 def query(docs: DataFrame) -> DataFrame:

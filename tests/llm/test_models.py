@@ -102,6 +102,23 @@ def test_language_id(spark, documents, odd):
     assert {i for i, r in by.items() if r.lang_pred == "und"} == {3, 4, 8}
 
 
+def test_language_id_is_the_same_by_cache_and_by_join(spark, documents, odd):
+    from pyspark.sql import functions as F
+
+    from foliospark.llm.common import in_training
+
+    more = odd.select(documents.columns).union(spark.createDataFrame([(50, "zqxv " + "langeswort" * 9, "de", "s", 95), (51, "qq", "de", "s", 2)], odd.select(documents.columns).schema))
+    docs = documents.unionByName(more).select("doc_id", "text", "lang")
+    train = docs.where(in_training(F.col("doc_id"), 3, 1))
+    whole = language_id.train_model(train, 10**7, 10**7)
+    assert whole.model.all_words and whole.model.all_grams
+    found = []
+    for words, grams in ((10**7, 10**7), (300, 200), (0, 0), (10**7, 200)):
+        out = language_id.predict(docs, language_id.train_model(train, words, grams)).collect()
+        found.append(sorted((str(r.doc_id), r.text or "", str(r.lang), r.lang_pred, round(r.score, 4)) for r in out))
+    assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_unseen_words_back_off_to_grams():
     m = language_id.Model(["a", "b"], {"x": np.array([-1, -2], "<f4").tobytes()}, [{"y": np.array([-3, -1], "<f4").tobytes()}, {"yz": np.array([-1, -9], "<f4").tobytes()}], [np.array([-5, -5], "<f4").tobytes()] * 2)
     s = language_id.Scorer(m)
