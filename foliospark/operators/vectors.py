@@ -19,18 +19,22 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 
 
+def _dealt(df: DataFrame, id_: str, vector: str, block: int) -> DataFrame:
+    """i, v, blk, p, q: vectors in k blocks of about ``block`` rows, each block once for every pair of blocks p <= q that it is in."""
+    n = df.count()
+    k = max(1, -(-n // block))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(k)).cast("int").alias("blk"))
+    # Each block goes to every task (blk, other) with blk <= other.
+    left = rows.select("i", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o"))
+    return left.select("i", "v", "blk", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"))
+
+
 def similarity_pairs(df: DataFrame, threshold: float, id_: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
     """a, b, similarity of all pairs a < b with a cosine of ``threshold`` or more.
 
     Vectors are dealt to k blocks of about ``block`` rows; a task has two
     blocks, as one packed row each. Zero and null vectors have no pairs.
     """
-    n = df.count()
-    k = max(1, -(-n // block))
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(k)).cast("int").alias("blk"))
-    # Each block goes to every task (blk, other) with blk <= other.
-    left = rows.select("i", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o"))
-    dealt = left.select("i", "v", "blk", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
@@ -46,7 +50,7 @@ def similarity_pairs(df: DataFrame, threshold: float, id_: str = "vec_id", vecto
         lo, hi = np.minimum(ia, ib), np.maximum(ia, ib)
         return pd.DataFrame({"a": lo[keep], "b": hi[keep], "similarity": s[x, y][keep]})
 
-    return dealt.groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
+    return _dealt(df, id_, vector, block).groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
 
 
 def followers(df: DataFrame, pairs: DataFrame, top: int = 12, least_cross: int = 2) -> DataFrame:
@@ -228,11 +232,34 @@ def density_grid(points: DataFrame, cells: int = 60, point: str = "point") -> Da
     return x.join(F.broadcast(b)).groupBy(at("x", "x0", "x1").alias("gx"), at("y", "y0", "y1").alias("gy")).agg(F.count("*").alias("n"))
 
 
-def overlap_density(pairs: DataFrame, k: int = 20) -> DataFrame:
-    """node, density: the mean similarity of its ``k`` nearest."""
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("o"), "similarity").union(pairs.select("b", "a", "similarity"))
-    near = both.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc(F.round("similarity", 12)), "o"))).where(F.col("_r") <= k)
-    return near.groupBy("node").agg((F.sum(F.round("similarity", 12)) / F.count("*")).alias("density"))
+def overlap_density(df: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
+    """node, density: the mean cosine of the ``k`` nearest of all vectors, or of all others if there are fewer.
+
+    A row for each vector; null for a null one. As in the reference, a zero
+    vector's cosines are 0, and so is that of a vector to itself, which counts
+    where fewer than ``k`` others have more. Each pair of blocks gives the
+    ``k`` best of its vectors, and these lists are merged.
+    """
+    k = max(0, min(k, df.where(F.col(vector).isNotNull()).count() - 1))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        a, b = pdf[pdf["blk"] == p], pdf[pdf["blk"] == q]
+        if not k or not len(a) or not len(b):
+            return pd.DataFrame({"node": pd.Series([], dtype="int64"), "top": pd.Series([], dtype=object)})
+        va, vb = (np.array(x["v"].tolist(), float) for x in (a, b))
+        na, nb = (np.linalg.norm(v, axis=1, keepdims=True) for v in (va, vb))
+        s = (va / np.where(na > 1e-12, na, np.inf)) @ (vb / np.where(nb > 1e-12, nb, np.inf)).T
+        if p == q:
+            np.fill_diagonal(s, 0.0)
+        best = lambda m: [*np.partition(m, -k, axis=1)[:, -k:]] if m.shape[1] > k else [*m]
+        sides = [(a, s)] if p == q else [(a, s), (b, s.T)]
+        return pd.concat([pd.DataFrame({"node": x["i"].to_numpy(), "top": best(m)}) for x, m in sides])
+
+    lists = _dealt(df, id_, vector, block).groupBy("p", "q").applyInPandas(nearest, "node long, top array<double>")
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, max(k, 1))
+    found = lists.groupBy("node").agg((F.aggregate(top, F.lit(0.0), lambda x, y: x + y) / max(k, 1)).alias("density"))
+    return df.select(F.col(id_).cast("long").alias("node"), F.col(vector).isNotNull().alias("_has")).join(found, "node", "left").select("node", F.when(F.col("_has"), F.coalesce("density", F.lit(0.0))).alias("density"))
 
 
 def phrase_groups(phrases: list[str], vectors: np.ndarray, distance: float = 0.45) -> dict[str, int]:
