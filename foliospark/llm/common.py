@@ -44,15 +44,35 @@ def hex64(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: later jobs read it instead of computing it anew.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with underscores after it, such that ``df`` has no column of that name, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sees to it that there is a checkpoint folder: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is made up only
-    where that isn't set, as in local tests.
+    Where that isn't set, local mode gets a temporary folder; on a cluster, whose
+    machines wouldn't share it, that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: later jobs read it instead of computing it anew."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,264 +1,269 @@
 """Language ID: known words first, then ever shorter character n-grams.
 
-The counts of words and n-grams by language are taken over all training texts.
-The tasks hold the most frequent of them, MODEL_WORDS and MODEL_GRAMS at most, as
-a cache whose size doesn't depend on the corpus. What it can't tell is joined
-from the distributed counts: words that aren't held, then the n-grams of those
-that no training text has. So the results don't depend on the cache.
+A known word is scored by its log frequency in each language; an unseen one by
+the n-grams that make it up, at each place the longest that is known, from
+LONGEST characters down to one. Words and their counts stay distributed and grow
+with the corpus: the tasks hold the MODEL_WORDS most frequent ones as a cache,
+and the words that it doesn't hold are joined, so results don't depend on it.
+N-gram counts are kept in hashed slots, 2^GRAM_BITS for each length, so that all
+of them are held in the tasks whatever the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_floor, cut, in_training, whole
-from .tokens import Memo
+from .common import count_floor, cut, in_training, small, unused
+from .encode import Tally, encoded, letter_words
 
-MODEL_WORDS, MODEL_GRAMS, LONGEST = 100_000, 60_000, 4
-#: Longer words are scored by their n-grams.
-WORD_CHARS = 48
+MODEL_WORDS, LONGEST, GRAM_BITS = 200_000, 4, 18
 SMOOTHING = 0.5
-LETTERS = regex.compile(r"\p{L}+")
 
 
 class Model(NamedTuple):
-    """Vectors hold a log frequency for each language; ``grams[n - 1]`` those of length n."""
+    """Log frequencies by language: of the held words, and of the n-grams by slot (rows of ``gram_logs``, the last one for those unseen)."""
 
     langs: list[str]
-    words: dict[str, bytes]
-    grams: list[dict[str, bytes]]
-    unseen: list[bytes]
-    all_words: bool = True  # whether ``words`` and ``grams`` are all there are
-    all_grams: bool = True
+    words: pa.Array
+    word_logs: np.ndarray
+    gram_rows: np.ndarray
+    gram_logs: np.ndarray
+    bits: int  # 2^bits slots for each length
+    all_words: bool  # whether ``words`` are all there are
 
 
 class Trained(NamedTuple):
-    """The cache that tasks hold, and what it doesn't hold: (word or gram, v array<float>)."""
+    """The model, and all known words: (word, v array<float>)."""
 
     model: Model
     words: DataFrame | None = None
-    grams: DataFrame | None = None
-
-
-def training_counts(train: DataFrame) -> DataFrame:
-    """(lang, word, n) over whole texts: lower-cased runs of letters."""
-    return (
-        train.where("lang is not null")
-        .select("lang", F.explode(F.split(F.lower(whole("text")), r"[^\p{L}]+")).alias("word"))
-        .where("word <> ''")
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
-
-
-def _by_key(counts: DataFrame, key: str) -> DataFrame:
-    """(key, c: count by language, all) of (lang, key, n)."""
-    return cut(counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("c"), F.sum("n").alias("all")))
-
-
-def _vectors(rows: list, key: str, langs: list[str], norm: np.ndarray) -> dict[str, bytes]:
-    return {r[key]: np.log((np.array([r["c"].get(x, 0) for x in langs]) + SMOOTHING) / norm).astype("<f4").tobytes() for r in rows}
-
-
-def _vector(langs: list[str], norm: np.ndarray) -> Column:
-    """What _vectors has, of the column c."""
-    by = F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(float(n)).alias("norm")) for x, n in zip(langs, norm, strict=True)])
-    return F.transform(by, lambda x: F.log((F.coalesce(F.try_element_at(F.col("c"), x["lang"]), F.lit(0)) + SMOOTHING) / x["norm"]).cast("float"))
-
-
-def train_model(docs: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS, longest: int = LONGEST) -> Trained:
-    """Learns from the text and non-null lang of ``docs``; tasks hold ``words`` words and ``grams`` n-grams at most."""
-    table = _by_key(training_counts(docs), "word")
-    total = {r["lang"]: r["n"] for r in table.select(F.explode("c").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
-    langs = sorted(total)
-    if not langs:
-        return Trained(Model([], {}, [], []))
-    smoothed = lambda totals, keys: np.array([totals.get(x, 0) for x in langs]) + SMOOTHING * (keys + 1)
-    short = table.where(F.length("word") <= WORD_CHARS)
-    least, distinct = count_floor(short, "all", words), short.count()
-    norm = smoothed(total, distinct)
-    by_word = _vectors(short.where(F.col("all") >= least).collect(), "word", langs, norm)
-    other_words = short.where(F.col("all") < least).select("word", _vector(langs, norm).alias("v"))
-    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    size = F.length(padded)
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, longest + 1)]
-    gram_counts = short.select("word", F.explode("c").alias("lang", "n")).select("lang", F.explode(F.concat(*pieces)).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = _by_key(gram_counts, "gram").withColumn("size", F.length("gram"))
-    sums = {(r["lang"], r["size"]): r["n"] for r in order.select("size", F.explode("c").alias("lang", "n")).groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    kinds = {r["size"]: r["n"] for r in order.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    floor = count_floor(order, "all", grams)
-    kept = order.where(F.col("all") >= floor).collect()
-    norms = [smoothed({x: sums.get((x, n), 0) for x in langs}, kinds.get(n, 0)) for n in range(1, longest + 1)]
-    by_gram = [_vectors([r for r in kept if r["size"] == n], "gram", langs, norms[n - 1]) for n in range(1, longest + 1)]
-    unseen = [np.log(SMOOTHING / x).astype("<f4").tobytes() for x in norms]
-    vector = F.coalesce(*[F.when(F.col("size") == n, _vector(langs, norms[n - 1])) for n in range(1, longest + 1)])
-    other_grams = order.where(F.col("all") < floor).select("gram", vector.alias("v"))
-    return Trained(Model(langs, by_word, by_gram, unseen, len(by_word) == distinct, len(kept) == sum(kinds.values())), other_words, other_grams)
-
-
-class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.model, self.words, self.chunks = model, Memo(self._word), Memo(self._chunk)
-
-    def _held(self, text: str, at: int) -> tuple[int, bytes | None]:
-        """The longest held n-gram at a place, and its vector."""
-        for n in range(min(len(self.model.grams), len(text) - at), 0, -1):
-            v = self.model.grams[n - 1].get(text[at : at + n])
-            if v is not None:
-                return n, v
-        return 0, None
-
-    def missing(self, word: str) -> list[tuple[int, str]]:
-        """(place, n-gram) that aren't held and would go before what is held there."""
-        text = f"^{word}$"
-        most = len(self.model.grams)
-        return [(at, text[at : at + n]) for at in range(len(text)) for n in range(self._held(text, at)[0] + 1, min(most, len(text) - at) + 1)]
-
-    def by_grams(self, word: str, found: dict[tuple[int, int], bytes] | None = None) -> bytes | None:
-        """The sum of those of the longest known n-grams that make up the word; ``found``: vectors by place and length that aren't held.
-
-        None if n-grams that aren't held may go before, and ``found`` isn't given.
-        """
-        text, at, total = f"^{word}$", 0, np.zeros(len(self.model.langs), "<f4")
-        most = len(self.model.grams)
-        while at < len(text):
-            n, v = self._held(text, at)
-            if n < min(most, len(text) - at) and not self.model.all_grams:
-                if found is None:
-                    return None
-                n, v = next(((m, found[at, m]) for m in range(min(most, len(text) - at), n, -1) if (at, m) in found), (n, v))
-            if v is None:
-                n, v = 1, self.model.unseen[0]
-            total += np.frombuffer(v, "<f4")
-            at += n
-        return total.tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        """A known word's log frequencies, or those by n-grams; None if what is held can't tell."""
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        return self.by_grams(word) if self.model.all_words or len(word) > WORD_CHARS else None
-
-    def _chunk(self, chunk: str) -> tuple[bytes, list[str]]:
-        ws = LETTERS.findall(chunk.lower())
-        vs = [*map(self.words.__getitem__, ws)]
-        return b"".join(v for v in vs if v is not None), [w for w, v in zip(ws, vs, strict=True) if v is None]
-
-    def parts(self, text: str | None) -> tuple[bytes, Counter[str]]:
-        """The vectors of the words that can be told here, one after the other, and how often each other word occurs."""
-        found = [*map(self.chunks.__getitem__, (text or "").split())] if self.model.langs else []
-        return b"".join(v for v, _ in found), Counter(w for _, ws in found if ws for w in ws)
-
-    def total(self, data: bytes) -> np.ndarray:
-        return np.frombuffer(data, "<f4").reshape(-1, len(self.model.langs)).sum(axis=0, dtype=np.float64)
-
-    def best(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the likelihood; und and 0 without letters or without a model."""
-        data, _ = self.parts(text)
-        if not data:
-            return "und", 0.0
-        total = self.total(data)
-        at = int(total.argmax())
-        return self.model.langs[at], float(1 / np.exp(total - total[at]).sum())
-
-
-def _unseen_words(words: DataFrame, trained: Trained, shared: Broadcast) -> DataFrame:
-    """(word, v) of words that no training text has, by all n-grams: those that tasks don't hold are joined."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            asked = [[{"place": at, "gram": g} for at, g in scorer.missing(w.as_py())] for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked, pa.list_(pa.struct([("place", pa.int32()), ("gram", pa.string())])))], ["word", "asked"])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            vs = []
-            for w, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                vs.append(np.frombuffer(scorer.by_grams(w, {(x["place"], x["n"]): np.array(x["v"], "<f4").tobytes() for x in found}), "<f4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vs, pa.list_(pa.float32()))], ["word", "v"])
 
-    asked = words.mapInArrow(ask, "word string, asked array<struct<place:int,gram:string>>").select("word", F.explode_outer("asked").alias("x")).select("word", "x.place", "x.gram")
-    # Words without a question have none in the join; a key of their own keeps them from meeting in one task.
-    asked = asked.withColumn("gram", F.coalesce("gram", F.concat(F.lit(" "), F.col("word"))))
-    found = F.when(F.col("v").isNotNull(), F.struct("place", F.length("gram").alias("n"), "v"))
-    return asked.join(trained.grams, "gram", "left").groupBy("word").agg(F.collect_list(found).alias("found")).mapInArrow(walk, "word string, v array<float>")
+def training_counts(train: DataFrame, langs: list[str]) -> DataFrame:
+    """(word, l, n) over whole texts: how often each word occurs in language number l."""
+    order, size = pa.array(langs, pa.string()), len(langs)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = np.asarray(pc.index_in(batch.column(0), value_set=order)).astype(np.int64)
+            for e in encoded(batch.column(1), letter_words):
+                keys, n = np.unique(e.codes * size + lang[e.first + e.rows], return_counts=True)
+                yield pa.RecordBatch.from_arrays([e.words.take(pa.array(keys // size)), pa.array((keys % size).astype(np.int32)), pa.array(n)], ["word", "l", "n"])
+
+    d = train.where("lang is not null").select("lang", "text")
+    return d.mapInArrow(run, "word string, l int, n long").groupBy("word", "l").agg(F.sum("n").alias("n"))
+
+
+def _slots(words: pa.Array, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word begins, where it ends, slots[n - 1, place]): hashed n-grams of ``^word$`` at each place; -1 if a word has no room for it there."""
+    framed = pc.binary_join_element_wise("^", words, "$", "")
+    sizes = np.asarray(pc.utf8_length(framed)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    points = np.frombuffer("".join(framed.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    room = np.repeat(ends, sizes) - np.arange(len(points))
+    out = np.full((longest, len(points)), -1, np.int64)
+    h = np.zeros(len(points), np.uint64)
+    for n in range(1, longest + 1):
+        h = h[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + (points[n - 1 :] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        fits = room[: len(h)] >= n
+        out[n - 1, : len(h)][fits] = ((h[fits] * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - bits)).astype(np.int64) + ((n - 1) << bits)
+    return ends - sizes, ends, out
+
+
+def _gram_counts(counts: DataFrame, size: int, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, l, n) of all n-grams of (word, l, n): 2^bits rows for each length and language at most."""
 
-def _joined(docs: DataFrame, trained: Trained) -> DataFrame:
-    """doc_id, text_hash, lang_pred, score of each different (doc_id, text), by what tasks hold and joins for the rest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            lo, hi, slots = _slots(batch.column(0), longest, bits)
+            l, n = (np.repeat(np.asarray(batch.column(i)).astype(np.int64), hi - lo) for i in (1, 2))
+            for s in slots:
+                some = s >= 0
+                tally.add(s[some] * size + l[some], n[some])
+        keys, n = tally.sums()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    got = counts.select("word", "l", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = (np.asarray(got.column(c).combine_chunks()) for c in ("key", "n"))
+    return key // size, key % size, n
+
+
+def train_model(docs: DataFrame, words: int = MODEL_WORDS, longest: int = LONGEST, bits: int = GRAM_BITS) -> Trained:
+    """Learns from the text and non-null lang of ``docs``; tasks hold ``words`` words at most."""
+    langs = sorted(r["lang"] for r in docs.select("lang").where("lang is not null").distinct().collect())  # as many as there are languages
+    size = len(langs)
+    counts = cut(training_counts(docs, langs))
+    totals = np.zeros(size)
+    for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect():
+        totals[r["l"]] = r["n"]
+    if not totals.any():
+        return Trained(Model([], pa.array([], pa.string()), np.zeros((0, 0)), np.zeros(0, np.int32), np.zeros((1, 0)), 0, True))
+    by_word = counts.groupBy("word").agg(F.collect_list(F.struct("l", "n")).alias("c"), F.sum("n").alias("all"))  # as many as there are languages
+    by_word = cut(by_word)
+    distinct = by_word.count()
+    norm = np.log(totals + SMOOTHING * (distinct + 1))
+    least = count_floor(by_word, "all", words)
+    held = by_word.where(F.col("all") >= least).select("word", F.col("c.l").alias("l"), F.col("c.n").alias("n")).toArrow()  # ``words`` rows at most
+    logs = np.full((held.num_rows, size), SMOOTHING)
+    sizes = np.asarray(pc.list_value_length(held.column("l")).combine_chunks())
+    flat = lambda c: np.asarray(held.column(c).combine_chunks().flatten())
+    logs[np.repeat(np.arange(held.num_rows), sizes), flat("l")] += flat("n")
+    logs = (np.log(logs) - norm).astype(np.float32)
+    slot, l, n = _gram_counts(counts, size, longest, bits)
+    seen, row = np.unique(slot, return_inverse=True)
+    grams = np.full((len(seen) + 1, size), SMOOTHING)
+    grams[row, l] += n
+    length = np.append(seen >> bits, 0)
+    sums = np.stack([np.bincount(l[(slot >> bits) == i], weights=n[(slot >> bits) == i], minlength=size) + SMOOTHING * (((seen >> bits) == i).sum() + 1) for i in range(longest)])
+    grams = (np.log(grams) - np.log(sums)[length]).astype(np.float32)
+    rows = np.full(longest << bits, -1, np.int32)
+    rows[seen] = np.arange(len(seen))
+    model = Model(langs, held.column("word").combine_chunks(), logs, rows, grams, bits, held.num_rows == distinct)
+    of = F.array(*[F.lit(float(x)) for x in norm])
+    count = lambda i: F.aggregate("c", F.lit(SMOOTHING), lambda a, x: a + F.when(x["l"] == i, x["n"]).otherwise(0))
+    rest = by_word.where(F.col("all") < least).select("word", F.transform(of, lambda x, i: (F.log(count(i)) - x).cast("float")).alias("v"))
+    return Trained(model, rest)
+
+
+def by_grams(words: pa.Array, model: Model) -> np.ndarray:
+    """Log frequencies of each word by language, from the longest known n-grams that make it up, left to right."""
+    lo, hi, slots = _slots(words, len(model.gram_rows) >> model.bits, model.bits)
+    row = np.where(slots >= 0, model.gram_rows[np.maximum(slots, 0)], -1)
+    use, step = np.full(slots.shape[1], len(model.gram_logs) - 1), np.ones(slots.shape[1], np.int64)
+    for n, r in enumerate(row, 1):
+        use[r >= 0], step[r >= 0] = r[r >= 0], n
+    total = np.zeros((len(words), len(model.langs)))
+    which, at = np.arange(len(words)), lo.copy()
+    while len(which):
+        total[which] += model.gram_logs[use[at]]
+        at = at + step[at]
+        going = at < hi[which]
+        which, at = which[going], at[going]
+    return total
+
+
+def _sums(row: np.ndarray, logs: np.ndarray, code: np.ndarray, size: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sums of logs[code] (times ``weight``) by row."""
+    of = lambda v: v if weight is None else v * weight
+    return np.stack([np.bincount(row, weights=of(logs[code, i].astype(np.float64)), minlength=size) for i in range(logs.shape[1])], axis=1).astype(np.float64)
+
+
+def languages(docs: DataFrame, trained: Trained, keep: list[str]) -> DataFrame:
+    """``keep``, lang_pred and score for each row of ``docs``, from its column text."""
     model = trained.model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.langs:
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     size = len(model.langs)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rid, word, whole, tf, count, top = (unused(docs, x) for x in ("rid", "word", "whole", "tf", "n", "top"))
+    d = docs.select(*keep, F.monotonically_increasing_id().alias(rid), F.col("text").alias(whole))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    types = [(f.name, f.dataType.simpleString()) for f in d.schema if f.name != whole]
+    s = [unused(docs, f"s{i}") for i in range(size)]
+    floats = ", ".join(f"{x} double" for x in s)
+    own_schema = ", ".join(f"`{n}` {t}" for n, t in types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        m: Model = shared.value
+        names = [*[n for n, _ in types], word, tf, count, *s]
         for batch in batches:
-            sums, tails, n = [], [], []
-            for text in batch.column(2):
-                data, tail = scorer.parts(text.as_py())
-                sums.append(scorer.total(data))
-                tails.append([{"word": w, "tf": f} for w, f in tail.items()])
-                n.append(len(data) + len(tail))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(tails, pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())])))], ["doc_id", "text_hash", "n", "sums", "tail"]
-            )
-
-    keys = ["doc_id", "text_hash"]
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, n long, sums array<double>, tail array<struct<word:string,tf:int>>"))
-    tail = rows.select(*keys, F.explode("tail").alias("x")).select(*keys, "x.word", "x.tf")
-    unseen = _unseen_words(tail.select("word").distinct().join(trained.words, "word", "left_anti"), trained, shared)
-    own = rows.select(*keys, F.lit(1).alias("copies"), "n", *[F.col("sums")[i].alias(f"s{i}") for i in range(size)])
-    rest = tail.join(trained.words.unionByName(unseen), "word").select(*keys, F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n"), *[(F.col("v")[i].cast("double") * F.col("tf")).alias(f"s{i}") for i in range(size)])
-    x = own.unionByName(rest).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)])
-    x = x.select(*keys, "n", F.array(*[F.col(f"s{i}") / F.col("copies") for i in range(size)]).alias("s")).withColumn("top", F.array_max("s"))
-    share = 1 / F.aggregate(F.transform("s", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
-    best = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("s", F.col("top")).cast("int"))
-    return x.select(*keys, F.when(F.col("n") > 0, best).otherwise("und").alias("lang_pred"), F.when(F.col("n") > 0, share).otherwise(0.0).alias("score"))
+            for e in encoded(batch.column(batch.num_columns - 1), letter_words):
+                rows, row, n = batch.slice(e.first, len(e.ends)), e.rows, len(e.ends)
+                place = e.places(m.words)
+                logs = np.zeros((len(e.words), size), np.float32)
+                logs[place >= 0] = m.word_logs[place[place >= 0]]
+                if m.all_words and (place < 0).any():
+                    logs[place < 0] = by_grams(e.words.filter(pa.array(place < 0)), m)
+                told = np.ones(len(e.words), bool) if m.all_words else place >= 0
+                sums = _sums(row, logs, e.codes, n)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int32)), pa.array(np.diff(e.ends, prepend=0)), *[pa.array(sums[:, i]) for i in range(size)]], names)
+                other = ~told[e.codes]
+                if other.any():
+                    keys, often = np.unique(row[other] * len(e.words) + e.codes[other], return_counts=True)
+                    t, at = len(keys), rows.schema.get_field_index(rid)
+                    empty = [pa.nulls(t, x.type) if i != at else x.take(pa.array(keys // len(e.words))) for i, x in enumerate(rows.columns[:-1])]
+                    yield pa.RecordBatch.from_arrays([*empty, e.words.take(pa.array(keys % len(e.words))), pa.array(often.astype(np.int32)), pa.nulls(t, pa.int64()), *[pa.nulls(t, pa.float64())] * size], names)
+
+    told = d.mapInArrow(run, f"{own_schema}, {word} string, {tf} int, {count} long, {floats}")
+    if not model.all_words:
+        told = _with_others(told, trained, keep, (rid, word, tf, count), s, shared)
+    told = told.withColumn(top, F.greatest(*s) if size > 1 else F.col(s[0]))
+    share = 1 / sum((F.exp(F.col(x) - F.col(top)) for x in s), F.lit(0.0))
+    best = F.coalesce(*[F.when(F.col(x) == F.col(top), F.lit(lang)) for x, lang in zip(s, model.langs, strict=True)])
+    return told.select(*keep, F.when(F.col(count) > 0, best).otherwise("und").alias("lang_pred"), F.when(F.col(count) > 0, share).otherwise(0.0).alias("score"))
+
+
+def _with_others(told: DataFrame, trained: Trained, keep: list[str], names: tuple[str, ...], s: list[str], shared) -> DataFrame:
+    """Own rows with the sums of the words that tasks don't hold: known ones are joined, what is left is scored by n-grams."""
+    (rid, word, tf, count), size = names, len(s)
+    known = trained.words.select(F.col("word").alias(word), "v")
+    asked = told.where(F.col(word).isNotNull()).select(rid, word, tf).join(known.hint("shuffle_hash"), word, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for batch in batches:
+            v = batch.column(3)
+            unseen = np.asarray(pc.is_null(v))
+            logs = np.zeros((batch.num_rows, size))
+            if (~unseen).any():
+                logs[~unseen] = np.asarray(v.drop_null().flatten()).reshape(-1, size)
+            if unseen.any():
+                w = batch.column(0).filter(pa.array(unseen)).dictionary_encode()
+                logs[unseen] = by_grams(w.dictionary, m)[np.asarray(w.indices)]
+            logs *= np.asarray(batch.column(2))[:, None]
+            # A batch's rows of one text are summed before they are sent on.
+            ids, which = np.unique(np.asarray(batch.column(1)), return_inverse=True)
+            sums = _sums(which, logs, np.arange(batch.num_rows), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(sums[:, i].astype(np.float32)) for i in range(size)]], [rid, *s])
+
+    more = asked.select(word, rid, tf, "v").mapInArrow(run, f"{rid} long, " + ", ".join(f"{x} float" for x in s))
+    own = told.where(F.col(word).isNull()).select(rid, count, *s, *keep)
+    x = own.unionByName(more.select(rid, *[F.col(c).cast("double").alias(c) for c in s]), allowMissingColumns=True)
+    return x.groupBy(rid).agg(F.max(count).alias(count), *[F.sum(c).alias(c) for c in s], *[F.max(c).alias(c) for c in keep])
 
 
 def predict(docs: DataFrame, trained: Trained) -> DataFrame:
-    """``docs`` with lang_pred and score after its other columns (which must not be named so)."""
-    model = trained.model
-    own = docs.schema.fieldNames()
-    if not (model.all_words and model.all_grams):
-        of = _joined(docs.select("doc_id", "text"), trained).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-        return docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select(*own, "lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = own.index("text")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """All columns of ``docs``, with lang_pred and score after them (columns of ``docs`` named so are replaced).
+
+    Texts that are null or have no letter are ``und`` with score 0; so are all
+    if no language could be learnt. Of equally likely languages the first by
+    name counts. Repeated rows stay repeated.
+    """
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    d = docs.select(*own)
+    if trained.model.all_words:
+        return languages(d, trained, own)
+    key, h = unused(d, "key"), unused(d, "hash")
+    said = languages(d.select(F.col("doc_id").alias(key), F.xxhash64("text").alias(h), "text"), trained, [key, h]).dropDuplicates([key, h])
+    return d.join(said, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h))).select(*own, "lang_pred", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            found = [scorer.best(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*own, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{types}, lang_pred string, score double")
+def keep_known(docs: DataFrame, trained: Trained) -> DataFrame:
+    """``docs``, columns as they are, without the rows whose language is ``und``."""
+    key, h = unused(docs, "key"), unused(docs, "hash")
+    said = languages(docs.select(F.col("doc_id").alias(key), F.xxhash64("text").alias(h), "text"), trained, [key, h])
+    rejected = cut(said.where("lang_pred = 'und'").select(key, h).distinct())
+    return docs.join(small(rejected, F.lit(32)), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out, lang_pred, score, learnt from the documents whose crc32(doc_id) mod 3 isn't 1.
+    """doc_id, held_out, lang_pred, score for each row of ``docs``, learnt from those whose crc32(doc_id) mod 3 isn't 1.
 
-    A null lang isn't learnt from. Texts that are null or have no letter are
-    ``und`` with score 0; so are all if no language could be learnt. Rows stay
-    as they are repeated; an empty table gives an empty one.
+    A null lang isn't learnt from, and a null doc_id counts as the empty text.
+    Long texts and long words are scored whole. Other columns play no part. The
+    rest is as ``predict`` has it; an empty table gives an empty one.
     """
     trained = train_model(docs.where(in_training(F.col("doc_id"), 3, 1)).select("text", "lang"))
-    return predict(docs.select("doc_id", "text", (~in_training(F.col("doc_id"), 3, 1)).alias("held_out")), trained)
+    return languages(docs.select("doc_id", (~in_training(F.col("doc_id"), 3, 1)).alias("held_out"), "text"), trained, ["doc_id", "held_out"])
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs)
