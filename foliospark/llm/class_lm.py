@@ -1,13 +1,14 @@
 """LM scoring with a class-based bigram model (Brown et al.).
 
-    P(w | previous) = P(class(w) | class(previous)) * P(item(w) | class(w)) * P(w | item(w))
-
-An item is one of the ITEMS most frequent words, or what all other words with
-the same ending have in common, so every word, seen or not, has an item and a
-class. Exchange clustering moves items between classes as long as that raises
-the likelihood of the training bigrams. Counts are taken over all training texts
-and stay distributed: the tasks hold the classes, the transitions and the HEAD
-most frequent words; the counts of all other words are joined.
+    P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))
+
+Exchange clustering assigns words to classes. The core, every word that makes up
+1 / CORE of the training tokens or more, is exchanged until no word moves. Each
+other word of the vocabulary, however rare, then joins the class with the
+largest gain in the same likelihood, to first order, from all its own
+neighbours that are in the core. The vocabulary, its counts and its classes stay
+distributed and grow with the corpus; tasks hold the HEAD most frequent words as
+a cache, and whatever it doesn't hold is joined, so results don't depend on it.
 """
 
 from __future__ import annotations
@@ -17,47 +18,52 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, ascii_lower, count_floor, cut, in_training, whole, words
-from .tokens import Memo
+from .common import count_floor, cut, in_training, unused
+from .encode import Tally, blank_words, encoded
 
-ITEMS, ENDINGS, HEAD, CLASSES = 1000, 300, 150_000, 48
-#: Only words up to this length are held in the tasks.
-HEAD_CHARS = 64
+#: At most CORE words can make up 1 / CORE of the tokens each, whatever the corpus.
+CORE, HEAD, CLASSES = 4096, 200_000, 64
 #: The end of a text; words have no blanks, so none is equal to it.
 END = " "
+#: Stands for a neighbour outside the core, and for a word that tasks don't hold.
+NONE = 255
 
 
-class Model(NamedTuple):
-    items: dict[str, int]  # word or "ending" key -> item
-    item_class: np.ndarray
-    transition: np.ndarray  # log10 P(class | previous class)
-    emission: np.ndarray  # log10 P(item | class)
-    head: dict[str, int]  # counts of the most frequent words
-    seen_share: np.ndarray  # by item: count of the item's tokens
-    types: np.ndarray  # by item: distinct words
+class Lexicon(NamedTuple):
+    """What was learnt about words: ``table`` (word, c, class) has all of them, ``words``, ``counts`` and ``classes`` the cache."""
+
+    table: DataFrame
+    words: pa.Array
+    counts: np.ndarray
+    classes: np.ndarray
+    end: tuple[int, int]  # the end's count and class
+    tokens: np.ndarray  # by class
+    types: np.ndarray  # by class
+    unseen: int  # the class that words belong to that no training text has
     discount: float
     n: int
     v: int
-    least: int  # words with this count or more are in the head
-
-
-def tokens(text: Column) -> Column:
-    return words(ascii_lower(whole(text)), BLANK)
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / (self.n + self.v + 1))
 
-def ending(word: Column) -> Column:
-    """The item key of a word that isn't frequent: a blank and its last two characters."""
-    return F.concat(F.lit(END), F.substring(word, -2, 2))
+    def emission(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 P(w | class): c / C; in the class of unseen words (c - d) / C, and d T / C for all of them together."""
+        own = cls == self.unseen
+        rest = self.discount * self.types[self.unseen]
+        return np.log10(np.where(c > 0, c - self.discount * own, rest) / self.tokens[cls])
 
 
-def exchange(bigrams: np.ndarray, counts: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+def exchange(bigrams: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """Classes of the items (Kneser and Ney's exchange algorithm): ``bigrams`` has rows (a, b, n).
 
     Each item in turn, most frequent first, goes to the class that makes
-    sum n(c, d) log n(c, d) - sum n(c) log n(c) [left and right] the largest.
+    sum n(c, d) log n(c, d) - sum n(c) log n(c) [left and right] the largest,
+    until none moves. Every move raises the sum, so this ends.
     """
     size = len(counts)
     k = max(1, min(k, size))
@@ -73,9 +79,10 @@ def exchange(bigrams: np.ndarray, counts: np.ndarray, k: int, rounds: int = 6) -
     np.add.at(own, a[a == b], n[a == b])
     table = np.zeros((k, k))
     np.add.at(table, (classes[a], classes[b]), n)
-    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-    for _ in range(rounds):
-        moved = 0
+    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    moved = True
+    while moved:
+        moved = False
         for w in order:
             after, before = right[right_at[w] : right_at[w + 1]], left[left_at[w] : left_at[w + 1]]
             after, before = after[b[after] != w], before[a[before] != w]
@@ -85,192 +92,361 @@ def exchange(bigrams: np.ndarray, counts: np.ndarray, k: int, rounds: int = 6) -
             table[c, :] -= r
             table[:, c] -= f
             table[c, c] -= s
-            rows, columns, diagonal = table.sum(axis=1), table.sum(axis=0), np.diag(table)
+            # w's neighbours stay in their rows and columns, whichever class w joins.
+            rows, columns, diagonal = table.sum(axis=1) + f, table.sum(axis=0) + r, np.diag(table)
             # What changes if w joins class x: row x, column x, and the cell where both meet.
-            gain = (xlogx(table + r) - xlogx(table)).sum(axis=1) + (xlogx(table + f[:, None]) - xlogx(table)).sum(axis=0)
+            rs, fs = np.flatnonzero(r), np.flatnonzero(f)
+            gain = (xlogx(table[:, rs] + r[rs]) - xlogx(table[:, rs])).sum(axis=1) + (xlogx(table[fs] + f[fs, None]) - xlogx(table[fs])).sum(axis=0)
             gain += xlogx(diagonal + r + f + s) - xlogx(diagonal + r) - xlogx(diagonal + f) + xlogx(diagonal)
             gain -= xlogx(rows + r.sum() + s) - xlogx(rows) + xlogx(columns + f.sum() + s) - xlogx(columns)
             best = int(gain.argmax())
-            if gain[best] <= gain[c] + 1e-9:
-                best = c
+            if gain[best] <= gain[c] + 1e-6 * max(1.0, abs(gain[c])):
+                best = int(c)
             table[best, :] += r
             table[:, best] += f
             table[best, best] += s
-            moved += best != c
+            moved |= best != c
             classes[w] = best
-        if not moved:
-            break
     return classes
 
 
-class _Reader:
-    """Texts as lists of items and of words that aren't held here."""
+def votes(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after)[neighbour's class, x]: what one such neighbour adds to the likelihood, to first order, if a word joins class x."""
+    t = table + 0.1
+    after = np.log(t / t.sum(axis=1, keepdims=True)).T
+    before = np.log(t / t.sum(axis=0, keepdims=True))
+    none = np.zeros((1, len(table)))  # a neighbour outside the core
+    return np.concatenate([before, none]), np.concatenate([after, none])
 
-    def __init__(self, items: dict[str, int], head: dict[str, int]) -> None:
-        self.items, self.head = items, head
-        self.other = items[END + END]
-        self.of = Memo(self._item)
 
-    def _item(self, word: str) -> int:
-        got = self.items.get(word)
-        return got if got is not None else self.items.get(END + word[-2:], self.other)
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, c): how often each word, and the end, occurs in the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for e in encoded(batch.column(0), blank_words):
+                n = np.append(np.bincount(e.codes, minlength=len(e.words)), len(e.ends)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([e.words, pa.array([END])]), pa.array(n)], ["word", "n"])
 
-    def ids(self, ws: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.of.__getitem__, ws), np.int64, len(ws))
+    return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c): how often each word, and the end, occurs in the training texts."""
-    return train.select(F.explode(F.concat(tokens(F.col("text")), F.array(F.lit(END)))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+def _framed(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's ids with ``end`` before and after them, and whether an id is one of those ends."""
+    n = len(ends)
+    at = np.arange(len(ids)) + 2 * np.repeat(np.arange(n), np.diff(ends, prepend=0)) + 1
+    out, frame = np.full(len(ids) + 2 * n, end, ids.dtype), np.ones(len(ids) + 2 * n, bool)
+    out[at] = ids
+    frame[at] = False
+    return out, frame
 
 
-def _bigrams(train: DataFrame, items: dict[str, int], head: dict[str, int]) -> np.ndarray:
-    """(item, next item, n) over all training texts; the end stands before the first token too."""
-    shared = train.sparkSession.sparkContext.broadcast((items, head))
-    size = len(items)
+def _core_bigrams(train: DataFrame, core: pa.Array) -> np.ndarray:
+    """(item, next item, n) of core words side by side; item len(core) is the end, which stands before the first word too."""
+    shared = train.sparkSession.sparkContext.broadcast(core)
+    size = len(core) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(*shared.value)
-        end = items[END]
-        sums: dict[int, int] = {}
+        tally = Tally()
         for batch in batches:
-            found = []
-            for text in batch.column(0):
-                ids = reader.ids(text.as_py().split(END) if text.as_py() else [])
-                found.append(np.append(end, ids) * size + np.append(ids, end))
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            for key, c in zip(keys.tolist(), n.tolist(), strict=True):
-                sums[key] = sums.get(key, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["key", "n"])
-
-    joined = train.select(F.array_join(tokens(F.col("text")), END).alias("t"))
-    rows = joined.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # items^2 rows at most
+            for e in encoded(batch.column(0), blank_words):
+                ids, frame = _framed(e.places(shared.value)[e.codes], e.ends, size - 1)
+                a, b = ids[:-1], ids[1:]
+                # An end is followed by the next row's beginning: that is no bigram.
+                keep = (a >= 0) & (b >= 0) & ~(frame[:-1] & frame[1:] & (np.cumsum(frame)[:-1] % 2 == 0))
+                tally.add(a[keep] * size + b[keep])
+        keys, n = tally.sums()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    rows = train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # (CORE + 1)^2 rows at most
     key, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "n"))
     return np.stack([key // size, key % size, n], axis=1) if len(key) else np.zeros((0, 3), np.int64)
 
 
-def train_model(train: DataFrame, counts: DataFrame, n_items: int = ITEMS, n_endings: int = ENDINGS, n_head: int = HEAD, n_classes: int = CLASSES) -> Model | None:
-    """``counts``: word_counts(train). None if there are no training texts."""
+def _neighbours(train: DataFrame, core: pa.Array, core_class: np.ndarray) -> DataFrame:
+    """(word, n, seen): of each word outside the core, n occurrences and the classes before and after each, two bytes an occurrence; a word has several rows."""
+    shared = train.sparkSession.sparkContext.broadcast((core, np.append(core_class, NONE).astype(np.uint8)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, cls = shared.value
+        end = int(cls[-2])  # the last item is the end
+        for batch in batches:
+            for e in encoded(batch.column(0), blank_words):
+                of_word = cls[e.places(core)]  # place -1 is NONE
+                of_token = of_word[e.codes]
+                seq, frame = _framed(of_token, e.ends, end)
+                at = np.flatnonzero(~frame)
+                rare = of_token == NONE
+                codes, at = e.codes[rare], at[rare]
+                order = np.argsort(codes, kind="stable")
+                pairs = np.stack([seq[at - 1], seq[at + 1]], axis=1)[order]
+                n = np.bincount(codes, minlength=len(e.words))
+                some = np.flatnonzero(n)
+                offsets = np.append(0, np.cumsum(2 * n[some])).astype(np.int32)
+                seen = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
+                yield pa.RecordBatch.from_arrays([e.words.take(pa.array(some)), pa.array(n[some].astype(np.int64)), seen], ["word", "n", "seen"])
+
+    return train.select("text").mapInArrow(run, "word string, n long, seen binary")
+
+
+def _placed(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, c, class) of each word outside the core."""
+    k = len(table)
+    shared = neighbours.sparkSession.sparkContext.broadcast((*votes(table), 1e-6 * np.log1p(table.sum(axis=1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after, likely = shared.value  # without a neighbour that tells: the largest class
+        held: tuple[str, int, np.ndarray] | None = None
+
+        def out(words: pa.Array, n: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+            gain = cells[:, : k + 1] @ before + cells[:, k + 1 :] @ after + likely
+            return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), pa.array(gain.argmax(axis=1).astype(np.int32))], ["word", "c", "class"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = batch.column(0).dictionary_encode()
+            group, words = np.asarray(d.indices).astype(np.int64), d.dictionary
+            sizes = np.asarray(pc.binary_length(batch.column(2))).astype(np.int64) // 2
+            data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
+            data[data == NONE] = k
+            of = np.repeat(group, sizes) * (2 * k + 2)
+            g = len(words)
+            cells = (np.bincount(of + data[:, 0], minlength=g * (2 * k + 2)) + np.bincount(of + data[:, 1] + k + 1, minlength=g * (2 * k + 2))).reshape(g, -1).astype(np.float64)
+            n = np.bincount(group, weights=np.asarray(batch.column(1)), minlength=g)
+            if held is not None:
+                if words[0].as_py() == held[0]:
+                    n[0] += held[1]
+                    cells[0] += held[2]
+                else:
+                    yield out(pa.array([held[0]]), np.array([held[1]]), held[2][None])
+            held = (words[g - 1].as_py(), n[-1], cells[-1])
+            if g > 1:
+                yield out(words.slice(0, g - 1), n[:-1], cells[:-1])
+        if held is not None:
+            yield out(pa.array([held[0]]), np.array([held[1]]), held[2][None])
+
+    return neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, c long, class int")
+
+
+def lexicon(train: DataFrame, core: int = CORE, head: int = HEAD, k: int = CLASSES) -> Lexicon | None:
+    """Learns words, counts and classes from the column text of ``train``; None if it has no rows. ``k`` is under 255."""
+    counts = cut(word_counts(train))
     n, v, once, twice = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     if not n:
         return None
-    short = counts.where(F.length("word") <= HEAD_CHARS)
-    least = count_floor(short, "c", n_head)
-    top = short.where((F.col("c") >= least) | (F.col("word") == END)).toArrow()  # n_head rows and the end at most
-    head = dict(sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
-    frequent = [END, *[w for w in head if w != END][:n_items]]
-    items = {w: i for i, w in enumerate(frequent)}
-    rare = counts.where(~F.col("word").isin(frequent)).groupBy(ending(F.col("word")).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("types"))
-    rare = cut(rare)
-    for r in rare.orderBy(F.desc("c"), "e").limit(n_endings).collect():
-        items.setdefault(r["e"], len(items))
-    items[END + END] = len(items)
-    size = len(items)
-    seen, types = np.zeros(size), np.zeros(size)
-    for w in frequent:
-        seen[items[w]], types[items[w]] = head.get(w, 0), 1
-    endings = [k for k in items if len(k) > 1 and k[0] == END and k != END + END]
-    kept = {r["e"]: r for r in rare.where(F.col("e").isin(endings)).collect()} if endings else {}
-    for e, r in kept.items():
-        seen[items[e]], types[items[e]] = r["c"], r["types"]
-    rest = rare.where(~F.col("e").isin(endings)) if endings else rare
-    seen[-1], types[-1] = (x or 0 for x in rest.agg(F.sum("c"), F.sum("types")).first())
-    bigrams = _bigrams(train, items, head)
-    classes = exchange(bigrams, seen, n_classes)
-    k = int(classes.max()) + 1
-    table = np.zeros((k, k))
+    frequent = counts.where((F.col("c") * core >= n) & (F.col("word") != END)).toArrow()  # ``core`` rows at most
+    order = pc.sort_indices(frequent, [("c", "descending"), ("word", "ascending")])
+    words = frequent.column("word").take(order).combine_chunks()
+    end = counts.where(F.col("word") == END).first()["c"]
+    sizes = np.append(np.asarray(frequent.column("c").take(order).combine_chunks()), end)
+    bigrams = _core_bigrams(train, words)
+    classes = exchange(bigrams, sizes, k)
+    table = np.zeros((int(classes.max()) + 1,) * 2)
     np.add.at(table, (classes[bigrams[:, 0]], classes[bigrams[:, 1]]), bigrams[:, 2])
-    of_class = np.bincount(classes, weights=seen, minlength=k)
-    single = (of_class + 1) / (of_class.sum() + k)
-    # Transitions are backed off to the class's own share by the number of different classes that follow (Witten and Bell).
-    kinds = (table > 0).sum(axis=1, keepdims=True)
-    smooth = (table + np.maximum(kinds, 1) * single) / (table.sum(axis=1, keepdims=True) + np.maximum(kinds, 1))
-    members = np.bincount(classes, minlength=k)
-    emission = (seen + 0.5) / (of_class + 0.5 * members)[classes]
-    discount = once / (once + 2 * twice) if once else 0.5
-    return Model(items, classes, np.log10(smooth), np.log10(emission), head, seen, types, min(0.95, max(0.05, discount)), int(n), int(v), least)
-
-
-def scored(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) scored: doc_id, text_hash, n_tokens, n_known, train_tokens, base_score, score.
-
-    P(w | item) of a word that shares its item: (c - d) / C for the T words
-    seen, and d T / C in all for those never seen; a frequent word is alone in
-    its item. So the probabilities of what can follow sum up to one.
+    spark = train.sparkSession
+    own = spark.createDataFrame(pa.table({"word": pa.concat_arrays([words.cast(pa.string()), pa.array([END])]), "c": sizes.astype(np.int64), "class": classes.astype(np.int32)}))
+    placed = cut(_placed(_neighbours(train, words, classes), table).unionByName(own))
+    kinds = placed.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
+    tokens, types, singles = (np.zeros(len(table)) for _ in range(3))
+    for r in kinds:
+        tokens[r["class"]], types[r["class"]], singles[r["class"]] = r["tokens"], r["types"], r["once"]
+    least = count_floor(placed, "c", head)
+    top = placed.where((F.col("c") >= least) & (F.col("word") != END)).toArrow()  # ``head`` rows at most
+    # Unseen words go where most words are that were seen once; without any, to the class with most words.
+    unseen = int((singles if singles.any() else types).argmax())
+    discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
+    arrays = [top.column(c).combine_chunks() for c in ("word", "c", "class")]
+    return Lexicon(placed, arrays[0], np.asarray(arrays[1]), np.asarray(arrays[2]), (int(end), int(classes[-1])), np.maximum(tokens, 1), np.maximum(types, 1), unseen, discount, int(n), int(v))
+
+
+CODED = "n_tokens long, n_known long, base double, emitted double, classes binary"
+
+
+def coded(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
+    """``keep`` and CODED of each row of ``docs``: its words' sums, and its classes in a row, the end's last.
+
+    Tasks code the words that they hold; a text's other words, each once, are
+    joined with the whole lexicon and meet the text's codes again by its row
+    number, in one sort.
     """
-    keys = ["doc_id", "text_hash"]
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_join(tokens(F.col("text")), END).alias("t"))
-    if model is None:
-        n = F.when(F.col("t") == "", 1).otherwise(F.size(F.split("t", END)) + 1).cast("long")
-        zero = F.lit(0).cast("long")
-        return d.select(*keys, n.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    facts = ["n_tokens", "n_known", "base", "score"]
-    schema = "doc_id long, text_hash long, n_tokens long, n_known long, base double, score double, tail array<struct<word:string,item:int,tf:int>>"
-    tail_type = pa.list_(pa.struct([("word", pa.string()), ("item", pa.int32()), ("tf", pa.int32())]))
+    spark = docs.sparkSession
+    rid, k, word, cls, c = (unused(docs, x) for x in ("rid", "k", "word", "cls", "c"))
+    d = docs.select(*keep, F.monotonically_increasing_id().alias(rid), "text")
+    shared = spark.sparkContext.broadcast(lex._replace(table=None))
+    own_types = [(f.name, f.dataType.simpleString()) for f in d.schema if f.name != "text"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in own_types) + f", {k} int, {word} string, n_tokens long, n_known long, base double, emitted double, classes binary, places binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        reader, end = _Reader(m.items, m.head), m.items[END]
-        alone = np.zeros(len(m.item_class), bool)
-        alone[[i for w, i in m.items.items() if w == END or w[0] != END]] = True
-        head_c = Memo(lambda w: m.head.get(w, 0))
+        m: Lexicon = shared.value
+        held_c, held_class = np.append(m.counts, 0), np.append(m.classes, NONE).astype(np.uint8)
         for batch in batches:
-            out, tails = [], []
-            for text in batch.column(2):
-                ws = text.as_py().split(END) if text.as_py() else []
-                ids = np.append(reader.ids(ws), end)
-                c = np.append(np.fromiter(map(head_c.__getitem__, ws), np.int64, len(ws)), m.head[END])
-                cls = m.item_class[ids]
-                total = m.transition[np.append(m.item_class[end], cls[:-1]), cls].sum() + m.emission[ids].sum()
-                held = c > 0
-                inner = held & ~alone[ids]
-                total += np.log10((c[inner] - m.discount) / m.seen_share[ids[inner]]).sum()
-                tail: dict[str, list] = {}
-                for i in np.flatnonzero(~held).tolist():
-                    tail.setdefault(ws[i], [int(ids[i]), 0])[1] += 1
-                tails.append([{"word": w, "item": i, "tf": f} for w, (i, f) in tail.items()])
-                out.append((len(ids), int(held.sum()), float(np.log10((c[held] + 1) / (m.n + m.v + 1)).sum()), float(total)))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, pa.array(tails, tail_type)], [*keys, *facts, "tail"])
-
-    # A text's own sums travel as a row among those of its words that aren't held in the tasks; no word has a blank, as its key has.
-    own = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("item"), F.lit(1).alias("tf")))
-    rows = d.mapInArrow(run, schema).select(*keys, *facts, F.explode(F.concat(own, F.col("tail"))).alias("x"))
-    first = F.col("x.word").isNull()
-    rows = rows.select(*keys, *[F.when(first, F.col(f)).alias(f) for f in facts], F.when(first, F.concat(F.lit(END), F.col("text_hash").cast("string"))).otherwise(F.col("x.word")).alias("word"), F.col("x.item").alias("item"), F.col("x.tf").alias("tf"))
-    # What the tasks don't hold.
-    others = counts.where((F.col("c") < model.least) | (F.length("word") > HEAD_CHARS))
-    of_item = docs.sparkSession.createDataFrame([(i, float(s), float(t)) for i, (s, t) in enumerate(zip(model.seen_share, model.types, strict=True))], "item int, item_tokens double, item_types double")
-    joined = rows.join(others, "word", "left").join(F.broadcast(of_item), "item", "left")
-    first, c, less = F.col("item").isNull(), F.coalesce("c", F.lit(0)), F.lit(model.discount)
-    # An unseen word whose item has no seen words has all of the item's share.
-    within = F.when(c > 0, (c - less) / F.col("item_tokens")).when(F.col("item_types") > 0, less * F.col("item_types") / F.col("item_tokens")).otherwise(1.0)
-    sums = joined.groupBy(*keys).agg(
-        F.sum(F.when(first, F.col("base")).otherwise(F.col("tf") * F.log10((c + 1) / F.lit(float(model.n + model.v + 1))))).alias("base_score"),
-        F.sum(F.when(first, F.col("score")).otherwise(F.col("tf") * F.log10(within))).alias("score"),
-        F.sum(F.when(first, F.col("n_known")).when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(first.cast("long")).alias("copies"),
-    )
-    k = F.col("copies")
-    return sums.withColumn("_c", F.explode(F.sequence(F.lit(1), k.cast("int")))).select(
-        *keys, "n_tokens", (F.col("n_known") / k).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") / k).alias("base_score"), (F.col("score") / k).alias("score")
-    )
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``, learnt from those whose crc32(doc_id) mod 7 isn't 2.
-
-    Null texts are empty: one token, the end. Without training texts both
-    scores are 0, the probability of the only thing that can be said then.
+            for e in encoded(batch.column(batch.num_columns - 1), blank_words):
+                rows = batch.slice(e.first, len(e.ends))
+                place = e.places(m.words)
+                of_token, held = held_class[place][e.codes], place[e.codes] >= 0
+                row, size = e.rows, len(e.ends)
+                n_held = np.bincount(row[held], minlength=size)
+                safe = np.where(place >= 0, place, 0)
+                sums = [np.bincount(row[held], weights=np.where(place >= 0, f, 0.0)[e.codes[held]], minlength=size) for f in (m.base(held_c[safe]), m.emission(np.maximum(held_c[safe], 1), np.where(place >= 0, held_class[place], 0).astype(np.int64)))]
+                ends = np.diff(e.ends, prepend=0)
+                # The end is a token too.
+                seq = np.full(len(e.codes) + size, m.end[1], np.uint8)
+                seq[np.arange(len(e.codes)) + row] = of_token
+                one = np.array([m.end[0]]), np.array([m.end[1]])
+                sums = [sums[0] + m.base(one[0]), sums[1] + m.emission(*one)]
+                binary = lambda data, lengths: pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                # A row's other words by their first place, and which of them stands at each place.
+                other, orow = e.codes[~held], row[~held]
+                pairs, which = np.unique(orow * len(e.words) + other, return_inverse=True)
+                prow, pword = pairs // max(1, len(e.words)), pairs % max(1, len(e.words))
+                start = np.searchsorted(prow, np.arange(size))
+                places = (which - start[orow]).astype("<i4")
+                nothing = pa.nulls(size, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[:-1], pa.array(np.full(size, -1, np.int32)), nothing, pa.array(ends + 1), pa.array(n_held + 1), pa.array(sums[0]), pa.array(sums[1]), binary(seq, ends + 1), binary(places, 4 * np.bincount(orow, minlength=size))],
+                    [*[n for n, _ in own_types], k, word, "n_tokens", "n_known", "base", "emitted", "classes", "places"],
+                )
+                if len(pairs):
+                    t, at = len(pairs), batch.schema.get_field_index(rid)
+                    empty = [pa.nulls(t, x.type) if i != at else rows.column(at).take(pa.array(prow)) for i, x in enumerate(rows.columns[:-1])]
+                    yield pa.RecordBatch.from_arrays(
+                        [*empty, pa.array((np.arange(t) - start[prow]).astype(np.int32)), e.words.take(pa.array(pword)), *[pa.nulls(t, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())]],
+                        [*[n for n, _ in own_types], k, word, "n_tokens", "n_known", "base", "emitted", "classes", "places"],
+                    )
+
+    facts = ["n_tokens", "n_known", "base", "emitted", "classes", "places"]
+    told = d.mapInArrow(run, schema)
+    own = told.where(F.col(k) < 0).select(*keep, rid, k, F.lit(None).cast("long").alias(c), F.lit(None).cast("int").alias(cls), *facts)
+    return _filled(own, told, lex, keep, (rid, k, word, cls, c), facts)
+
+
+def _filled(own: DataFrame, told: DataFrame, lex: Lexicon, keep: list[str], names: tuple[str, ...], facts: list[str]) -> DataFrame:
+    rid, k, word, cls, c = names
+    learnt = lex.table.select(F.col("word").alias(word), F.col("c").alias(c), F.col("class").alias(cls))
+    # An own row has a key of its own in the join, so that such rows never meet in one task.
+    key = F.coalesce(F.col(word), F.concat(F.lit(END + END), F.col(rid).cast("string")))
+    rows = told.withColumn(word, key).join(learnt.hint("shuffle_hash"), word, "left").select(*keep, rid, k, c, cls, *facts)
+    shared = own.sparkSession.sparkContext.broadcast(lex._replace(table=None, words=None, counts=None, classes=None))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keep).schema) + ", " + CODED
+    columns = [*keep, rid, k, c, cls, *facts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Lexicon = shared.value
+
+        def settle(t: pa.Table) -> pa.RecordBatch:
+            col = lambda x: t.column(x).combine_chunks()
+            first = np.flatnonzero(np.asarray(col(k)) < 0)
+            counts = np.asarray(pc.fill_null(col(c), 0))
+            kinds = np.where(counts > 0, np.asarray(pc.fill_null(col(cls), 0)), m.unseen).astype(np.int64)
+            mine = t.take(pa.array(first)).combine_chunks()
+            seq = np.frombuffer(b"".join(mine.column("classes").to_pylist()), np.uint8).copy()
+            places = np.frombuffer(b"".join(mine.column("places").to_pylist()), "<i4")
+            sizes = np.asarray(pc.binary_length(mine.column("places").combine_chunks())) // 4
+            doc = np.repeat(np.arange(len(first)), sizes)
+            at = first[doc] + 1 + places
+            seq[seq == NONE] = kinds[at]
+            sums = [np.bincount(doc, weights=w, minlength=len(first)) for w in (counts[at] > 0, m.base(counts[at]), m.emission(counts[at], kinds[at]))]
+            lengths = np.asarray(mine.column("n_tokens").combine_chunks())
+            classes = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(seq)])
+            n, known, base, emitted = (np.asarray(mine.column(x).combine_chunks()) for x in facts[:4])
+            return pa.RecordBatch.from_arrays([*[mine.column(x).combine_chunks() for x in keep], pa.array(n), pa.array(known + sums[0].astype(np.int64)), pa.array(base + sums[1]), pa.array(emitted + sums[2]), classes], [*keep, *[x.split()[0] for x in CODED.split(", ")]])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            batch = batch.select(columns)
+            last = np.flatnonzero(np.asarray(batch.column(k)) < 0)
+            # The last text's words may go on in the next batch.
+            if len(last) and (held or last[-1] > 0):
+                held.append(batch.slice(0, last[-1]))
+                yield settle(pa.Table.from_batches(held))
+                held = [batch.slice(last[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return rows.repartition(rid).sortWithinPartitions(rid, k).mapInArrow(run, schema)
+
+
+def _previous(classes: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class before, class, where each text begins) of all tokens; the end stands before the first. No text is without tokens."""
+    sizes = np.asarray(pc.binary_length(classes)).astype(np.int64)
+    now = np.frombuffer(b"".join(classes.to_pylist()), np.uint8).astype(np.int64)
+    start = np.cumsum(sizes) - sizes
+    before = np.append(end, now[:-1]) if len(now) else now
+    before[start] = end
+    return before, now, start
+
+
+def transitions(train: DataFrame, lex: Lexicon) -> np.ndarray:
+    """log10 P(class | class before), from the column classes of ``train``."""
+    k, end = len(lex.tokens), lex.end[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(k * k, np.int64)
+        for batch in batches:
+            before, now, _ = _previous(batch.column(0), end)
+            sums += np.bincount(before * k + now, minlength=k * k)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["key", "n"])
+
+    table = np.zeros(k * k)
+    for r in train.select("classes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # k^2 rows at most
+        table[r["key"]] = r["n"]
+    table = table.reshape(k, k)
+    single = (lex.tokens + 1) / (lex.tokens.sum() + k)
+    # Backed off to the class's own share by the number of different classes that follow (Witten and Bell).
+    kinds = np.maximum((table > 0).sum(axis=1, keepdims=True), 1)
+    return np.log10((table + kinds * single) / (table.sum(axis=1, keepdims=True) + kinds))
+
+
+def score_documents(docs: DataFrame, training: Column | None = None, keep: list[str] | None = None, core: int = CORE, head: int = HEAD, k: int = CLASSES) -> DataFrame:
+    """``keep`` (doc_id), held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of ``docs``.
+
+    Learns from the rows where ``training`` is true (crc32(doc_id) mod 7 isn't
+    2). Null and empty texts are one token, the end. Equal texts have equal
+    scores, repeated rows stay repeated, ties between classes go to the one
+    with the smaller number, and other columns, whatever their names, play no
+    part. Without training texts both scores are 0 and perplexity is null: what
+    can be said then is unknown. An empty table gives an empty one.
     """
-    train = docs.where(in_training(F.col("doc_id"), 7, 2)).select("text")
-    counts = cut(word_counts(train))
-    out = scored(docs.select("doc_id", "text"), train_model(train, counts), counts)
-    return out.withColumn("held_out", ~in_training(F.col("doc_id"), 7, 2))
+    keep = ["doc_id"] if keep is None else keep
+    training = in_training(F.col("doc_id"), 7, 2) if training is None else training
+    d = docs.select(*keep, (~training).alias("held_out"), "text")
+    lex = lexicon(d.where("not held_out").select("text"), core, head, k)
+    keep = [*keep, "held_out"]
+    if lex is None:
+        return _unlearnt(d, keep)
+    c = cut(coded(d, lex, keep))
+    table, end = transitions(c.where("not held_out"), lex), lex.end[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, now, start = _previous(batch.column(batch.num_columns - 1), end)
+            steps = np.add.reduceat(table[before, now], start) if len(start) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(steps)], [*batch.schema.names[:-1], "steps"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema if f.name != "classes")
+    out = c.mapInArrow(run, types + ", steps double")
+    score = F.col("emitted") + F.col("steps")
+    return out.select(*keep, "n_tokens", "n_known", F.lit(lex.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+
+
+def _unlearnt(d: DataFrame, keep: list[str]) -> DataFrame:
+    """Token counts of texts by a model that has learnt nothing."""
+    at = d.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for e in encoded(batch.column(at), blank_words):
+                rows = batch.slice(e.first, len(e.ends))
+                yield pa.RecordBatch.from_arrays([*[x for i, x in enumerate(rows.columns) if i != at], pa.array(np.diff(e.ends, prepend=0) + 1)], [*keep, "n_tokens"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
+    zero = F.lit(0).cast("long")
+    return d.mapInArrow(run, types + ", n_tokens long").select(*keep, "n_tokens", zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("perplexity"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return score_documents(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_documents(docs)
