@@ -18,11 +18,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are in some learnt language; those without a letter go."""
+    """Keeps the documents that are in some learnt language, as they are; those that are null or without a letter go.
+
+    Null ids and languages are kept, repeated rows stay repeated, texts are read
+    whole, an empty table stays empty, and other columns than those of documents go.
+    """
     trained = language_id.train_model(docs.where(in_training(F.col("doc_id"), 3, 1)).select("text", "lang"))
     if not trained.model.langs:  # nothing to tell documents apart by
         return docs.select(*COLUMNS)
-    return language_id.predict(docs.select(*COLUMNS), trained).where("lang_pred <> 'und'").select(*COLUMNS)
+    return language_id.keep_known(docs.select(*COLUMNS), trained)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
