@@ -16,7 +16,8 @@ compared:
    increasing length; it stops at the minimum length. What is still together
    then has a longer common prefix, that is, repeats.
 4. A group too large for a block (one very common passage among many different
-   neighbours) has its windows hashed to 128 bits and counted over the cluster.
+   neighbours) has its windows counted over the cluster: by 128 bits of hash
+   first, and those that meet so by their bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, whole
@@ -222,7 +223,7 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
 STRETCH = "doc_id long, text_hash long, first long, last long, piece long, body long"
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[int], np.ndarray, np.ndarray, int]]:
+def _buffers(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[int], np.ndarray, np.ndarray, int]]:
     """Runs of rows whose bytes come to about ``most``: (batch, row numbers, bytes, ends, offset of the first row's bytes). Longer texts come in overlapping pieces."""
     overlap = MIN_BYTES - 1
     for batch in batches:
@@ -283,7 +284,7 @@ def _compare(length: int):
         size, now = 0, None
         for batch in batches:
             for piece, *row in zip(*(batch.column(i).to_pylist() for i in (4, 0, 1, 2, 3, 5)), strict=True):
-                if piece != now and size >= BLOCK // 4:
+                if piece != now and size >= BLOCK // 16:
                     yield settle(held)
                     held, size = [], 0
                 now = piece
@@ -295,7 +296,9 @@ def _compare(length: int):
     return run
 
 
-def _window_hashes(length: int):
+def _windows(length: int, whole_bytes: bool):
+    """A row for each window of a stretch: doc_id, text_hash, first, two hashes, and its bytes if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -304,16 +307,39 @@ def _window_hashes(length: int):
                 h1, h2 = (Hashes(data, b).of(at, at + length) for b in _BASES)
                 n = len(at)
                 same = lambda c: pa.array([batch.column(c)[row].as_py()] * n, pa.int64())
-                yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(at + batch.column(2)[row].as_py()), _signed(h1), _signed(h2)], ["doc_id", "text_hash", "first", "h1", "h2"])
+                columns = [same(0), same(1), pa.array(at + batch.column(2)[row].as_py()), _signed(h1), _signed(h2)]
+                if whole_bytes:
+                    columns.append(pa.array([data[i : i + length].tobytes() for i in at], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "first", "h1", "h2", *(["w"] if whole_bytes else [])])
 
     return run
 
 
+def _counted(large: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_hash, first, last): windows of ``large`` that occur twice in it, byte for byte."""
+    schema = "doc_id long, text_hash long, first long, h1 long, h2 long"
+    twice = large.mapInArrow(_windows(length, False), schema).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    likely = large.mapInArrow(_windows(length, True), schema + ", w binary").join(within(cut(twice), F.lit(32)), ["h1", "h2"])
+    real = likely.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    return likely.join(within(cut(real), F.lit(length + 32)), "w").select("doc_id", "text_hash", "first", (F.col("first") + 1).alias("last"))
+
+
+def _merged(windows: DataFrame, key: list[str], length: int) -> DataFrame:
+    """``key``, spans: the bytes that the windows [first, last) cover, as sorted, disjoint [start, end) ranges."""
+    ranges = windows.select(*key, "first", (F.col("last") + (length - 1)).alias("end"))
+    order = Window.partitionBy(*key).orderBy("first", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranges.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("first")).cast("int"))
+    spans = parts.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*key, "run").agg(F.min("first").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, k: int = K, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_hash, spans): sorted, disjoint [start, end) byte ranges of each document that has repeated strings.
 
     Equal rows are occurrences of their own, so that a row that is repeated as
-    a whole is all repeated strings. Null and empty texts have none.
+    a whole is all repeated strings. Null and empty texts have none, and null
+    ids are ids like others.
     """
     d = docs.select("doc_id", "text")
     key = ["doc_id", "text_hash"]
@@ -322,10 +348,12 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, k: int = K, block:
     often = cut(found.groupBy("piece").agg(F.count("*").alias("total"), F.min("body").alias("b0"), F.max("body").alias("b1")).where("total > 1").select("piece", (F.col("b0") != F.col("b1")).alias("open")))
     members = cut(found.join(within(often, F.lit(40)), "piece"))
     bodies = members.groupBy("piece", "body").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("one"))
-    settled = members.join(bodies.where("n > 1").select("piece", "body"), ["piece", "body"]).select(*key, "first", "last")
-    one = bodies.where("open").select("piece", "one.*")
-    sizes = one.groupBy("piece").agg(F.sum(F.col("last") - F.col("first") + (length - 1)).alias("bytes"))
-    wanted = cut(one.join(sizes, "piece").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "piece", "bytes")).alias("parts")))
+    # Sides that are joined are written first: broadcast if small, and else only read, so that the rows of one piece can be split.
+    again = cut(bodies.where("n > 1").select("piece", "body"))
+    settled = members.join(within(again, F.lit(32)), ["piece", "body"]).select(*key, "first", "last")
+    one = cut(bodies.where("open").select("piece", "one.*"))
+    sizes = cut(one.groupBy("piece").agg(F.sum(F.col("last") - F.col("first") + (length - 1)).alias("bytes")))
+    wanted = cut(one.join(within(sizes, F.lit(32)), "piece").groupBy(*key).agg(F.collect_list(F.struct("first", "last", "piece", "bytes")).alias("parts")))
     wanted = within(wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "parts"), 64 + 40 * F.size("parts"))
     texts = d.withColumn("_hash", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
     texts = texts.select("doc_id", F.col("_h").alias("text_hash"), whole("text").cast("binary").alias("b"), F.explode("parts").alias("p"))
@@ -334,23 +362,21 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, k: int = K, block:
     fetched = cut(fetched.dropDuplicates([*key, "first"]))
     small = fetched.where(F.col("size") <= block).drop("size").repartition("piece").sortWithinPartitions("piece")
     compared = small.mapInArrow(_compare(length), "doc_id long, text_hash long, first long, last long")
-    hashed = fetched.where(F.col("size") > block).drop("size").mapInArrow(_window_hashes(length), "doc_id long, text_hash long, first long, h1 long, h2 long")
-    twice = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    counted = hashed.join(twice, ["h1", "h2"]).select(*key, "first", (F.col("first") + 1).alias("last"))
-    windows = settled.unionByName(compared).unionByName(counted)
-    ranges = windows.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("first", (F.col("last") + (length - 1)).alias("end")))).alias("r"))
-    merged = F.aggregate(
-        "r",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(
-            F.concat(a, F.array(F.struct(x["first"].alias("start"), x["end"].alias("end"))))
-        ),
-    )
-    return ranges.select(*key, merged.alias("spans"))
+    windows = settled.unionByName(compared)
+    large = fetched.where(F.col("size") > block).drop("size")
+    if not large.isEmpty():
+        windows = windows.unionByName(_counted(large, length))
+    return _merged(windows, key, length)
 
 
 def cut_repeats(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary) for each row of ``docs``; kept may cut a character in two."""
+    """doc_id, n_bytes, n_removed, n_spans and kept (binary) for each row of ``docs``; kept may cut a character in two.
+
+    Null and empty texts have no bytes, and null ids are ids like others. Texts
+    are read whole. Rows that are repeated as a whole repeat one another and
+    lose all from MIN_BYTES bytes on. An empty table gives an empty one; other
+    columns play no part.
+    """
     spans = cut(repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans"))
     d = docs.select("doc_id", F.xxhash64("text").alias("_hash"), whole("text").cast("binary").alias("b"))
     j = d.join(within(spans, 64 + 24 * F.size("spans")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
@@ -358,9 +384,8 @@ def cut_repeats(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     s = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(s, lambda x: x["end"]))
     ends = F.concat(F.transform(s, lambda x: x["start"]), F.array(n.cast("bigint")))
-    kept = F.when(F.col("spans").isNull(), F.col("b")).otherwise(
-        F.aggregate(F.arrays_zip(starts.alias("s"), ends.alias("e")), F.lit(b""), lambda a, x: F.concat(a, F.substring(F.col("b"), x["s"].cast("int") + 1, (x["e"] - x["s"]).cast("int"))))
-    )
+    pieces = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.hex(F.substring(F.col("b"), x["s"].cast("int") + 1, (x["e"] - x["s"]).cast("int"))))
+    kept = F.when(F.col("spans").isNull(), F.col("b")).otherwise(F.unhex(F.array_join(pieces, "")))
     removed = F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     return j.select("doc_id", n.cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size(s).cast("bigint").alias("n_spans"), kept.alias("kept"))
 

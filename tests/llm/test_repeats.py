@@ -49,6 +49,13 @@ def test_large_groups_give_the_same(spark):
     assert sorted(map(str, repeats.repeated_spans(docs, block=0).collect())) == want
 
 
+def test_shuffled_joins_give_the_same(spark, odd, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(mixed(3))), "doc_id long, text string")
+    monkeypatch.setattr(repeats.within, "__defaults__", (None, 0))
+    assert got(repeats.query(docs)) == brute(docs.collect())
+    assert got(repeats.query(odd)) == brute(odd.collect())
+
+
 @pytest.mark.parametrize("length", [2, 3, 10, 40])
 def test_interval_expansion(length):
     rnd = random.Random(length)
