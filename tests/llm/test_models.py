@@ -256,3 +256,47 @@ def test_quality(spark, odd):
     some = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)] + [(None, 1, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
     rows = quality.classify(odd, some).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def quality_rows(spark, x, positive):
+    schema = "p boolean, x array<float>"
+    return spark.createDataFrame([(bool(p), [float(v) for v in row]) for p, row in zip(positive, x)], schema)
+
+
+def test_prior_and_risk_are_what_they_say(spark):
+    """Two classes of known shares: the prior is found, and the weights are a minimum of the risk in plain NumPy."""
+    rnd = np.random.default_rng(7)
+    n, share = 6000, 0.6
+    good = rnd.random(n) < share
+    x = np.zeros((n, quality.N_FEATURES), np.float32)
+    x[:, :3] = rnd.normal(size=(n, 3)) + np.where(good, 2.0, -2.0)[:, None]
+    positive = good & (rnd.random(n) < 0.3)
+    fit = quality._Fit(quality_rows(spark, x, positive), ridge=1.0)
+    assert abs(fit.prior() - share) < 0.05
+    w = fit.minimise(share)
+    z = fit.design(x.astype(np.float64))
+    g = z @ w
+    assert ((g > 0) == good).mean() > 0.98
+
+    def risk(w):
+        g, ridge = z @ w, fit.ridge * (w[:-1] ** 2).sum() / 2
+        return share * np.logaddexp(0, -g[positive]).mean() + max(0, np.logaddexp(0, g).mean() - share * np.logaddexp(0, g[positive]).mean()) + ridge
+
+    best = risk(w)
+    assert np.logaddexp(0, g).mean() - share * np.logaddexp(0, g[positive]).mean() >= -1e-9
+    for i in (0, 1, 2, len(w) - 1):
+        for e in (-0.05, 0.05):
+            moved = w.copy()
+            moved[i] += e
+            gm = z @ moved
+            if np.logaddexp(0, gm).mean() - share * np.logaddexp(0, gm[positive]).mean() >= 0:
+                assert risk(moved) >= best - 1e-5
+
+
+def test_scores_are_the_formula(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = quality.train(docs, labels)
+    for r in quality.score(docs, m, ["doc_id"]).join(docs, "doc_id").collect():
+        z = np.clip((quality.features(r.text) - m.centre) / m.scale, -6, 6) @ m.weights + m.bias
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-6)
