@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
+
+
+def _spread(least: DataFrame) -> DataFrame:
+    """Written first, so that a node with very many neighbours (the hub of a star) is broadcast or its part of a shuffled join can be split."""
+    return small(cut(least), F.lit(32))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours are hung on its smallest neighbour (or on itself)."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(_spread(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node (u > v in all edges) and its smaller neighbours are hung on the smallest of them."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = _spread(least)
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

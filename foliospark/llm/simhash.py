@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, ascii_lower, cut, hex64, whole, words
+from .common import BLANK, ascii_lower, cut, hex64, small, unused, whole, words
 from .components import connected_components
 
 LANES = 0x0000000100000001
@@ -73,71 +73,72 @@ def document_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 SEGMENT, SEGMENTS = 16, 4
 
 
-def _segment_mask(j: int) -> int:
-    m = 0xFFFF << (SEGMENT * j)
-    return m - (1 << 64) if m >> 63 else m
+def _ball(fp: Column, segment: int) -> list[Column]:
+    """The values that differ from ``fp`` in one bit of a segment."""
+    return [fp.bitwiseXOR(F.lit(_shifted(bit)).cast("long")) for bit in range(SEGMENT * segment, SEGMENT * (segment + 1))]
 
 
-def _without(fp: Column, j: int) -> Column:
-    """The fingerprint with segment ``j`` blotted out; the table's number stands there instead."""
-    tag = (j + 1) << (SEGMENT * j)
-    return fp.bitwiseAND(F.lit(~_segment_mask(j))).bitwiseOR(F.lit(tag).cast("long"))
+def near_links(fingerprints: DataFrame) -> DataFrame:
+    """(a, b): links between values in the long column ``fp`` that differ in at most 2 of 64 bits.
 
-
-def near_pairs(fingerprints: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different values in the long column ``fp`` that differ in at most 2 of 64 bits.
-
-    Four tables hold each fingerprint by the 48 bits outside one 16-bit segment.
-    Two fingerprints within distance 2 differ in one segment only, and then meet
-    in that segment's table; or in one bit of each of two segments i < j, and
-    then meet in table j if one flips its bit of segment i. So each fingerprint
-    looks up itself in all tables, and the ball of radius 1 around its segments
-    i < j in table j. Only 0 bits are flipped: of two fingerprints with one bit
-    different, one has a 0 there. Candidates share 47 bits at least, so a dense
-    group of copies makes few false ones; distances are then verified.
+    The table holds each fingerprint under the values of the ball of radius 1
+    around each of its segments, and under its own. Two fingerprints are within
+    2 bits just if some value is in the balls of both: each flips one of the
+    differing bits. So all that meet at a value are near one another (65 at
+    most), and a link of each to the least of them, whose whole distance is then
+    verified, connects all that near pairs connect, without making the pairs.
     """
-    fps = fingerprints.select("fp").distinct()
     fp = F.col("fp")
-    index = fps.select(fp.alias("b"), F.explode(F.array(*[_without(fp, j) for j in range(SEGMENTS)])).alias("key"))
-    exact = [F.struct(_without(fp, j).alias("key"), F.lit(True).alias("same")) for j in range(SEGMENTS)]
-    flips = [(j, bit) for j in range(1, SEGMENTS) for bit in range(SEGMENT * j)]
-    near = F.filter(
-        F.array(*[F.when(fp.bitwiseAND(F.lit(1 << bit).cast("long")) == 0, F.struct(_without(fp.bitwiseOR(F.lit(1 << bit).cast("long")), j).alias("key"), F.lit(False).alias("same"))) for j, bit in flips]),
-        lambda x: x.isNotNull(),
-    )
-    probes = fps.select(fp.alias("a"), F.explode(F.concat(F.array(*exact), near)).alias("p")).select("a", "p.key", "p.same")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    met = probes.join(index, "key").where((F.col("a") != F.col("b")) & close & (~F.col("same") | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    values = [fp, *[x for segment in range(SEGMENTS) for x in _ball(fp, segment)]]
+    table = fingerprints.select("fp").distinct().select("fp", F.explode(F.array(*values)).alias("value"))
+    met = cut(table.groupBy("value").agg(F.min("fp").alias("lead"), F.max("fp").alias("other")).where("lead < other").select("value", "lead"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= 2
+    return table.join(small(met, F.lit(32)), "value").where((F.col("fp") != F.col("lead")) & close).select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for each row of ``docs``.
+    """doc_id, text_hash, fp, component_id, root for each row of ``docs``; root tells components apart.
 
     component_id is the smallest doc_id that links of distance 2 or less lead
-    to. Equal fingerprints are linked; so are all rows without words (their
-    fingerprint is 0). Null doc_ids take part but are never a component_id
-    unless all of a component are null. Repeated rows stay repeated.
+    to. Equal fingerprints are linked; so are all rows without words, null and
+    empty texts among them (their fingerprint is 0). Null doc_ids take part, but
+    are a component_id only where a component has no others. Repeated rows stay
+    repeated; an empty table gives an empty one; other columns play no part.
     """
     prints = cut(document_fingerprints(docs, shingle))
-    links = cut(near_pairs(prints))
-    roots = connected_components(links, "a", "b")
-    by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    by_print = by_print.withColumn("root", F.coalesce("component", "fp"))
-    firsts = by_print.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = by_print.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    rows = prints.join(classes, "fp")
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "text_hash", "fp", "component_id")
+    roots = connected_components(cut(near_links(prints)), "a", "b")
+    by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    by_print = cut(by_print.withColumn("root", F.coalesce("component", "fp")))
+    # Most fingerprints are one row's own: those have no class to look up.
+    many = by_print.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    classes = cut(by_print.select("fp", "root").join(many, "root"))
+    rows = prints.join(small(classes, F.lit(48)), "fp", "left")
+    rows = rows.withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("root", F.coalesce("root", "fp"))
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of several with it, of the smallest text hash)."""
-    n = near_duplicates(docs.select("doc_id", "text"), shingle)
-    keep = (
-        n.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    """``docs``, all columns as they are, with one row of each component: that of the smallest doc_id (of several with it, of the smallest text hash).
+
+    A row without a doc_id stays only in a component where none has one. Of rows
+    that are repeated with doc_id and text one stays.
+    """
+    n = near_duplicates(docs.select("doc_id", "text"), shingle).groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("copies"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    n = cut(n)
+    keep = n.groupBy("root").agg(F.min(first).alias("k"))
+    marked = n.join(keep, "root")
+    key, h = unused(docs, "key"), unused(docs, "hash")
+    gone = marked.where(~first.eqNullSafe(F.col("k"))).select("doc_id", "text_hash")
+    repeated = marked.where(first.eqNullSafe(F.col("k")) & (F.col("copies") > 1)).select("doc_id", "text_hash")
+    named = lambda d: d.select(F.col("doc_id").alias(key), F.col("text_hash").alias(h))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h))
+    left = docs.join(small(cut(named(gone.unionByName(repeated))), F.lit(48)), same, "left_anti")
+    repeated = cut(named(repeated))
+    if repeated.isEmpty():
+        return left
+    once = docs.join(small(repeated, F.lit(48)), same).dropDuplicates([key, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.unionByName(once)
 
 
 def query_near_dedup(docs: DataFrame) -> DataFrame:
@@ -166,7 +167,12 @@ def block_table_pairs(fingerprints: DataFrame, columns: list[str], radius: int =
     tables = list(combinations(range(blocks), blocks - radius))
     fps = fingerprints.select(*columns).distinct().select(F.struct(*columns).alias("fp"))
     key = [F.xxhash64(F.lit(t), *[F.col(f"fp.{c}").bitwiseAND(F.lit(m).cast("long")) for c, m in zip(columns, masks(chosen), strict=True)]) for t, chosen in enumerate(tables)]
-    entries = fps.select("fp", F.explode(F.array(*key)).alias("key"))
-    left, right = entries.select(F.col("fp").alias("a"), "key"), entries.select(F.col("fp").alias("b"), "key")
-    distance = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in columns])
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    entries = fps.select("fp", F.posexplode(F.array(*key)).alias("t", "key"))
+    left, right = entries.select(F.col("fp").alias("a"), "key", "t"), entries.select(F.col("fp").alias("b"), "key")
+    differing = {c: F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in columns}
+    distance = reduce(lambda x, y: x + y, [F.bit_count(x) for x in differing.values()])
+    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (distance <= radius))
+    # A pair may meet in several tables: the first of them counts, so that no pair is sent on to be compared.
+    alike = [reduce(lambda x, y: x & y, [differing[c].bitwiseAND(F.lit(m).cast("long")) == 0 for c, m in zip(columns, masks(chosen), strict=True)]) for chosen in tables]
+    first = F.coalesce(*[F.when(x, t) for t, x in enumerate(alike)])
+    return met.where(first == F.col("t")).select("a", "b", distance.alias("distance"))

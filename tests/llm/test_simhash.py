@@ -45,25 +45,55 @@ def test_query_is_brute_force(spark, documents, odd, none):
     assert simhash.query_near_dedup(none).count() == 0
 
 
-def test_near_pairs_finds_all(spark):
+def roots(nodes, edges):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in nodes}
+
+
+def test_near_links_connect_what_near_pairs_connect(spark):
     rnd = random.Random(1)
-    fps = set()
+    fps = {0, -1 % 2**64}
     for _ in range(60):
         x = rnd.getrandbits(64)
-        fps |= {x, *(x ^ (1 << rnd.randrange(64)) for _ in range(4)), *(x ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(6)), x ^ 1 ^ 2 ^ 4}
+        fps |= {x, *(x ^ (1 << rnd.randrange(64)) for _ in range(4)), *(x ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(6)), x ^ 1 ^ 2 ^ 4, x ^ 7 << 20 ^ 1 << 63}
+    x = rnd.getrandbits(64)  # a dense group: a whole ball
+    fps |= {x ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(0, 64, 7)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    assert {(r.a, r.b) for r in simhash.near_pairs(df).collect()} == want
+    near = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    links = [(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links) and len(links) < len(near)
+    assert roots(signed, links) == roots(signed, near)
+
+
+def brute_kept(rows):
+    """(doc_id, text) of the row that stays of each component."""
+    prints = [brute_fingerprint(r.text) for r in rows]
+    root = roots(sorted(set(prints)), [(a, b) for a in set(prints) for b in set(prints) if a < b and (a ^ b).bit_count() <= 2])
+    best = {}
+    for r, p in zip(rows, prints):
+        h = xxhash.xxh64_intdigest(r.text.encode(), seed=42) if r.text is not None else 42
+        key = (r.doc_id is None, r.doc_id or 0, h - (1 << 64) * (h >> 63))
+        best[root[p]] = min(best.get(root[p], (key, r.doc_id, r.text)), (key, r.doc_id, r.text), key=lambda x: x[0])
+    return sorted(map(repr, (x[1:] for x in best.values())))
 
 
 def test_near_dedup_keeps_one_of_each(spark, documents, odd, none):
-    for docs in (documents, odd):
+    from pyspark.sql import functions as F
+
+    clashing = odd.withColumns({c: F.lit(5) for c in ("_key", "_hash", "_c", "root", "fp", "copies")})
+    for docs in (documents, odd, clashing):
         kept = simhash.near_dedup(docs)
         assert kept.columns == docs.columns
-        classes = {c for *_, c in brute_components(docs.collect())}
-        assert kept.count() == len(classes)
-        assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {c for c in classes if c != -1}
+        assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == brute_kept(docs.collect())
+    assert sum(r.doc_id is None for r in simhash.near_dedup(odd).collect()) == 2
     assert simhash.near_dedup(none).count() == 0
 
 
