@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.binding import documents
+from ..plans.stored import document_frame
 
 
 class Registry:
@@ -21,4 +21,4 @@ class Registry:
 
     def docs(self, name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
         """A query over the standard frame."""
-        self.add(name, lambda spark, sf_dir: f(documents(spark, sf_dir)), sql)
+        self.add(name, lambda spark, sf_dir: f(document_frame(spark, sf_dir)), sql)
