@@ -36,44 +36,65 @@ def country_codes(items: Column) -> Column:
     """Distinct codes of list items such as ``한국-1``, ``US(2)`` or ``EP``; an item with a count of 0 is none."""
     count = lambda x: F.regexp_extract(x, r"[\s\-–—:(]+(\d+)\s*\)?\s*$", 1)
     bare = lambda x: F.trim(F.regexp_replace(x, r"[\s\-–—:(]+(\d+)\s*\)?\s*$", ""))
-    code = lambda x: F.coalesce(F.try_element_at(_map(COUNTRY_NAMES), x), F.nullif(F.upper(F.regexp_extract(x, r"\b([A-Za-z]{2})\b", 1)), F.lit("")))
+    named = lambda x: F.coalesce(*[F.when(F.contains(F.upper(x), F.lit(k)), v) for k, v in COUNTRY_NAMES.items()])  # noqa: E731  the first name that the item holds
+    code = lambda x: F.coalesce(named(x), F.nullif(F.upper(F.regexp_extract(x, r"\b([A-Za-z]{2})\b", 1)), F.lit("")))
     some = F.filter(items, lambda x: (count(x) == "") | (count(x).try_cast("int") != 0))
     return F.array_distinct(F.filter(F.transform(some, lambda x: code(bare(x))), lambda x: x.isNotNull()))
 
 
 def market_coverage(codes: Column) -> Column:
-    """Income of the countries over that of the US."""
-    return F.aggregate(codes, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(_map(GNI), x), F.lit(GNI_OTHER))) / GNI["US"]
+    """Income of the countries over that of the US; null without a country."""
+    sums = F.aggregate(codes, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(_map(GNI), x), F.lit(GNI_OTHER)))
+    return F.when(F.size(codes) > 0, sums / GNI["US"])
+
+
+def with_coverage(docs: DataFrame, known: float = 0.3) -> DataFrame:
+    """``docs`` and mc: market coverage by income where the country lists of a share of ``known`` or more can be read, else countries (or family members) over their mean, else 1; times the status's weight."""
+    names = set(docs.columns)
+    has = lambda c: F.col(c).cast("double") if c in names else F.lit(None).cast("double")
+    lists = country_codes(F.col("family_countries")) if "family_countries" in names else F.array().cast("array<string>")
+    count = F.coalesce(has("family_country_count"), F.size("family_countries").cast("double") if "family_countries" in names else F.lit(None).cast("double"))
+    x = docs.withColumns({"_gni": market_coverage(lists), "_count": count, "_size": has("family_size")})
+    s = x.agg(
+        F.avg(F.col("_gni").isNotNull().cast("double")).alias("_known"), F.percentile("_gni", F.lit(0.5)).alias("_median"), F.count("_count").alias("_counts"), F.count("_size").alias("_sizes"),
+        F.avg(F.coalesce("_count", F.lit(0.0))).alias("_mean_count"), F.avg(F.coalesce("_size", F.lit(0.0))).alias("_mean_size"), F.max((F.col("legal_status") != "Unknown").cast("int")).alias("_told"),
+    )
+    over = lambda v, mean: F.coalesce(F.col(v), F.lit(0.0)) / F.when(F.col(mean) > 0, F.col(mean)).otherwise(1.0)
+    cover = F.when(F.col("_known") >= known, F.coalesce("_gni", "_median")).when(F.col("_counts") > 0, over("_count", "_mean_count")).when(F.col("_sizes") > 0, over("_size", "_mean_size")).otherwise(1.0)
+    # Weights of a right by its status; without any known status all count alike.
+    status = F.when(F.col("_told") == 0, 1.0).when(F.col("legal_status") == "Granted-Active", 1.0).when(F.col("legal_status") == "Pending", 0.7).when(F.col("legal_status") == "Unknown", 1.0).otherwise(0.0)
+    return x.join(F.broadcast(s)).withColumn("mc", cover * status).select(*docs.columns, "mc")
 
 
 def technology_relevance(docs: DataFrame, cohort_class: Column, year: Column, least: int = 5) -> DataFrame:
-    """``docs`` and tr: citations over the mean of the (year, class) cohort if it has ``least`` documents, else of the year's, else of all."""
-    x = docs.withColumn("_k", cohort_class).withColumn("_y", year)
+    """``docs`` and tr: citations over the mean of the (year, class) cohort if it has ``least`` documents, else of the year's, else of all; a mean of 0 is passed over."""
+    x = docs.withColumns({"_k": cohort_class, "_y": year, "cites_forward": F.coalesce("cites_forward", F.lit(0.0))})
     cells = x.groupBy("_y", "_k").agg(F.avg("cites_forward").alias("_mc"), F.count("cites_forward").alias("_nc"))
-    years = x.groupBy("_y").agg(F.avg("cites_forward").alias("_my"), F.count("cites_forward").alias("_ny"))
+    years = x.groupBy("_y").agg(F.avg("cites_forward").alias("_my"))
     whole = x.agg(F.avg("cites_forward").alias("_m"))
     j = x.join(cells, (x["_y"].eqNullSafe(cells["_y"])) & x["_k"].eqNullSafe(cells["_k"]), "left").drop(cells["_y"]).drop(cells["_k"]).join(years, "_y", "left").join(F.broadcast(whole))
-    mean = F.when((F.col("_nc") >= least) & (F.col("_mc") > 0), F.col("_mc")).when((F.col("_ny") >= least) & (F.col("_my") > 0), F.col("_my")).otherwise(F.col("_m"))
-    return j.withColumn("tr", F.coalesce(F.try_divide("cites_forward", mean), F.lit(0.0))).drop("_k", "_y", "_mc", "_nc", "_my", "_ny", "_m")
-
-
-def portfolio_index(docs: DataFrame, companies: list[str] | None = None) -> DataFrame:
-    """company, n, tr, mc, ci and pai (the sum of ci) over its active documents, else its granted, else all."""
-    t = technology_relevance(docs, F.get("tech_list", F.lit(0)), F.col("base_year"))
-    status = F.when(F.col("active_flag").eqNullSafe(True) & F.col("is_granted").eqNullSafe(True), 1.0).when(F.col("active_flag").eqNullSafe(False), 0.0).otherwise(0.7)
-    # Without country codes the number of countries over its mean stands in.
-    mean = t.agg(F.avg(F.size("family_countries").cast("double")).alias("_mean"))
-    t = t.join(F.broadcast(mean)).withColumn("mc", F.coalesce(F.try_divide(F.size("family_countries").cast("double"), "_mean"), F.lit(1.0)) * status)
-    rows = explode_applicants(t.withColumn("ci", F.col("tr") * F.col("mc")))
+    mean = F.when((F.col("_nc") >= least) & (F.col("_mc") > 0), F.col("_mc")).when(F.col("_my") > 0, F.col("_my")).otherwise(F.col("_m"))
+    return j.withColumn("tr", F.coalesce(F.try_divide("cites_forward", mean), F.lit(0.0))).drop("_k", "_y", "_mc", "_nc", "_my", "_m")
+
+
+def portfolio_index(docs: DataFrame, companies: list[str] | None = None, settings: Settings | None = None) -> DataFrame:
+    """company, scope, n, tr, mc and pai (the sum of tr * mc) over active documents, or granted ones if the data set has no active ones, or all.
+
+    The scope is one for the data set; companies with fewer documents in it than
+    a class needs are left out.
+    """
+    field = F.upper(F.substring(F.regexp_replace(F.get("ipc_list", F.lit(0)), " ", ""), 1, 4)) if "ipc_list" in docs.columns else F.lit(None)
+    year = F.coalesce(F.year("pub_date"), "base_year") if "pub_date" in docs.columns else F.col("base_year")
+    t = with_coverage(technology_relevance(docs, F.coalesce(field, F.get("tech_list", F.lit(0))), year))
+    act, gr = F.col("active_flag").eqNullSafe(True), F.col("is_granted").eqNullSafe(True)
+    scope = F.when(F.max(act.cast("int")) == 1, "active").when(F.max(gr.cast("int")) == 1, "granted").otherwise("all").alias("scope")
+    t = t.join(F.broadcast(docs.agg(scope)))
+    t = t.where((F.col("scope") == "all") | ((F.col("scope") == "active") & act) | ((F.col("scope") == "granted") & gr))
+    rows = explode_applicants(t)
     if companies:
         rows = rows.where(F.col("company").isin(companies))
-    act, gr = F.col("active_flag").eqNullSafe(True), F.col("is_granted").eqNullSafe(True)
-    s = rows.groupBy("company").agg(
-        F.count("*").alias("docs_all"), *[F.sum(F.when(c, F.round(v, 9))).alias(f"{k}_{name}") for name, c in (("active", act), ("granted", gr), ("all", F.lit(True))) for k, v in (("n", F.lit(1.0)), ("tr", F.col("tr")), ("mc", F.col("mc")), ("ci", F.col("ci")))]
-    )
-    scope = F.when(F.col("n_active") > 0, "active").when(F.col("n_granted") > 0, "granted").otherwise("all")
-    pick = lambda k: F.when(scope == "active", F.col(f"{k}_active")).when(scope == "granted", F.col(f"{k}_granted")).otherwise(F.col(f"{k}_all"))
-    return s.select("company", scope.alias("scope"), pick("n").cast("long").alias("n"), (pick("tr") / pick("n")).alias("tr"), (pick("mc") / pick("n")).alias("mc"), pick("ci").alias("pai"))
+    s = rows.groupBy("company", "scope").agg(F.count("*").alias("n"), *[F.sum(F.round(v, 9)).alias(k) for k, v in (("_tr", F.col("tr")), ("_mc", F.col("mc")), ("pai", F.col("tr") * F.col("mc")))])
+    return s.where(F.col("n") >= (settings or Settings()).threshold("min_class_patents")).select("company", "scope", "n", (F.col("_tr") / F.col("n")).alias("tr"), (F.col("_mc") / F.col("n")).alias("mc"), "pai")
 
 
 def dna_metrics(docs: DataFrame, settings: Settings | None = None, year_max: int | None = None, companies: list[str] | None = None) -> DataFrame:
@@ -299,29 +320,43 @@ def expiry_cliff(docs: DataFrame, as_of: str, years: int = 10) -> DataFrame:
     return explode_applicants(d).groupBy("company", F.year("_end").alias("year")).agg(F.count("*").alias("n"))
 
 
-def rnd_efficiency(docs: DataFrame, least: int = 5) -> DataFrame:
-    """company, n, per_inventor, avg_cites, grant_rate, z (mean of standard scores), quadrant by the medians of input and output."""
+def rnd_efficiency(docs: DataFrame, least: int = 5, most: int = 12, recent: int = 3) -> DataFrame:
+    """company, n, recent_n, cites, family, active, quality (mean of their standard scores), quadrant by the medians of n and quality, of the ``most`` largest."""
     rows = explode_applicants(docs)
-    people = rows.select("company", F.explode("inventors").alias("i")).groupBy("company").agg(F.count_distinct("i").alias("inventors"))
-    x = rows.groupBy("company").agg(F.count("*").alias("n"), F.avg("cites_forward").alias("avg_cites"), F.avg(F.col("is_granted").cast("int")).alias("grant_rate")).where(F.col("n") >= least).join(people, "company")
-    x = x.withColumn("per_inventor", F.col("n") / F.col("inventors"))
-    parts = ["per_inventor", "avg_cites", "grant_rate"]
+    family = F.avg("family_size") if "family_size" in docs.columns else F.lit(None).cast("double")
+    last = docs.agg(F.max("base_year").alias("_y"))
+    x = rows.join(F.broadcast(last)).groupBy("company").agg(
+        F.count("*").alias("n"), F.sum((F.col("base_year") > F.col("_y") - recent).cast("long")).alias("recent_n"), F.coalesce(F.avg("cites_forward"), F.lit(0.0)).alias("cites"), F.coalesce(family, F.lit(0.0)).alias("family"), F.avg(F.col("active_flag").cast("int")).alias("active")
+    ).where(F.col("n") >= least).orderBy(F.desc("n"), "company").limit(most)
+    parts = ["cites", "family", "active"]
     s = x.agg(*[f(c).alias(f"{k}_{c}") for c in parts for k, f in (("m", F.avg), ("s", F.stddev_pop))], F.percentile("n", F.lit(0.5)).alias("mid_n"))
-    z = x.join(F.broadcast(s)).withColumn("z", F.round(sum((F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.when(F.col(f"s_{c}") > 1e-12, F.col(f"s_{c}"))), F.lit(0.0)) for c in parts), F.lit(0.0)) / 3, 9))
-    mid = z.agg(F.percentile("z", F.lit(0.5)).alias("mid_z"))
-    big, good = F.col("n") >= F.col("mid_n"), F.col("z") >= F.col("mid_z")
-    return z.join(F.broadcast(mid)).select("company", "n", *parts, "z", F.when(big & good, "large_efficient").when(good, "small_efficient").when(big, "large_inefficient").otherwise("small_inefficient").alias("quadrant"))
-
-
-def key_people(docs: DataFrame, idle_years: int = 2, year_max: int | None = None) -> DataFrame:
-    """company, inventors, top_share (of the first tenth), hhi, idle (inventors without a document for ``idle_years``); sole filings only."""
+    # A constant part has deviation 1; one that no company has isn't used.
+    used = sum((F.col(f"m_{c}").isNotNull().cast("int") for c in parts), F.lit(0))
+    score = sum((F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 1e-12, F.col(f"s_{c}")).otherwise(1.0), F.lit(0.0)) for c in parts), F.lit(0.0))
+    z = x.join(F.broadcast(s)).withColumn("quality", F.round(score / F.greatest(used, F.lit(1)), 3))
+    mid = z.agg(F.percentile("quality", F.lit(0.5)).alias("mid_z"))
+    big, good = F.col("n") >= F.col("mid_n"), F.col("quality") >= F.col("mid_z")
+    # Names of the quadrants.
+    quadrant = F.when(big & good, "양·질 겸비").when(big, "다작·저임팩트").when(good, "소작·정예").otherwise("양·질 모두 부족")
+    return z.join(F.broadcast(mid)).select("company", "n", "recent_n", *parts, "quality", quadrant.alias("quadrant"))
+
+
+def key_people(docs: DataFrame, idle_years: int = 2, year_max: int | None = None, least: int = 5) -> DataFrame:
+    """company, inventors, docs, top_share, hhi, idle (inventors without a document for ``idle_years``); sole filings of companies with ``least`` inventors.
+
+    top_share: the share of documents with an inventor of the first tenth
+    (rounded up, ties by name) among those that name any.
+    """
     y = year_max or latest_year(docs)
-    rows = docs.where(F.size("co_applicants") <= 1).select(F.col("applicant").alias("company"), "base_year", F.explode("inventors").alias("i"))
+    names = F.array_distinct(F.filter(F.transform("inventors", lambda x: F.trim(x)), lambda x: x != ""))
+    rows = docs.where(F.size("co_applicants") <= 1).select("doc_id", F.col("applicant").alias("company"), "base_year", F.explode(names).alias("i"))
     c = rows.groupBy("company", "i").agg(F.count("*").alias("n"), F.max("base_year").alias("last"))
     w = Window.partitionBy("company")
-    r = c.withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), "i"))).withColumn("_k", F.count("*").over(w))
-    g = r.groupBy("company").agg(F.count("*").alias("inventors"), F.try_divide(F.sum(F.when(F.col("_r") <= F.greatest(F.floor(F.col("_k") / 10), F.lit(1)), F.col("n"))), F.sum("n")).alias("top_share"), F.sum((F.col("last") <= y - idle_years).cast("long")).alias("idle"))
-    return g.join(M.concentration(c, ["company"]).select("company", "hhi"), "company")
+    r = c.withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), "i"))).withColumn("_k", F.count("*").over(w)).where(F.col("_k") >= least)
+    g = r.groupBy("company").agg(F.count("*").alias("inventors"), F.sum((F.col("last") <= y - idle_years).cast("long")).alias("idle"))
+    top = r.where(F.col("_r") <= F.ceil(F.col("_k") / 10)).select("company", "i", F.lit(1).alias("_t"))
+    covered = rows.join(top, ["company", "i"], "left").groupBy("company", "doc_id").agg(F.max("_t").alias("_t")).groupBy("company").agg(F.count("*").alias("docs"), F.count("_t").alias("_hit"))
+    return g.join(covered, "company").join(M.concentration(c, ["company"]).select("company", "hhi"), "company").select("company", "inventors", "docs", (F.col("_hit") / F.col("docs")).alias("top_share"), "hhi", "idle")
 
 
 def catch_up(docs: DataFrame, company: str, recent: int = 3, year_max: int | None = None) -> DataFrame:
@@ -334,23 +369,36 @@ def catch_up(docs: DataFrame, company: str, recent: int = 3, year_max: int | Non
     return x.select("tech", F.col("l.company").alias("leader"), gap.alias("gap"), F.col("v").alias("own_speed"), F.col("l.v").alias("lead_speed"), F.when(F.col("v") > F.col("l.v"), F.try_divide(gap, F.col("v") - F.col("l.v"))).alias("years"))
 
 
-def threats(docs: DataFrame, company: str, recent: int = 3, year_max: int | None = None, top: int = 10) -> DataFrame:
-    """company, tech, n, entry, cites, score = .5 n/n_max + .3 (1 - (Y - entry)/3) + .2 cites/cites_max of those that entered the company's classes lately."""
+def threats(docs: DataFrame, company: str, recent: int = 3, year_max: int | None = None, classes: int = 5, top: int = 15) -> DataFrame:
+    """company, tech, n, entry, cites (mean), score = .5 n/n_max + .3 (1 - (Y - entry)/3) + .2 cites/cites_max.
+
+    Of companies with two documents or more, the first in the ``recent`` last
+    years, in one of the ``classes`` main classes of the company's own filings.
+    """
     y = year_max or latest_year(docs)
-    mine = explode_tech(docs.where(applicant_mask(company))).select("tech").distinct()
-    c = explode_applicants(explode_tech(docs)).join(mine, "tech", "left_semi").where(F.col("company") != company).groupBy("company", "tech").agg(F.count("*").alias("n"), F.min("base_year").alias("entry"), F.sum("cites_forward").alias("cites")).where(F.col("entry") > y - recent)
+    mine = explode_tech(docs.where(F.col("applicant") == company)).groupBy("tech").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "tech").limit(classes).select("tech")
+    rows = explode_applicants(explode_tech(docs).join(F.broadcast(mine), "tech", "left_semi")).where(F.col("company") != company)
+    c = rows.groupBy("company", "tech").agg(F.count("*").alias("n"), F.min("base_year").alias("entry"), F.avg("cites_forward").alias("cites")).where((F.col("entry") > y - recent) & (F.col("n") >= 2))
     best = c.agg(F.max("n").alias("_n"), F.max("cites").alias("_c"))
-    score = 0.5 * F.col("n") / F.col("_n") + 0.3 * (1 - (F.lit(y) - F.col("entry")) / 3) + 0.2 * M.safe_div(F.col("cites"), F.col("_c"))
+    score = 0.5 * F.col("n") / F.col("_n") + 0.3 * (1 - (F.lit(y) - F.col("entry")) / 3.0) + 0.2 * F.coalesce(F.try_divide("cites", "_c"), F.lit(0.0))
     return c.join(F.broadcast(best)).select("company", "tech", "n", "entry", "cites", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "company", "tech").limit(top)
 
 
-def pruning(docs: DataFrame, company: str, year_max: int | None = None) -> DataFrame:
-    """doc_id, age, tech: old, never cited, narrow rights of a company outside its three main classes."""
-    y = year_max or latest_year(docs)
-    mine = docs.where(applicant_mask(company))
-    main = explode_tech(mine).groupBy("tech").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tech").limit(3).agg(F.collect_list("tech").alias("main"))
-    x = mine.join(F.broadcast(main)).withColumn("age", F.lit(y) - F.col("base_year"))
-    return x.where((F.col("age") >= 5) & (F.coalesce("cites_forward", F.lit(0.0)) <= 1) & (F.size("family_countries") <= 1) & ~F.array_contains("main", F.get("tech_list", F.lit(0)))).select("doc_id", "age", F.get("tech_list", F.lit(0)).alias("tech"))
+def pruning(docs: DataFrame, company: str, as_of: str, least: int = 10) -> DataFrame:
+    """doc_id, age (years since grant): active granted rights of a company, five years old or more, never cited, in one country, with none of its three main classes.
+
+    Criteria that no right has a value for are passed over; under ``least``
+    rights there are no proposals.
+    """
+    rights = docs.where(applicant_mask(company) & F.col("reg_date").isNotNull())
+    count = F.coalesce(F.col("family_country_count").cast("double"), F.lit(1.0)) if "family_country_count" in docs.columns else F.greatest(F.size("family_countries"), F.lit(1)).cast("double")
+    told = rights.agg(F.count("active_flag").alias("_told"))
+    x = rights.join(F.broadcast(told)).where((F.col("_told") == 0) | F.col("active_flag").eqNullSafe(True))
+    facts = x.agg(F.count("*").alias("_n"), F.count("cites_forward").alias("_cited"))
+    main = explode_tech(x).groupBy("tech").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tech").limit(3).agg(F.collect_list("tech").alias("main"))
+    x = x.join(F.broadcast(facts)).join(F.broadcast(main)).withColumn("age", F.datediff(F.lit(as_of).cast("date"), "reg_date") / 365.25)
+    quiet = (F.col("_cited") == 0) | (F.coalesce("cites_forward", F.lit(0.0)) <= 0)
+    return x.where((F.col("_n") >= least) & (F.col("age") >= 5) & quiet & (count <= 1) & ~F.arrays_overlap("main", "tech_list")).select("doc_id", "age")
 
 
 def applicant_list(docs: DataFrame) -> DataFrame:

@@ -49,9 +49,10 @@ def tech_growth(docs: DataFrame, recent: int = 3, min_weight: float = 3, mode: s
     return totals.join(M.growth_ladder(ty, ["tech"], recent, value="w"), "tech")
 
 
-def new_combinations(docs: DataFrame, recent: int = 3, min_docs: int = 3, year_max: int | None = None) -> DataFrame:
+def new_combinations(docs: DataFrame, recent: int = 3, min_docs: int = 3, year_max: int | None = None, labels: str = "tech_list") -> DataFrame:
+    """a, b, n_ab, first_year of pairs of labels first seen in the recent years."""
     y = year_max or latest_year(docs)
-    return combo_counts(docs, y - recent + 1).where((F.col("first_year") >= y - recent + 1) & (F.col("n_ab") >= min_docs)).select("a", "b", "n_ab", "first_year")
+    return combo_counts(docs, y - recent + 1, labels).where((F.col("first_year") >= y - recent + 1) & (F.col("n_ab") >= min_docs)).select("a", "b", "n_ab", "first_year")
 
 
 def strategy_change(docs: DataFrame, recent: int = 3, min_docs: int = 3, year_max: int | None = None) -> DataFrame:
@@ -252,25 +253,23 @@ def _top_labels(docs: DataFrame, k: int, labels: str = "tech_list") -> list[str]
     return [r["tech"] for r in explode_tech(docs, labels=labels).groupBy("tech").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tech").limit(k).collect()]
 
 
-def upset_gaps(docs: DataFrame, elements: int = 8, least_expected: float = 1.5, top: int = 15) -> DataFrame:
+def upset_gaps(docs: DataFrame, elements: int = 8, least_expected: float = 1.5, top: int = 15, labels: str = "tech_list") -> DataFrame:
     """combo, expected, actual, gap: sets of 2 or 3 labels that occur far less often than if labels were independent.
 
     All sets of at most ``elements`` labels are counted in one aggregation.
     """
     from itertools import combinations
 
-    labels = _top_labels(docs, elements)
+    column, labels = labels, _top_labels(docs, elements, labels)
     sets = [c for k in (2, 3) for c in combinations(sorted(labels), k)]
     schema = "combo string, expected double, actual long, gap double"
     if not sets:
         return docs.sparkSession.createDataFrame([], schema)
-    tracked = docs.where(F.arrays_overlap("tech_list", F.array(*map(F.lit, labels))))
-    has = {x: F.array_contains("tech_list", x) for x in labels}
-    ones = [F.sum(has[x].cast("long")).alias(f"e{i}") for i, x in enumerate(labels)]
+    tracked = docs.where(F.arrays_overlap(column, F.array(*map(F.lit, labels))))
+    has = {x: F.array_contains(column, x) for x in labels}
     both = [F.sum(F.expr(" AND ".join(f"h{labels.index(x)}" for x in s)).cast("long")).alias(f"s{i}") for i, s in enumerate(sets)]
-    flags = tracked.select("tech_list", *[has[x].alias(f"h{i}") for i, x in enumerate(labels)])
+    flags = tracked.select(*[has[x].alias(f"h{i}") for i, x in enumerate(labels)])
     row = flags.agg(F.count("*").alias("n"), *[F.sum(F.col(f"h{i}").cast("long")).alias(f"e{i}") for i in range(len(labels))], *both)
-    del ones
     parts = []
     for i, s in enumerate(sets):
         expected = F.col("n").cast("double")
@@ -295,13 +294,26 @@ def dimension(name: str) -> Column:
 
 
 MEASURES = {
-    "count": lambda: F.count("*").cast("double"), "families": lambda: F.count_distinct("family_id").cast("double"), "applicants": lambda: F.size(F.array_distinct(F.flatten(F.collect_set("co_applicants")))).cast("double"),
-    "inventors": lambda: F.size(F.array_distinct(F.flatten(F.collect_set("inventors")))).cast("double"), "techs": lambda: F.size(F.array_distinct(F.flatten(F.collect_set("tech_list")))).cast("double"),
+    "count": lambda: F.count("*").cast("double"), "families": lambda: F.count_distinct("family_id").cast("double"), 
     "avg_cites": lambda: F.avg("cites_forward"), "sum_cites": lambda: F.sum("cites_forward"), "avg_claims": lambda: F.avg("claims_count"), "sum_claims": lambda: F.sum("claims_count"), "avg_family_size": lambda: F.avg("family_size"),
     "grant_rate": lambda: F.avg(F.col("is_granted").cast("int")), "active_rate": lambda: F.avg(F.col("active_flag").cast("int")), "joint_rate": lambda: F.avg((F.size("co_applicants") >= 2).cast("int")), "avg_confidence": lambda: F.avg("class_confidence"),
 }
 
 
+#: Measures that count the distinct members of a list column.
+LISTED = {"applicants": "co_applicants", "inventors": "inventors", "techs": "tech_list"}
+
+
+def _measured(rows: DataFrame, names: list[str], measures: list[str]) -> DataFrame:
+    """``names`` and the measures; members of lists are exploded and counted in two steps, never gathered."""
+    out = rows.groupBy(*names).agg(F.count("*").alias("_n"), *[MEASURES[m]().alias(m) for m in measures if m not in LISTED])
+    for m in measures:
+        if m in LISTED:
+            members = rows.select(*names, F.explode(LISTED[m]).alias("_x")).groupBy(*names).agg(F.count_distinct("_x").cast("double").alias(m))
+            out = out.join(members, names, "left").na.fill(0.0, [m])
+    return out.select(*names, *measures)
+
+
 def custom_chart(docs: DataFrame, dims: list[str], measures: list[str], top: int = 20) -> DataFrame:
     """The generic group-by: one or two dimensions, any measures over the distinct documents of each group.
 
@@ -314,9 +326,9 @@ def custom_chart(docs: DataFrame, dims: list[str], measures: list[str], top: int
         names.append(name)
     for d, name in zip(dims, names, strict=True):
         if not d.endswith("year"):
-            best = rows.groupBy(name).agg(F.round(MEASURES[measures[0]](), 9).alias("_m")).orderBy(F.desc("_m"), name).limit(top).select(name)
+            best = _measured(rows, [name], measures[:1]).select(name, F.round(measures[0], 9).alias("_m")).orderBy(F.desc("_m"), name).limit(top).select(name)
             rows = rows.join(F.broadcast(best), name, "left_semi")
-    return rows.groupBy(*names).agg(*[MEASURES[m]().alias(m) for m in measures])
+    return _measured(rows, names, measures)
 
 
 # --- two axes, advanced statistics, quality, options ---------------------------
@@ -420,22 +432,41 @@ def filter_options(docs: DataFrame, top: int = 50) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where(F.col("_r") <= top).drop("_r")
 
 
-def opportunity(docs: DataFrame, settings: Settings | None = None, year_max: int | None = None, as_of: str | None = None) -> DataFrame:
-    """tech, attractiveness, barrier, entry and score, with their parts beside them so that other weights are a projection."""
+def _said(docs: DataFrame, columns: list[str]) -> Column:
+    """The parts of the texts ``columns`` between commas and semicolons."""
+    texts = F.concat_ws(",", *[F.col(c) for c in columns if c in docs.columns]) if any(c in docs.columns for c in columns) else F.lit("")
+    return F.array_distinct(F.array_remove(F.transform(F.split(texts, "[;,]"), lambda x: F.trim(x)), ""))
+
+
+def opportunity(docs: DataFrame, settings: Settings | None = None, year_max: int | None = None, as_of: str | None = None, keywords: Column | None = None, problems: Column | None = None) -> DataFrame:
+    """tech, attractiveness, barrier, entry and score, with their parts beside them so that other weights are a projection.
+
+    ``keywords`` are the words of product and process, ``problems`` the one of
+    problem, unless other list columns are given.
+    """
+    keywords = _said(docs, ["product", "process"]) if keywords is None else keywords
+    if problems is None:
+        problems = F.array(F.trim("problem")) if "problem" in docs.columns else F.array().cast("array<string>")
+    docs = docs.withColumns({"_keywords": keywords, "_problems": F.filter(problems, lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "nan"))})
     s = settings or Settings()
     recent, w = int(s.threshold("recent_years")), s.weights("opportunity")
     y = year_max or latest_year(docs)
     rows = explode_tech(docs)
     life = lifecycle(docs, s, y).select("tech", "n", "growth", "new_entrants", "combo_growth")
-    said = rows.select("tech", "doc_id", F.explode("tech_c_list").alias("p"))
+    said = rows.select("tech", "doc_id", F.explode("_problems").alias("p"))
     problems = said.groupBy("tech").agg((1 - F.count_distinct("p") / F.count_distinct("doc_id")).alias("problem_recurrence"))
     late = (F.col("base_year") > y - recent).cast("int")
-    words = rows.select("tech", late.alias("late"), F.explode("tech_b_list").alias("k")).groupBy("tech").agg(F.count_distinct(F.when(F.col("late") == 1, F.col("k"))).alias("now"), F.count_distinct(F.when(F.coalesce("late", F.lit(0)) == 0, F.col("k"))).alias("old"))
+    words = rows.select("tech", late.alias("late"), F.explode("_keywords").alias("k")).groupBy("tech").agg(F.count_distinct(F.when(F.col("late") == 1, F.col("k"))).alias("now"), F.count_distinct(F.when(F.coalesce("late", F.lit(0)) == 0, F.col("k"))).alias("old"))
     words = words.select("tech", F.when(F.col("old") > 0, F.try_divide((F.col("now") - F.col("old")).cast("double"), F.col("old"))).otherwise(F.when(F.col("now") > 0, 1.0).otherwise(0.0)).alias("keyword_growth"))
     combos = combo_counts(docs, y - recent + 1).where(F.col("n_ab") >= s.threshold("min_combo_patents"))
     degree = combination_growth(combos, y - recent + 1).select("tech", "adjacency")
-    cites = rows.select("tech", "doc_id", "cites_forward").withColumn("_r", F.row_number().over(Window.partitionBy("tech").orderBy(F.desc("cites_forward"), "doc_id"))).withColumn("_n", F.count("*").over(Window.partitionBy("tech")))
-    core = cites.groupBy("tech").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("_r") <= F.greatest(F.floor(F.col("_n") / 10), F.lit(1)), F.col("cites_forward"))), F.sum("cites_forward")), F.lit(0.0)).alias("core_share"))
+    # The most cited tenth of a class, over its distinct counts of citations: as many rows as there are of those.
+    per = Window.partitionBy("tech")
+    cites = rows.groupBy("tech", "cites_forward").agg(F.count("*").alias("c")).withColumn("_n", F.sum("c").over(per))
+    upto = F.sum("c").over(per.orderBy(F.desc_nulls_last("cites_forward")).rowsBetween(Window.unboundedPreceding, 0))
+    taken = F.greatest(F.lit(0), F.least(F.col("c"), F.greatest(F.floor(F.col("_n") / 10), F.lit(1)) - (F.col("_upto") - F.col("c"))))
+    cites = cites.withColumn("_upto", upto)
+    core = cites.groupBy("tech").agg(F.coalesce(F.try_divide(F.sum(taken * F.col("cites_forward")), F.sum(F.col("c") * F.col("cites_forward"))), F.lit(0.0)).alias("core_share"))
     today = F.lit(as_of).cast("date") if as_of else F.make_date(F.lit(y), F.lit(12), F.lit(31))
     left = F.datediff("expiry_date", today) / 365.25
     rights = rows.groupBy("tech").agg(

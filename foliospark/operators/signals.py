@@ -34,10 +34,12 @@ def influence(docs: DataFrame, settings: Settings | None = None, as_of: str | No
     today = F.lit(as_of).cast("date") if as_of else F.current_date()
     left = F.coalesce(F.greatest(F.datediff("expiry_date", today) / 365.25, F.lit(0.0)), F.lit(0.0))
     cites = F.col("cites_forward")
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in docs.columns else F.lit(0.0)
+    countries = known("family_country_count") if "family_country_count" in docs.columns else F.size("family_countries").cast("double")
     p = x.join(cross, "doc_id", "left").select(
-        "doc_id", "applicant", "co_applicants", cites.alias("direct_citations"), (cites * F.log1p(F.coalesce("npl_count", F.lit(0.0)))).alias("indirect_citations"), F.size(F.array_distinct("tech_list")).cast("double").alias("cross_class"),
-        (F.coalesce("other", F.lit(0.0)) * cites).alias("cross_company"), F.size("family_countries").cast("double").alias("family_expansion"),
-        (F.col("active_flag").eqNullSafe(True).cast("double") * F.log1p(F.size("family_countries").cast("double")) + left / 20).alias("legal_strength"),
+        "doc_id", "applicant", "co_applicants", cites.alias("direct_citations"), (cites * F.log1p(known("cites_backward"))).alias("indirect_citations"), F.size(F.array_distinct("tech_list")).cast("double").alias("cross_class"),
+        (F.coalesce("other", F.lit(0.0)) * cites).alias("cross_company"), known("family_size").alias("family_expansion"),
+        (F.col("active_flag").eqNullSafe(True).cast("double") * F.log1p(countries) + left / 20).alias("legal_strength"),
     )
     z = M.normalize(p, {"direct_citations": True, "indirect_citations": True, "cross_class": False, "cross_company": True, "family_expansion": True, "legal_strength": False}, s.threshold("winsor_pct"))
     total = sum(max(v, 0.0) for v in w.values()) or 1.0
@@ -203,12 +205,14 @@ def mad_outliers(docs: DataFrame, value: Column, key: Column, least: int = 8, cu
     return z.where(F.abs("z") > cut).select("doc_id", "key", "value", "z")
 
 
-def disclosure(docs: DataFrame, value: Column, least: int = 3) -> DataFrame:
-    """company, tech, n, z = (company mean - class mean) / class deviation."""
-    x = explode_tech(docs.withColumn("_v", value.cast("double"))).where("_v is not null")
-    cls = x.groupBy("tech").agg(F.avg("_v").alias("m"), F.stddev_pop("_v").alias("s"))
-    c = explode_applicants(x).groupBy("company", "tech").agg(F.count("*").alias("n"), F.avg("_v").alias("mc")).where(F.col("n") >= least)
-    return c.join(cls, "tech").where("s > 1e-12").select("company", "tech", "n", ((F.col("mc") - F.col("m")) / F.col("s")).alias("z"))
+def disclosure(docs: DataFrame, value: Column, least: int = 3, companies: int = 8, techs: int = 8) -> DataFrame:
+    """company, tech, n, z = (company mean - class mean) / the class's sample deviation, by primary class, of the largest companies and classes."""
+    x = docs.withColumn("_v", value.cast("double")).withColumn("tech", primary_tech()).where("_v is not null and tech is not null and applicant <> ''")
+    cls = x.groupBy("tech").agg(F.count("*").alias("_n"), F.avg("_v").alias("m"), F.stddev_samp("_v").alias("s")).orderBy(F.desc("_n"), "tech").limit(techs)
+    rows = explode_applicants(x)
+    top = rows.groupBy("company").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "company").limit(companies).select("company")
+    c = rows.join(F.broadcast(top), "company", "left_semi").groupBy("company", "tech").agg(F.count("*").alias("n"), F.avg("_v").alias("mc")).where(F.col("n") >= least)
+    return c.join(F.broadcast(cls), "tech").select("company", "tech", "n", ((F.col("mc") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z"))
 
 
 def disputes(docs: DataFrame, disputed: Column) -> DataFrame:

@@ -46,6 +46,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "F", True).when(status == "O", False).alias("is_granted"),
         F.when(status == "F", F.col("c_acctbal") >= 0).when(status == "O", True).alias("active_flag"),
         "cites_forward", "claims_count", "class_confidence", "oa_count", "npl_count",
+        # Stand-ins for columns that these tables don't have.
+        F.col("npl_count").alias("cites_backward"), (F.size("_nations") + F.size("inventors")).cast("double").alias("family_size"),
     )
 
 
@@ -56,7 +58,7 @@ DOCS_SQL = """docs AS (
     CASE o_orderstatus WHEN 'F' THEN 'Granted-Active' WHEN 'O' THEN 'Pending' ELSE 'Unknown' END AS legal_status,
     CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS is_granted,
     CASE o_orderstatus WHEN 'F' THEN c_acctbal >= 0 WHEN 'O' THEN TRUE END AS active_flag,
-    p.cites_forward, p.claims_count, p.class_confidence, p.oa_count, p.npl_count
+    p.cites_forward, p.claims_count, p.class_confidence, p.oa_count, p.npl_count, p.npl_count AS cites_backward, (len(p.nations) + len(p.inventors))::DOUBLE AS family_size
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN (
     SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS tech_list, list_sort(list(DISTINCT p_type)) AS tech_l1_list, list_sort(list(DISTINCT p_name)) AS tech_b_list,
       list_sort(list(DISTINCT sn.n_name)) AS nations, list_transform(list_sort(list(DISTINCT l_suppkey)), lambda x: x::VARCHAR) AS inventors, list_sort(list(DISTINCT sr.r_name)) AS family_countries,

@@ -58,10 +58,12 @@ REG.docs("combo_counts", lambda d: X.combo_counts(d, C.latest_year(d) - 2), sql(
 REG.docs("overview_kpis", C.overview_kpis, sql("SELECT count(*) AS n_docs, count(DISTINCT family_id) AS n_families, count(DISTINCT country) AS n_countries, avg(active_flag::INT) AS active_share, min(base_year) AS year_min, max(base_year) AS year_max, (SELECT count(DISTINCT company) FROM comp) AS n_applicants FROM docs", COMPANY))
 REG.docs("tech_growth", lambda d: C.tech_growth(d).select("tech", "total", F.round("growth", 9).alias("growth"), "method"), sql("SELECT t.tech, t.total, round(growth, 9) AS growth, method FROM (SELECT tech, sum(n) AS total FROM ty GROUP BY tech HAVING sum(n) >= 3) t JOIN g ON g.tech = t.tech", TECH, TY, M.growth_sql("ty", "tech")))
 REG.docs("growth_ladder", lambda d: M.growth_ladder(X.explode_applicants(d).groupBy("company", F.col("base_year").alias("year")).agg(F.count("*").alias("n")), ["company"], 3, year_max=2002).select("company", F.round("growth", 9).alias("growth"), "method"),
-         sql("SELECT company, round(growth, 9) AS growth, method FROM g", COMPANY, "cy AS (SELECT company, base_year AS year, count(*) AS n FROM comp WHERE doc_id % 37 = 0 GROUP BY company, base_year)", M.growth_sql("cy", "company", 3, "2002")))
+         sql("SELECT company, round(growth, 9) AS growth, method FROM g", COMPANY, "cy AS (SELECT company, base_year AS year, count(*) AS n FROM comp GROUP BY company, base_year)", M.growth_sql("cy", "company", 3, "2002")))
 REG.docs("year_counts_dense", lambda d: M.dense_years(d.groupBy("country", F.col("base_year").alias("year")).agg(F.count("*").alias("n")), ["country"], year_max=2004),
          sql("SELECT s.country, s.year::INT AS year, coalesce(c.n, 0) AS n FROM (SELECT country, unnest(range(min(base_year), 2005)) AS year FROM docs GROUP BY country) s LEFT JOIN (SELECT country, base_year, count(*) AS n FROM docs GROUP BY ALL) c ON c.country = s.country AND c.base_year = s.year"))
-REG.docs("new_combinations", C.new_combinations, sql(f"SELECT a, b, n_ab, first_year FROM combos WHERE first_year > {Y} - 3", TECH.replace("FROM docs", "FROM docs WHERE doc_id % 53 = 0"), PAIRS, COMBOS).replace(f"{Y}", "(SELECT max(base_year) FROM docs WHERE doc_id % 53 = 0)"))
+# Classes are too dense here for new pairs or gaps: inventors stand for them.
+INVENTED = TECH.replace("unnest(tech_list)", "unnest(inventors)")
+REG.docs("new_combinations", lambda d: C.new_combinations(d, recent=6, labels="inventors"), sql(f"SELECT a, b, n_ab, first_year FROM combos WHERE first_year > {Y} - 6 AND n_ab >= 3", INVENTED, PAIRS, COMBOS))
 REG.docs("strategy_change", lambda d: C.strategy_change(d).select("company", F.round("change", 9).alias("change"), "top_gaining", F.round("top_gain", 6).alias("top_gain"), "n_now", "n_before"), sql(f"""SELECT s.company, round(1 - sum(sx * sy) / sqrt(sum(sx * sx) * sum(sy * sy)), 9) AS change, arg_min(tech, (-round(sx - sy, 9), tech)) AS top_gaining, round(max(round(sx - sy, 9)), 6) AS top_gain, any_value(n_now) AS n_now, any_value(n_before) AS n_before
 FROM (SELECT company, tech, x / sum(x) OVER (PARTITION BY company) AS sx, y / sum(y) OVER (PARTITION BY company) AS sy FROM (SELECT company, tech, (count(*) FILTER (base_year > {Y} - 3))::DOUBLE AS x, (count(*) FILTER (base_year <= {Y} - 3))::DOUBLE AS y FROM (SELECT company, base_year, unnest(tech_list) AS tech FROM comp WHERE base_year > {Y} - 6) GROUP BY company, tech)) s
 JOIN (SELECT company, count(*) FILTER (base_year > {Y} - 3) AS n_now, count(*) FILTER (base_year <= {Y} - 3) AS n_before FROM comp WHERE base_year > {Y} - 6 GROUP BY company) n ON n.company = s.company WHERE n_now >= 3 AND n_before >= 3 GROUP BY s.company""", COMPANY))
@@ -111,7 +113,7 @@ op AS (SELECT cr.tech, cr.n, greatest(coalesce(growth, 0.0), 0.0) AS g, new_entr
   FROM cr JOIN ent ON ent.tech = cr.tech LEFT JOIN cg ON cg.tech = cr.tech JOIN prob ON prob.tech = cr.tech JOIN kw ON kw.tech = cr.tech JOIN core ON core.tech = cr.tech JOIN rights ON rights.tech = cr.tech JOIN g ON g.tech = cr.tech WHERE cr.n >= 3)"""
 ATTR = M.weighted_geometric_mean_sql([("norm_g", 1.0), ("norm_new_entrants", 1.0), ("norm_combo_growth", 0.7), ("norm_keyword_growth", 0.5), ("norm_problem_recurrence", 0.5), ("norm_adjacency", 0.7)])
 BARR = f"(({' + '.join(f'norm_{c}' for c in WALLS)}) / 5)"
-REG.docs("opportunity", lambda d: C.opportunity(d).select("tech", "n", "new_entrants", "adjacency", *[F.round(c, 6).alias(c) for c in ("growth", "combo_growth", "keyword_growth", "problem_recurrence", "core_share", "years_left", "attractiveness", "barrier", "entry", "score")]),
+REG.docs("opportunity", lambda d: C.opportunity(d, keywords=F.col("tech_b_list"), problems=F.col("tech_c_list")).select("tech", "n", "new_entrants", "adjacency", *[F.round(c, 6).alias(c) for c in ("growth", "combo_growth", "keyword_growth", "problem_recurrence", "core_share", "years_left", "attractiveness", "barrier", "entry", "score")]),
          sql(f"""SELECT tech, n, new_entrants, adjacency, round(g, 6) AS growth, round(combo_growth, 6)::DOUBLE AS combo_growth, round(keyword_growth, 6)::DOUBLE AS keyword_growth, round(problem_recurrence, 6) AS problem_recurrence, round(core_share, 6) AS core_share, round(years_left, 6) AS years_left,
   round({ATTR}, 6) AS attractiveness, round({BARR}, 6) AS barrier, round(1 - least({BARR}, 1.0), 6) AS entry, round({ATTR} * greatest(1 - least({BARR}, 1.0), 0.001), 6) AS score FROM nz""",
              TECH, PAIRS, COMBOS, CG.replace("NMIN", "3"), ENT, CR, TY, M.growth_sql("ty", "tech", 3, Y), OPP, M.normalize_sql("op", {c: c in ("new_entrants", "adjacency", "active_grants", "family_countries", "years_left") for c in PARTS + WALLS})))
@@ -132,7 +134,9 @@ REG.docs("upset_exact", C.upset, sql("SELECT combo, count(*) AS n FROM (SELECT s
 GAPS = """top AS (SELECT tech FROM techn ORDER BY n DESC, tech LIMIT 8), tr AS (SELECT DISTINCT doc_id FROM tech WHERE tech IN (SELECT tech FROM top)), nn AS (SELECT count(*) AS n FROM tr), p AS (SELECT t.tech, n.n / (SELECT n FROM nn) AS p FROM top t JOIN techn n ON n.tech = t.tech),
 s AS (SELECT a.tech || ' & ' || b.tech AS combo, a.p * b.p * (SELECT n FROM nn) AS e, [a.tech, b.tech] AS l FROM p a JOIN p b ON a.tech < b.tech UNION ALL SELECT a.tech || ' & ' || b.tech || ' & ' || c.tech, a.p * b.p * c.p * (SELECT n FROM nn), [a.tech, b.tech, c.tech] FROM p a JOIN p b ON a.tech < b.tech JOIN p c ON b.tech < c.tech),
 cnt AS (SELECT combo, e, (SELECT count(*) FROM docs WHERE list_has_all(tech_list, s.l)) AS actual FROM s)"""
-REG.docs("upset_gaps", lambda d: C.upset_gaps(d).select("combo", F.round("expected", 6).alias("expected"), "actual", F.round("gap", 6).alias("gap")), sql("SELECT combo, round(e, 6) AS expected, actual, round(e - actual, 6) AS gap FROM cnt WHERE e >= 1.5 AND actual <= greatest(1, 0.15 * e) ORDER BY e - actual DESC, combo LIMIT 15", TECH, TECHN, GAPS).replace("GROUP BY l_orderkey", "WHERE l_orderkey % 7 = 0 GROUP BY l_orderkey", 1))
+REG.docs("upset_gaps", lambda d: C.upset_gaps(d, labels="inventors").select("combo", F.round("expected", 6).alias("expected"), "actual", F.round("gap", 6).alias("gap")),
+         sql("""SELECT combo, round(e, 6) AS expected, actual, round(round(e, 9) - actual, 6) AS gap FROM cnt
+WHERE round(e, 9) >= 1.5 AND actual <= greatest(1, 0.15 * round(e, 9)) ORDER BY round(e, 9) - actual DESC, combo LIMIT 15""", INVENTED, TECHN, GAPS.replace("tech_list", "inventors")))
 REG.docs("custom_chart_single", lambda d: C.custom_chart(d, ["country"], ["count", "families", "grant_rate", "avg_cites", "sum_claims", "joint_rate", "techs"]), sql("SELECT country AS dim1, count(*)::DOUBLE AS count, count(DISTINCT family_id)::DOUBLE AS families, avg(is_granted::INT) AS grant_rate, avg(cites_forward) AS avg_cites, sum(claims_count) AS sum_claims, avg((len(co_applicants) >= 2)::INT) AS joint_rate, len(list_distinct(flatten(list(tech_list))))::DOUBLE AS techs FROM docs GROUP BY country").replace("SELECT country AS dim1", "SELECT upper(country) AS dim1"))
 REG.docs("custom_chart_matrix", lambda d: C.custom_chart(d, ["tech_l1", "year"], ["count", "active_rate"]), sql("SELECT t AS dim1, base_year::VARCHAR AS dim2, count(*)::DOUBLE AS count, avg(active_flag::INT) AS active_rate FROM (SELECT base_year, active_flag, unnest(tech_l1_list) AS t FROM docs) GROUP BY 1, 2"))
 REG.docs("custom_chart_points", lambda d: C.custom_chart(d, ["applicant"], ["count", "avg_cites", "active_rate"], top=10), sql("SELECT company AS dim1, count(*)::DOUBLE AS count, avg(cites_forward) AS avg_cites, avg(active_flag::INT) AS active_rate FROM comp GROUP BY company ORDER BY count DESC, company LIMIT 10", COMPANY))

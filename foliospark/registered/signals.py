@@ -16,7 +16,7 @@ REG = Registry()
 WEIGHTS = {"direct_citations": 1.0, "indirect_citations": 0.7, "cross_class": 0.8, "cross_company": 0.8, "family_expansion": 0.6, "legal_strength": 0.6}
 INF = """orat AS (SELECT tech, applicant, 1 - count(*) / sum(count(*)) OVER (PARTITION BY tech) AS other FROM tech GROUP BY tech, applicant),
 xo AS (SELECT t.doc_id, avg(other) AS other FROM tech t JOIN orat o ON o.tech = t.tech AND o.applicant = t.applicant GROUP BY t.doc_id),
-inf AS (SELECT d.doc_id, cites_forward AS direct_citations, cites_forward * ln(1 + npl_count) AS indirect_citations, len(tech_list)::DOUBLE AS cross_class, coalesce(other, 0) * cites_forward AS cross_company, len(family_countries)::DOUBLE AS family_expansion,
+inf AS (SELECT d.doc_id, cites_forward AS direct_citations, cites_forward * ln(1 + cites_backward) AS indirect_citations, len(tech_list)::DOUBLE AS cross_class, coalesce(other, 0) * cites_forward AS cross_company, family_size AS family_expansion,
   coalesce(active_flag, FALSE)::INT * ln(1 + len(family_countries)) + greatest(date_diff('day', DATE '2010-01-01', expiry_date) / 365.25, 0.0) / 20 AS legal_strength FROM docs d LEFT JOIN xo ON xo.doc_id = d.doc_id)"""
 REG.docs("influence", lambda d: S.influence(d, as_of="2010-01-01").select("doc_id", F.round("influence", 6).alias("influence")),
          sql(f"SELECT doc_id, round(s, 6) AS influence FROM (SELECT doc_id, round(({' + '.join(f'norm_{k} * {w}' for k, w in WEIGHTS.items())}) / {sum(WEIGHTS.values())}, 9) AS s FROM nz) ORDER BY s DESC, doc_id LIMIT 10", TECH, INF, M.normalize_sql("inf", {"direct_citations": True, "indirect_citations": True, "cross_class": False, "cross_company": True, "family_expansion": True, "legal_strength": False})))
@@ -63,8 +63,8 @@ REG.docs("km_survival", lambda d: S.survival(_lived(d), S.primary_tech()).select
 FAM = "f AS (SELECT d.*, date_diff('day', t0, app_date) / 30.44 AS lag FROM (SELECT *, owner AS place FROM docs) d JOIN (SELECT family_id, min(app_date) AS t0 FROM docs GROUP BY 1) x ON x.family_id = d.family_id), f2 AS (SELECT * FROM f WHERE lag BETWEEN 0 AND 120 AND family_id IN (SELECT family_id FROM f WHERE lag BETWEEN 0 AND 120 GROUP BY 1 HAVING count(DISTINCT place) >= 2))"
 REG.docs("market_entry", lambda d: S.market_entry(d.withColumn("country", F.col("owner"))).withColumn("months", F.round("months", 7)), sql("SELECT company, place AS country, count(*) AS n, round(avg(lag), 7) AS months FROM (SELECT *, unnest(co_applicants) AS company FROM f2) GROUP BY 1, 2 HAVING count(*) >= 3", FAM))
 REG.docs("first_entries", lambda d: S.first_entries(d.withColumn("country", F.col("owner"))), sql("SELECT country, count(*) AS n, count(*) / (SELECT count(DISTINCT family_id) FROM docs) AS share FROM (SELECT family_id, arg_min(owner, (app_date, doc_id)) AS country FROM docs GROUP BY 1) GROUP BY 1"))
-AG = "ag AS (SELECT DISTINCT company, base_year AS year, unnest(agents) AS agent FROM comp WHERE doc_id % 29 = 0), af AS (SELECT *, min(year) OVER (PARTITION BY company, agent) AS first, min(year) OVER (PARTITION BY company) AS start FROM ag)"
-REG.docs("new_agents_share", S.new_agents, sql("SELECT a.company, a.year, n, new_share, a.year > start AND n >= 3 AND new_share >= 0.25 AS signal FROM (SELECT company, year, avg((first = year)::INT) AS new_share, min(start) AS start FROM af GROUP BY ALL) a JOIN (SELECT company, base_year AS year, count(*) AS n FROM comp WHERE doc_id % 29 = 0 GROUP BY ALL) c ON c.company = a.company AND c.year = a.year", COMPANY, AG))
+AG = "ag AS (SELECT DISTINCT company, base_year AS year, unnest(agents) AS agent FROM comp), af AS (SELECT *, min(year) OVER (PARTITION BY company, agent) AS first, min(year) OVER (PARTITION BY company) AS start FROM ag)"
+REG.docs("new_agents_share", S.new_agents, sql("SELECT a.company, a.year, n, new_share, a.year > start AND n >= 3 AND new_share >= 0.25 AS signal FROM (SELECT company, year, avg((first = year)::INT) AS new_share, min(start) AS start FROM af GROUP BY ALL) a JOIN (SELECT company, base_year AS year, count(*) AS n FROM comp GROUP BY ALL) c ON c.company = a.company AND c.year = a.year", COMPANY, AG))
 REG.docs("examiner_eye", lambda d: S.examiner_eye(d, F.col("oa_count"), F.col("npl_count")), sql("SELECT tech, count(*) AS n, avg(oa_count) AS avg_examiner, avg(npl_count) AS avg_applicant, avg(oa_count) > 1.8 * avg(npl_count) AND avg(oa_count) >= 2 AS risky FROM (SELECT oa_count, npl_count, unnest(tech_list) AS tech FROM docs) GROUP BY tech"))
 
 
@@ -80,7 +80,9 @@ REG.docs("burst_windows", lambda d: S.bursts(d, "applicant", "app_date", 60, 16)
 MM = "date_diff('day', app_date, reg_date) / 30.44"
 MAD = f"mx AS (SELECT doc_id, tech_list[1] AS key, round({MM}, 9) AS value FROM docs), md AS (SELECT key, quantile_cont(value, 0.5) AS med FROM mx GROUP BY key HAVING count(*) >= 8), mz AS (SELECT mx.*, med, abs(value - med) AS d FROM mx JOIN md ON md.key = mx.key), ma AS (SELECT key, quantile_cont(d, 0.5) AS mad FROM mz GROUP BY key)"
 REG.docs("mad_outliers", lambda d: S.mad_outliers(d, F.datediff("reg_date", "app_date") / 30.44, S.primary_tech()).select("doc_id", "key", *rounded("value z", 7)), sql("SELECT doc_id, mz.key, round(value, 7) AS value, round(0.6745 * (value - med) / CASE WHEN mad > 0 THEN mad ELSE 1.0 END, 7) AS z FROM mz JOIN ma ON ma.key = mz.key WHERE abs(0.6745 * (value - med) / CASE WHEN mad > 0 THEN mad ELSE 1.0 END) > 2.5", MAD))
-REG.docs("disclosure_z", lambda d: S.disclosure(d, F.col("claims_count")).withColumn("z", F.round("z", 7)), sql("SELECT company, c.tech, n, round((mc - m) / s, 7) AS z FROM (SELECT company, tech, count(*) AS n, avg(claims_count) AS mc FROM (SELECT company, claims_count, unnest(tech_list) AS tech FROM comp) GROUP BY 1, 2 HAVING count(*) >= 3) c JOIN (SELECT tech, avg(claims_count) AS m, stddev_pop(claims_count) AS s FROM (SELECT claims_count, unnest(tech_list) AS tech FROM docs) GROUP BY 1) t ON t.tech = c.tech WHERE s > 1e-12", COMPANY))
+DI = """dk AS (SELECT *, tech_list[1] AS k FROM docs), dc AS (SELECT k, avg(claims_count) AS m, stddev_samp(claims_count) AS s FROM dk GROUP BY k ORDER BY count(*) DESC, k LIMIT 8), dt AS (SELECT company FROM comp GROUP BY company ORDER BY count(*) DESC, company LIMIT 8)"""
+REG.docs("disclosure_z", lambda d: S.disclosure(d, F.col("claims_count")).withColumn("z", F.round("z", 7)),
+         sql("SELECT x.company, x.k AS tech, x.n, round((x.mc - dc.m) / dc.s, 7) AS z FROM (SELECT company, k, count(*) AS n, avg(claims_count) AS mc FROM (SELECT *, unnest(co_applicants) AS company FROM dk) GROUP BY ALL HAVING count(*) >= 3) x JOIN dc ON dc.k = x.k WHERE x.company IN (SELECT company FROM dt)", COMPANY, DI))
 REG.docs("disputes", lambda d: S.disputes(d, F.col("owner") != F.col("applicant")), sql("SELECT tech, count(*) AS n, count(*) FILTER (owner <> applicant) AS disputed, avg(cites_forward) FILTER (owner <> applicant) AS avg_cites_disputed, avg(cites_forward) FILTER (owner = applicant) AS avg_cites_other FROM (SELECT owner, applicant, cites_forward, unnest(tech_list) AS tech FROM docs) GROUP BY tech"))
 REG.docs("dispute_edges", lambda d: S.dispute_edges(d, F.when(F.col("oa_count") >= 3, F.col("country"))), sql("SELECT country AS claimant, owner, count(*) AS n FROM docs WHERE oa_count >= 3 GROUP BY 1, 2"))
 REG.docs("quality_split", lambda d: S.quality_split(d, urgent()), sql("SELECT list_contains(tech_c_list, '1-URGENT') AS flag, count(*) AS n, avg(cites_forward) AS avg_cites, avg(is_granted::INT) AS grant_rate, avg(active_flag::INT) AS active_rate FROM docs GROUP BY 1"))

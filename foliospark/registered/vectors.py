@@ -30,7 +30,7 @@ REG.add("similarity_pairs", lambda s, d: _pairs(s, d).withColumn("similarity", F
 REG.add("semantic_followers", lambda s, d: V.followers(embeddings(s, d), _pairs(s, d)).withColumn("avg_similarity", F.round("avg_similarity", 7)), f"WITH {COS}, {FOL} SELECT doc, count(*) AS followers, count(*) FILTER (cross_) AS cross_followers, count(DISTINCT company) FILTER (cross_) AS companies, round(avg(similarity), 7) AS avg_similarity, round(sum(round(similarity, 9)) FILTER (cross_), 6) AS score FROM fo GROUP BY doc HAVING count(*) FILTER (cross_) >= 2 ORDER BY score DESC, doc LIMIT 12")
 REG.add("components", lambda s, d: V.components(_pairs(s, d)), f"WITH RECURSIVE {COS}, e AS (SELECT a AS u, b AS v FROM sp UNION SELECT b, a FROM sp), r(node, other) AS (SELECT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
 REG.add("bridges", lambda s, d: V.bridges(p := _pairs(s, d), V.components(p)))
-REG.add("overlap_density", lambda s, d: V.overlap_density(embeddings(s, d)).withColumn("density", F.round("density", 7)), f"WITH {COS}, bo AS (SELECT a AS node, b AS o, similarity FROM sp UNION ALL SELECT b, a, similarity FROM sp) SELECT node, round(avg(similarity), 7) AS density FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(similarity, 12) DESC, o) AS r FROM bo) WHERE r <= 3 GROUP BY node")
+REG.add("overlap_density", lambda s, d: V.overlap_density(embeddings(s, d)).withColumn("density", F.round("density", 7)), f"WITH {COS}, bo AS (SELECT a AS node, b AS o, similarity FROM cs UNION ALL SELECT b, a, similarity FROM cs) SELECT node, round(avg(similarity), 7) AS density FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(similarity, 12) DESC, o) AS r FROM bo) WHERE r <= 20 GROUP BY node")
 REG.add("class_cohesion", lambda s, d: V.class_cohesion(embeddings(s, d)).withColumn("cohesion", F.round("cohesion", 6)), """WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), c AS (SELECT label, d, avg(x) AS c, avg(x / n) AS u, count(*) AS n FROM x GROUP BY ALL) SELECT label, max(n) AS n, round(sum(c * u) / sqrt(sum(c * c)), 6) AS cohesion FROM c GROUP BY label""")
 CEN = "x AS (SELECT label, vec_id % 7 + 1995 AS year, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)"
 REG.add("class_confusion", lambda s, d: V.class_confusion(embeddings(s, d)).withColumn("similarity", F.round("similarity", 6)), f"WITH {CEN}, c AS (SELECT label, d, avg(x) AS x FROM x GROUP BY ALL) SELECT p.label AS a, q.label AS b, round(sum(p.x * q.x) / sqrt(sum(p.x * p.x) * sum(q.x * q.x)), 6) AS similarity FROM c p JOIN c q ON p.d = q.d AND p.label < q.label GROUP BY 1, 2")
