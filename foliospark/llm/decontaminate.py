@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SYMBOL, ascii_lower, whole, words
+from .common import BROADCAST_BYTES, SYMBOL, ascii_lower, cut, small, unused, whole, words
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -49,6 +49,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, limit: int
     table = distinct.select(
         F.xxhash64(F.transform(F.split("window", " "), lambda x: F.xxhash64(x))).alias("key"), F.col("len").alias("w_len"), "window", F.xxhash64(F.lit(7), "window").alias("window_id")
     )
+    if size > limit:
+        table = cut(table)  # a shuffled side that is only read, so that the probes of a very common window can be split
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(ascii_lower(whole("text")), SYMBOL).alias("w"))
     d = d.select("doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     # Position -1 of the first length stands for the document itself, so that clean ones stay in the one pass.
@@ -85,11 +87,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, limit: int
         ),
         lambda a: a["n"],
     )
-    items = per_item.select(F.xxhash64(F.lit(7), "window").alias("id"), "item_id").distinct()
+    items = cut(per_item.select(F.xxhash64(F.lit(7), "window").alias("id"), "item_id").distinct())
     named = (
         grouped.withColumn("n_hit", covered)
         .select("*", F.explode_outer(F.array_distinct(F.transform("hits", lambda x: x["window_id"]))).alias("wid"))
-        .join(near(items), F.col("wid") == F.col("id"), "left")
+        .join(small(items, F.octet_length(F.col("item_id").cast("string")) + 32, limit), F.col("wid") == F.col("id"), "left")
         .groupBy("doc_id", "text_hash", "n_words", "copies", "n_hit")
         .agg(F.first("hits").alias("hits"), F.collect_set("item_id").alias("items"))
     )
@@ -104,22 +106,28 @@ def contaminated(n_hit, n_words):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, mode: str = "documents") -> DataFrame:
     """``docs`` without its contaminated documents (mode "documents") or with the hit words cut out of them ("spans").
 
-    A document keeps all its columns. Spans are cut together with the
-    separators inside and after them.
+    A document keeps all its columns, whatever their names. Null and empty texts
+    are clean; texts are scanned whole; repeated rows and rows with one doc_id
+    are judged each on its own text. Spans are cut together with the separators
+    inside and after them. An empty benchmark leaves all as it is.
     """
     found = contamination(docs.select("doc_id", "text"), benchmark, n).where(F.col("n_hit") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits"), contaminated(F.col("n_hit"), F.col("n_words")).alias("_bad")).dropDuplicates(["_id", "_hash"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    key, h, hits, ws = (unused(docs, x) for x in ("id", "hash", "hits", "words"))
+    found = found.withColumns({key: F.col("doc_id"), h: F.col("text_hash"), hits: F.col("hits")})
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h))
     if mode == "documents":
-        return docs.join(found.where("_bad").hint("shuffle_hash"), same, "left_anti")
+        bad = cut(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key, h).distinct())
+        return docs.join(small(bad, F.lit(48)), same, "left_anti")
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    hit = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), hit)
+    found = cut(found.select(key, h, hits).dropDuplicates([key, h]))
+    hit = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(ws) - 1), hit)
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    left = F.concat(lead, F.array_join(F.transform(kept, lambda i: F.get(F.col("_words"), i)), ""))
-    joined = docs.join(found.hint("shuffle_hash"), same, "left").withColumn("_words", F.regexp_extract_all("text", F.lit(WORD + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0))
-    return joined.withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    left = F.concat(lead, F.array_join(F.transform(kept, lambda i: F.get(F.col(ws), i)), ""))
+    joined = docs.join(small(found, 64 + 16 * F.size(hits)), same, "left").withColumn(ws, F.regexp_extract_all("text", F.lit(WORD + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), 0))
+    cleaned = F.when(F.col(hits).isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
