@@ -90,7 +90,9 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     """
     fp = F.col("fp")
     values = [fp, *[x for segment in range(SEGMENTS) for x in _ball(fp, segment)]]
-    table = fingerprints.select("fp").distinct().select("fp", F.explode(F.array(*values)).alias("value"))
+    # So many partitions by number: each row makes 65, which isn't seen when small partitions are put together.
+    partitions = max(8, int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    table = fingerprints.select("fp").repartition(partitions, "fp").distinct().select("fp", F.explode(F.array(*values)).alias("value"))
     met = cut(table.groupBy("value").agg(F.min("fp").alias("lead"), F.max("fp").alias("other")).where("lead < other").select("value", "lead"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= 2
     return table.join(small(met, F.lit(32)), "value").where((F.col("fp") != F.col("lead")) & close).select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
