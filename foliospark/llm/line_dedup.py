@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, whole
+from .common import ascii_lower, cut, small, unused, whole
 
 STRIPPED = " \t\n\x0b\x0c\r"
 
@@ -33,14 +33,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
         .where(F.length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    common = (
+    # Written before the join: broadcast if it is small, and else the rows of a very common line can be split.
+    common = cut(
         lines.groupBy("h1", "h2")
         .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("kept_in"))
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "kept_in")
     )
     return (
-        lines.join(common, ["h1", "h2"])
+        lines.join(small(common, F.lit(40)), ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("kept_in")))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("drop"))
@@ -50,24 +51,24 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """All columns of ``docs``, with kept_text, n_lines and n_dropped after them.
 
-    Null and empty texts are one empty line. An empty table gives an empty one.
-    Columns of ``docs`` named like the three new ones are replaced.
+    Null and empty texts are one empty line; null ids count for no line. Lines
+    are compared and put together whole, however long. Repeated rows lose the
+    same lines and stay repeated; of the documents with a common line that with
+    the largest doc_id keeps it. An empty table gives an empty one. Columns of
+    ``docs`` named like the three new ones are replaced, others never touched.
     """
-    drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    lines = F.split(whole("text"), "\n")
-    joined = docs.select(*own).withColumn("_h", F.xxhash64("text")).join(
-        drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left"
-    )
-    kept = F.concat_ws(
-        "\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop")), lambda i: F.get(F.col("_lines"), i))
-    )
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("kept_text", F.when(F.col("_drop").isNull(), whole("text")).otherwise(kept))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .select(*own, "kept_text", "n_lines", "n_dropped")
+    key, h, drop, lines = (unused(docs, x) for x in ("id", "hash", "drop", "lines"))
+    drops = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs)
+    drops = drops.select(F.col("doc_id").alias(key), F.col("text_hash").alias(h), F.col("drop").alias(drop))
+    own = [c for c in docs.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")]
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h))
+    joined = docs.select(*own).join(drops.hint("shuffle_hash"), same, "left").withColumn(lines, F.split(whole("text"), "\n"))
+    kept = F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop)), lambda i: F.get(F.col(lines), i)))
+    return joined.select(
+        *own,
+        F.when(F.col(drop).isNull(), whole("text")).otherwise(kept).alias("kept_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

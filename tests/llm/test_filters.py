@@ -78,6 +78,20 @@ def test_line_dedup(spark, documents, odd, none):
     assert full.columns == ["doc_id", "text", "lang", "source", "n_chars", "component_id", "kept_text", "n_lines", "n_dropped"] and full.count() == odd.count()
 
 
+def test_clashing_columns_stay(spark, odd):
+    from pyspark.sql import functions as F
+
+    names = ["_h", "_hash", "_id", "_lines", "_drop", "_words", "_hits", "_key", "drop", "hits", "n_words", "text_hash", "window", "copies"]
+    docs = odd.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    rows = lambda d: sorted(repr([r[c] for c in ["doc_id", "text", *names]]) for r in d.collect())
+    assert rows(line_dedup.line_dedup(docs)) == rows(docs)
+    kept = decontaminate.decontaminate(docs, bench(spark))
+    ids = {r.doc_id for r in kept.collect()}
+    assert rows(kept) == rows(docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin([i for i in ids if i is not None])))
+    spans = decontaminate.decontaminate(docs, bench(spark), mode="spans")
+    assert spans.columns == docs.columns and sorted(str(r._words) for r in spans.collect()) == sorted(str(r._words) for r in docs.collect())
+
+
 def bench(spark):
     items = [(1, "Alpha beta; GAMMA delta"), (2, "one"), (3, ""), (4, None), (None, "zeta eta"), (5, "long text of many words and lines long text of many words and lines"), (6, "one")]
     return spark.createDataFrame(items, "item_id long, text string")
@@ -130,12 +144,14 @@ def test_pipeline_is_brute_force(spark, tmp_path):
 
     source = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{source}/documents.parquet").where("doc_id % 2 = 0")
-    extra = [(10_000, None, "en", "x", None), (10_001, "12 34", "en", "x", 5), (10_002, "", None, None, 0), *[(10_010 + i, f"{COMMON}\nown words number {i} here", "en", "x", 80) for i in range(6)], (10_020, "own words number 1 here", "en", "x", 23)]
+    extra = [(10_000, None, "en", "x", None), (10_001, "12 34", "en", "x", 5), (10_002, "", None, None, 0), (None, "two words without an id", "en", "x", 9), (None, "quite another text that has no id", "en", "x", 9), *[(10_010 + i, f"{COMMON}\nown words number {i} here", "en", "x", 80) for i in range(6)], (10_020, "own words number 1 here", "en", "x", 23)]
     docs.unionByName(spark.createDataFrame(extra, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{source}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
     rows = [r for r in rows if regex.search(r"\p{L}", r[1] or "")]
     rows = [(d, "\n".join(k)) for d, _, k in brute_lines(rows)]
+    names = {f"none {i}" if d is None else d: (d, t) for i, (d, t) in enumerate(rows)}
+    rows = [(n, t) for n, (_, t) in names.items()]
     prints = {d: brute_fingerprint(t) for d, t in rows}
     root = {d: d for d in prints}
 
@@ -144,19 +160,20 @@ def test_pipeline_is_brute_force(spark, tmp_path):
             x = root[x]
         return x
 
-    ids = sorted(prints)
+    ids = sorted(prints, key=lambda x: (isinstance(x, str), x))
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((find(a), find(b)))
+                x, y = sorted((find(a), find(b)), key=lambda x: (isinstance(x, str), x))
                 root[y] = x
-    rows = [(d, t) for d, t in rows if find(d) == d]
+    rows = [(names[d][0], t) for d, t in rows if find(d) == d]
+    assert sum(d is None for d, _ in rows) == 2
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{source}/benchmark.parquet").collect()]
-    bad = {d for d, n, h, _ in brute_hits(rows, items) if h > 0 and 20 * h >= n}
+    bad = {(d, t) for (d, t), (_, n, h, _) in zip(rows, brute_hits(rows, items)) if h > 0 and 20 * h >= n}
     tok = Tokenizer.from_file(tokens.default_tokenizer())
     want = Counter()
     for d, t in rows:
-        if d not in bad:
+        if (d, t) not in bad:
             e = tok.encode(t, add_special_tokens=False).ids + [0]
             for k, at in enumerate(range(0, len(e), 2048)):
                 want[(d, k, at, len(e[at : at + 2048]), zlib.crc32(np.asarray(e[at : at + 2048], "<u4").tobytes()))] += 1
