@@ -7,12 +7,13 @@ of doc_id, so no task orders all documents.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, ascii_lower, hex64, whole, words
+from .common import BLANK, ascii_lower, cut, hex64, small, whole, words
 from .simhash import block_table_pairs, term_fingerprints
 
 BITS, SHINGLE, RADIUS = 128, 2, 3
@@ -34,23 +35,28 @@ def fingerprint_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def _bounds(docs: DataFrame, ranges: int) -> list[int]:
     """Upper doc_ids of about equal ranges; where they lie changes the work of each task, never the result."""
     shares = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 1000).alias("b")).first()["b"] if shares else None
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(1000, 4 * ranges)).alias("b")).first()["b"] if shares else None
     return sorted(set(found or []))
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are under ``doc_id``, in two steps of about sqrt(n) comparisons; -1 for null."""
+#: Rows without a doc_id are dealt to so many ranges by their text's hash.
+NULL_RANGES = 1024
+
+
+def _range_of(doc_id: Column, text_hash: Column, bounds: list[int]) -> Column:
+    """How many bounds are under ``doc_id``, in two steps of about sqrt(n) comparisons; negative for null, falling with the hash."""
+    without = -1 - F.shiftright(text_hash, 54) - NULL_RANGES // 2
     if not bounds:
-        return F.when(doc_id.isNull(), -1).otherwise(0)
+        return F.when(doc_id.isNull(), without).otherwise(F.lit(0).cast("long"))
     step = max(1, math.isqrt(len(bounds)))
-    coarse = bounds[step - 1 :: step]
-    table = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[i * step : (i + 1) * step]]) for i in range(-(-len(bounds) // step))] or [F.array().cast("array<bigint>")])
-    c = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in coarse]), lambda b: b < doc_id)) if coarse else F.lit(0)
-    fine = F.size(F.filter(F.coalesce(F.get(table, c), F.array().cast("array<bigint>")), lambda b: b < doc_id))
-    return F.when(doc_id.isNull(), -1).otherwise(c * step + fine)
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  one literal, however long
+    c = F.size(F.filter(listed([x[-1] for x in parts if len(x) == step], "array<bigint>"), lambda b: b < doc_id))
+    fine = F.size(F.filter(F.coalesce(F.get(listed(parts, "array<array<bigint>>"), c), F.array().cast("array<bigint>")), lambda b: b < doc_id))
+    return F.when(doc_id.isNull(), without).otherwise((c * step + fine).cast("long"))
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 2000, most_ranges: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 2000, most_ranges: int = 65_536) -> DataFrame:
     """doc_id, text, next_text: the text after each document in descending doc_id; the first one's after the last.
 
     Null texts are empty. Null doc_ids come last, and rows with the same doc_id
@@ -60,17 +66,20 @@ def with_next(docs: DataFrame, rows_per_range: int = 2000, most_ranges: int = 40
     """
     ranges = max(1, min(most_ranges, -(-docs.count() // rows_per_range)))
     bounds = _bounds(docs, ranges)
-    d = docs.select("doc_id", whole("text").alias("text"), _range_of(F.col("doc_id"), bounds).alias("_range"))
-    d = d.withColumn("_h", F.xxhash64("text"))
+    d = docs.select("doc_id", whole("text").alias("text")).withColumn("_h", F.xxhash64("text"))
+    d = d.withColumn("_range", _range_of(F.col("doc_id"), F.col("_h"), bounds))
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("_h"))
-    heads_id = d.groupBy("_range").agg(F.min(F.struct((-F.col("doc_id")).alias("neg"), F.col("_h").alias("h"))).alias("m"))
-    heads_id = heads_id.select(F.col("_range").alias("_r"), (-F.col("m.neg")).alias("_id"), F.col("m.h").alias("_hh"))
+    # ~doc_id falls as doc_id rises, and can't overflow.
+    heads_id = d.groupBy("_range").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("neg"), F.col("_h").alias("h"))).alias("m"))
+    heads_id = heads_id.select(F.col("_range").alias("_r"), F.bitwise_not("m.neg").alias("_id"), F.col("m.h").alias("_hh"))
     heads = d.join(F.broadcast(heads_id), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hh"))).groupBy("_range").agg(F.first("text").alias("head"))
-    # After the last range comes the first one again; both are over at most most_ranges rows.
+    # After the last range comes the first one again; both are over at most most_ranges + NULL_RANGES rows.
     before = heads_id.select("_r", F.coalesce(F.lag("_r").over(Window.orderBy("_r")), F.max("_r").over(Window.partitionBy())).alias("_from"))
-    following = before.join(heads, F.col("_from") == F.col("_range")).select("_r", "head")
+    following = cut(before.join(heads, F.col("_from") == F.col("_range")).select("_r", "head"))
     linked = d.withColumn("_next", F.lead("text").over(order)).withColumn("_last", F.lead("_h").over(order).isNull())
-    out = linked.join(F.broadcast(following), F.col("_last") & (F.col("_range") == F.col("_r")), "left")
+    # Where the heads are too much to broadcast, rows that aren't the last of a range have a key of their own.
+    key = F.when(F.col("_last"), F.col("_range")).otherwise((1 << 40) + F.abs(F.col("_h") % (1 << 40)))
+    out = linked.withColumn("_key", key).join(small(following, F.octet_length("head") + 64), F.col("_key") == F.col("_r"), "left")
     return out.select("doc_id", "text", F.coalesce("_next", "head").alias("next_text"))
 
 
@@ -104,15 +113,20 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """near_next compares by text hash: equal texts have equal fingerprints, so any row with the next text will do."""
-    from .common import cut
+    """A row for each row of ``docs``; n_near: how many other fingerprints of documents lie within RADIUS bits of its own.
 
+    Null and empty texts have fingerprint 0, 0 characters, and are near to one
+    another. Repeated rows stay repeated, ties of doc_id go by text hash, one
+    document is its own next, and an empty table gives an empty one.
+    near_next compares by text hash: equal texts have equal fingerprints, so any
+    row with the next text will do.
+    """
     f = cut(fingerprint_documents(docs.select("doc_id", "text")))
-    by_text = f.groupBy("_h").agg(*[F.first(c).alias(f"next_{c}") for c in PRINTS]).withColumnRenamed("_h", "_nh")
+    by_text = cut(f.groupBy("_h").agg(*[F.first(c).alias(f"next_{c}") for c in PRINTS]).withColumnRenamed("_h", "_nh"))
     pairs = near_fingerprints(f)
-    both = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_near"))
-    near = both.select(*[F.col(f"fp.{c}").alias(f"_{c}") for c in PRINTS], "n_near")
-    rows = f.join(by_text, "_nh").join(near, [F.col(c) == F.col(f"_{c}") for c in PRINTS], "left")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_near"))
+    near = cut(both.select(*[F.col(f"fp.{c}").alias(f"_{c}") for c in PRINTS], "n_near"))
+    rows = f.join(small(by_text, F.lit(40)), "_nh").join(small(near, F.lit(40)), [F.col(c) == F.col(f"_{c}") for c in PRINTS], "left")
     rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     own = [F.col(c) for c in PRINTS]
     return rows.select(

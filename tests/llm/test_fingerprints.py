@@ -56,3 +56,26 @@ def test_small_ranges_give_the_same(documents, odd):
 def test_edited_texts_are_nearer_than_others(documents):
     rows = fingerprints.query(documents).where("n_chars > 300").collect()
     assert sum(r.near_edited > r.near_next for r in rows) >= 0.99 * len(rows)
+
+
+def test_least_id_and_ids_without_a_value(spark, none):
+    rows = [(-(2**63), "the least id"), (2**63 - 1, "the largest id of all"), (0, ""), *[(None, f"text number {i} of those without an id") for i in range(9)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(fingerprints.query(docs)) == brute(docs.collect())
+    a, b = (sorted(map(str, fingerprints.with_next(docs, n).collect())) for n in (1, 10**6))
+    assert a == b
+
+
+def test_heads_that_are_not_broadcast_give_the_same(documents, odd, monkeypatch):
+    want = [sorted(map(str, fingerprints.query(d).collect())) for d in (documents, odd)]
+    monkeypatch.setattr(fingerprints.small, "__defaults__", (None, 0))
+    assert [sorted(map(str, fingerprints.query(d).collect())) for d in (documents, odd)] == want
+
+
+def test_near_counts_are_brute_force(documents, odd):
+    for docs in (documents, odd):
+        rows = fingerprints.query(docs).collect()
+        values = {int(r.fingerprint, 16) for r in rows}
+        for r in rows:
+            f = int(r.fingerprint, 16)
+            assert r.n_near == sum(0 < (f ^ x).bit_count() <= fingerprints.RADIUS for x in values)
