@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import count_floor, cut, in_training, unused
-from .encode import Tally, blank_words, encoded
+from .encode import Tally, blank_words, encoded, tidy
 
 #: At most CORE words can make up 1 / CORE of the tokens each, whatever the corpus.
 CORE, HEAD, CLASSES = 4096, 200_000, 64
@@ -128,7 +128,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 n = np.append(np.bincount(e.codes, minlength=len(e.words)), len(e.ends)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([e.words, pa.array([END])]), pa.array(n)], ["word", "n"])
 
-    return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return train.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def _framed(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def _core_bigrams(train: DataFrame, core: pa.Array) -> np.ndarray:
         keys, n = tally.sums()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-    rows = train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # (CORE + 1)^2 rows at most
+    rows = train.select("text").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # (CORE + 1)^2 rows at most
     key, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "n"))
     return np.stack([key // size, key % size, n], axis=1) if len(key) else np.zeros((0, 3), np.int64)
 
@@ -186,7 +186,7 @@ def _neighbours(train: DataFrame, core: pa.Array, core_class: np.ndarray) -> Dat
                 seen = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
                 yield pa.RecordBatch.from_arrays([e.words.take(pa.array(some)), pa.array(n[some].astype(np.int64)), seen], ["word", "n", "seen"])
 
-    return train.select("text").mapInArrow(run, "word string, n long, seen binary")
+    return train.select("text").mapInArrow(tidy(run), "word string, n long, seen binary")
 
 
 def _placed(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
@@ -226,7 +226,7 @@ def _placed(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
         if held is not None:
             yield out(pa.array([held[0]]), np.array([held[1]]), held[2][None])
 
-    return neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, c long, class int")
+    return neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "word string, c long, class int")
 
 
 def lexicon(train: DataFrame, core: int = CORE, head: int = HEAD, k: int = CLASSES) -> Lexicon | None:
@@ -316,7 +316,7 @@ def coded(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
                     )
 
     facts = ["n_tokens", "n_known", "base", "emitted", "classes", "places"]
-    told = d.mapInArrow(run, schema)
+    told = d.mapInArrow(tidy(run), schema)
     own = told.where(F.col(k) < 0).select(*keep, rid, k, F.lit(None).cast("long").alias(c), F.lit(None).cast("int").alias(cls), *facts)
     return _filled(own, told, lex, keep, (rid, k, word, cls, c), facts)
 
@@ -366,7 +366,7 @@ def _filled(own: DataFrame, told: DataFrame, lex: Lexicon, keep: list[str], name
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.repartition(rid).sortWithinPartitions(rid, k).mapInArrow(run, schema)
+    return rows.repartition(rid).sortWithinPartitions(rid, k).mapInArrow(tidy(run), schema)
 
 
 def _previous(classes: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -392,7 +392,7 @@ def transitions(train: DataFrame, lex: Lexicon) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["key", "n"])
 
     table = np.zeros(k * k)
-    for r in train.select("classes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # k^2 rows at most
+    for r in train.select("classes").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # k^2 rows at most
         table[r["key"]] = r["n"]
     table = table.reshape(k, k)
     single = (lex.tokens + 1) / (lex.tokens.sum() + k)
@@ -428,7 +428,7 @@ def score_documents(docs: DataFrame, training: Column | None = None, keep: list[
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(steps)], [*batch.schema.names[:-1], "steps"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema if f.name != "classes")
-    out = c.mapInArrow(run, types + ", steps double")
+    out = c.mapInArrow(tidy(run), types + ", steps double")
     score = F.col("emitted") + F.col("steps")
     return out.select(*keep, "n_tokens", "n_known", F.lit(lex.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
 
@@ -445,7 +445,7 @@ def _unlearnt(d: DataFrame, keep: list[str]) -> DataFrame:
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
     zero = F.lit(0).cast("long")
-    return d.mapInArrow(run, types + ", n_tokens long").select(*keep, "n_tokens", zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("perplexity"))
+    return d.mapInArrow(tidy(run), types + ", n_tokens long").select(*keep, "n_tokens", zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("perplexity"))
 
 
 def query(docs: DataFrame) -> DataFrame:

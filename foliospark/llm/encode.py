@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +15,31 @@ import pyarrow.compute as pc
 CHUNK = 4 << 20
 
 
+#: What empties the caches that a worker keeps from task to task, by their owner.
+CACHES: dict[str, Callable[[], object]] = {}
+
+
+def tidy(run, owner: str = ""):
+    """``run`` over batches, in a worker that other tasks have used and will use.
+
+    Caches of other owners are emptied first; at the end the memory that was
+    set free is given back.
+    """
+
+    def inner(batches):
+        for name, empty in CACHES.items():
+            if name != owner:
+                empty()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 class Encoded(NamedTuple):
     """Rows ``first`` to ``first + len(ends)`` of a batch: the code of each word in ``words``, and where each row's words end."""
 
@@ -62,7 +89,7 @@ def encoded(texts: pa.Array, split) -> Iterator[Encoded]:
 class Tally:
     """Sums by integer keys, merged whenever many have come together."""
 
-    def __init__(self, most: int = 2_000_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.most = 0, most
 

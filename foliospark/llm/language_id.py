@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import count_floor, cut, in_training, small, unused
-from .encode import Tally, encoded, letter_words
+from .encode import Tally, encoded, letter_words, tidy
 
 MODEL_WORDS, LONGEST, GRAM_BITS = 200_000, 4, 18
 SMOOTHING = 0.5
@@ -58,7 +58,7 @@ def training_counts(train: DataFrame, langs: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([e.words.take(pa.array(keys // size)), pa.array((keys % size).astype(np.int32)), pa.array(n)], ["word", "l", "n"])
 
     d = train.where("lang is not null").select("lang", "text")
-    return d.mapInArrow(run, "word string, l int, n long").groupBy("word", "l").agg(F.sum("n").alias("n"))
+    return d.mapInArrow(tidy(run), "word string, l int, n long").groupBy("word", "l").agg(F.sum("n").alias("n"))
 
 
 def _slots(words: pa.Array, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def _gram_counts(counts: DataFrame, size: int, longest: int, bits: int) -> tuple
         keys, n = tally.sums()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-    got = counts.select("word", "l", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    got = counts.select("word", "l", "n").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = (np.asarray(got.column(c).combine_chunks()) for c in ("key", "n"))
     return key // size, key % size, n
 
@@ -192,7 +192,7 @@ def languages(docs: DataFrame, trained: Trained, keep: list[str]) -> DataFrame:
                     empty = [pa.nulls(t, x.type) if i != at else x.take(pa.array(keys // len(e.words))) for i, x in enumerate(rows.columns[:-1])]
                     yield pa.RecordBatch.from_arrays([*empty, e.words.take(pa.array(keys % len(e.words))), pa.array(often.astype(np.int32)), pa.nulls(t, pa.int64()), *[pa.nulls(t, pa.float64())] * size], names)
 
-    told = d.mapInArrow(run, f"{own_schema}, {word} string, {tf} int, {count} long, {floats}")
+    told = d.mapInArrow(tidy(run), f"{own_schema}, {word} string, {tf} int, {count} long, {floats}")
     if not model.all_words:
         told = _with_others(told, trained, keep, (rid, word, tf, count), s, shared)
     told = told.withColumn(top, F.greatest(*s) if size > 1 else F.col(s[0]))
@@ -224,7 +224,7 @@ def _with_others(told: DataFrame, trained: Trained, keep: list[str], names: tupl
             sums = _sums(which, logs, np.arange(batch.num_rows), len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(sums[:, i].astype(np.float32)) for i in range(size)]], [rid, *s])
 
-    more = asked.select(word, rid, tf, "v").mapInArrow(run, f"{rid} long, " + ", ".join(f"{x} float" for x in s))
+    more = asked.select(word, rid, tf, "v").mapInArrow(tidy(run), f"{rid} long, " + ", ".join(f"{x} float" for x in s))
     own = told.where(F.col(word).isNull()).select(rid, count, *s, *keep)
     x = own.unionByName(more.select(rid, *[F.col(c).cast("double").alias(c) for c in s]), allowMissingColumns=True)
     return x.groupBy(rid).agg(F.max(count).alias(count), *[F.sum(c).alias(c) for c in s], *[F.max(c).alias(c) for c in keep])

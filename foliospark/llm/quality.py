@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, in_training, small
+from .encode import tidy
 
 MARKS = np.frombuffer(b"\t\n !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", np.uint8)
 N_FEATURES = len(MARKS) + 15
@@ -90,7 +91,7 @@ def _totals(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
 
     out = np.zeros(size)
-    for r in rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in rows.mapInArrow(tidy(run), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
@@ -186,7 +187,7 @@ def _feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), flat)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], [*keep, "x"])
 
-    return d.mapInArrow(run, types + "x array<float>")
+    return d.mapInArrow(tidy(run), types + "x array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -220,7 +221,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             x = np.stack([features(t.as_py()) for t in b.column(len(keep))]) if b.num_rows else np.zeros((0, N_FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(shared.value.score(x).astype(np.float64))], [*keep, "score"])
 
-    return d.mapInArrow(run, types + "score double")
+    return d.mapInArrow(tidy(run), types + "score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

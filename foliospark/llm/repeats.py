@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole
 from .common import small as within
+from .encode import tidy
 
 MIN_BYTES, K = 200, 40
 #: Bytes of stretches that one suffix array is built of, and thus of a group that is compared so.
@@ -263,7 +264,7 @@ def document_stretches(docs: DataFrame, length: int = MIN_BYTES, k: int = K) ->
             )
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), whole("text").cast("binary").alias("text"))
-    return d.where(F.octet_length("text") >= length).mapInArrow(run, STRETCH)
+    return d.where(F.octet_length("text") >= length).mapInArrow(tidy(run), STRETCH)
 
 
 def _compare(length: int):
@@ -361,7 +362,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, k: int = K, block:
     fetched = texts.select(*key, "p.first", "p.last", "p.piece", F.substring("b", F.col("p.first").cast("int") + 1, (F.col("p.last") - F.col("p.first")).cast("int") + (length - 1)).alias("bytes"), F.col("p.bytes").alias("size"))
     fetched = cut(fetched.dropDuplicates([*key, "first"]))
     small = fetched.where(F.col("size") <= block).drop("size").repartition("piece").sortWithinPartitions("piece")
-    compared = small.mapInArrow(_compare(length), "doc_id long, text_hash long, first long, last long")
+    compared = small.mapInArrow(tidy(_compare(length)), "doc_id long, text_hash long, first long, last long")
     windows = settled.unionByName(compared)
     large = fetched.where(F.col("size") > block).drop("size")
     if not large.isEmpty():

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .encode import CACHES, tidy
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of each of a worker's memos.
 MEMO = 400_000
@@ -103,6 +105,9 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+CACHES["tokens"] = chunk_tokenizer.cache_clear
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and ``end_id``, cut every ``capacity`` ids."""
     path = tokenizer or default_tokenizer()
@@ -125,4 +130,4 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run, "tokens"), PIECES)
