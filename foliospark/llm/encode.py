@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of texts that are encoded at once; a longer text is encoded by itself.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 #: What empties the caches that a worker keeps from task to task, by their owner.
