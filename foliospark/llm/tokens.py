@@ -27,6 +27,9 @@ MEMO = 400_000
 #: Fixed value: how the vocabulary file's pre-tokenizer cuts a text.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~¡-ͯ]+")
+LAST_PLAIN = "ͯ"
+#: Marks that may stand after a word as one piece; an apostrophe may begin a piece of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -89,6 +92,12 @@ class ChunkTokenizer:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        # Letters, or letters and then marks: the pattern cuts them just so.
+        body = chunk.rstrip(MARKS)
+        if body.isalpha() and max(chunk) <= LAST_PLAIN:
+            low = body.lower()
+            if low.isalpha():
+                return self.words[low] + self.words[chunk[len(body) :]] if len(body) < len(chunk) else self.words[low]
         if not PLAIN.fullmatch(chunk) or "<|" in chunk and any(s in chunk for s in self.special):
             return self._whole(chunk)
         plain = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()
