@@ -105,11 +105,27 @@ def mobility_edges(moves: DataFrame) -> DataFrame:
 # --- survival, entry, procedure -------------------------------------------------
 
 
+# Statuses of rights that have ended.
+ENDED = ["Lapsed", "Abandoned", "Granted-Expired"]
+
+
 def durations(docs: DataFrame, as_of: str, lapse: str = "lapse_date", most: float = 25.0) -> DataFrame:
-    """``docs`` with duration (years from grant to lapse, or to ``as_of``) and event, where 0 < duration <= ``most``."""
-    end = F.coalesce(F.col(lapse), F.lit(as_of).cast("date")) if lapse in docs.columns else F.lit(as_of).cast("date")
-    event = F.col(lapse).isNotNull().cast("int") if lapse in docs.columns else F.lit(0)
-    return docs.where("reg_date is not null").withColumn("duration", F.datediff(end, "reg_date") / 365.25).withColumn("event", event).where((F.col("duration") > 0) & (F.col("duration") <= most))
+    """``docs`` with duration (years from grant to the end, or to ``as_of``) and event, where 0 < duration <= ``most``.
+
+    A right ends on its lapse date. If no document of the data set has one, ended
+    rights end on their expiry date, where that has passed; without that too, none has ended.
+    """
+    today, never = F.lit(as_of).cast("date"), F.lit(None).cast("date")
+    granted = docs.where("reg_date is not null")
+    lapsed = F.col(lapse) if lapse in docs.columns else never
+    expired = F.when(F.col("legal_status").isin(ENDED) & (F.col("expiry_date") <= today), F.col("expiry_date")) if {"legal_status", "expiry_date"} <= set(docs.columns) else never
+    if lapse in docs.columns:
+        told = granted.agg((F.count(lapse) > 0).alias("_told"))
+        granted = granted.join(F.broadcast(told)).withColumn("_end", F.when(F.col("_told"), lapsed).otherwise(expired)).drop("_told")
+    else:
+        granted = granted.withColumn("_end", expired)
+    lived = granted.withColumn("duration", F.datediff(F.coalesce("_end", today), "reg_date") / 365.25).withColumn("event", F.col("_end").isNotNull().cast("int")).drop("_end")
+    return lived.where((F.col("duration") > 0) & (F.col("duration") <= most))
 
 
 def survival(rows: DataFrame, key: Column, least: int = 10, at: tuple[float, ...] = (5.0, 10.0, 18.0)) -> DataFrame:

@@ -60,6 +60,22 @@ lo AS (SELECT * FROM lv WHERE duration > 0 AND duration <= 25), kt AS (SELECT ke
 km AS (SELECT key, t, r AS at_risk, d AS events, exp(sum(CASE WHEN d < r THEN ln(1 - d / r) ELSE -1e9 END) OVER (PARTITION BY key ORDER BY t)) AS survival FROM kr)"""
 REG.docs("km_curve", lambda d: M.kaplan_meier(_lived(d).withColumn("key", S.primary_tech()), ["key"]).select("key", F.round("t", 9).alias("t"), "at_risk", "events", F.round("survival", 9).alias("survival")), sql("SELECT key, round(t, 9) AS t, at_risk::BIGINT AS at_risk, events::BIGINT AS events, round(survival, 9) AS survival FROM km WHERE events > 0", KM))
 REG.docs("km_survival", lambda d: S.survival(_lived(d), S.primary_tech()).select("key", "n", *rounded("s5 s10 s18 median")), sql("SELECT x.key, x.n, round(coalesce(s5, 1), 9)::DOUBLE AS s5, round(coalesce(s10, 1), 9)::DOUBLE AS s10, round(coalesce(s18, 1), 9)::DOUBLE AS s18, round(median, 9) AS median FROM (SELECT key, count(*) AS n FROM lo GROUP BY key HAVING count(*) >= 10) x LEFT JOIN (SELECT key, min(survival) FILTER (t <= 5) AS s5, min(survival) FILTER (t <= 10) AS s10, min(survival) FILTER (t <= 18) AS s18, min(t) FILTER (survival <= 0.5 + 1e-12) AS median FROM km WHERE events > 0 GROUP BY key) k ON k.key = x.key", KM))
+
+
+def _ended(d: DataFrame) -> DataFrame:
+    """Documents without lapse dates: those of Unknown status have lapsed, on an expiry date that the citations give."""
+    ended = F.col("legal_status") == "Unknown"
+    return S.durations(
+        d.withColumns({"legal_status": F.when(ended, "Lapsed").otherwise(F.col("legal_status")), "expiry_date": F.when(ended, F.date_add("reg_date", (F.col("cites_forward") * 400).cast("int"))).otherwise(F.col("expiry_date"))}),
+        "2000-06-30",
+    )
+
+
+KM_ENDED = KM.replace("2005-06-30", "2000-06-30").replace("WHEN legal_status = 'Unknown' THEN", "WHEN legal_status = 'Unknown' AND reg_date + (cites_forward * 400)::INT <= DATE '2000-06-30' THEN")
+REG.docs(
+    "km_survival_by_expiry", lambda d: S.survival(_ended(d), S.primary_tech()).select("key", "n", *rounded("s5 median")),
+    sql("SELECT x.key, x.n, round(coalesce(s5, 1), 9)::DOUBLE AS s5, round(median, 9) AS median FROM (SELECT key, count(*) AS n FROM lo GROUP BY key HAVING count(*) >= 10) x LEFT JOIN (SELECT key, min(survival) FILTER (t <= 5) AS s5, min(t) FILTER (survival <= 0.5 + 1e-12) AS median FROM km WHERE events > 0 GROUP BY key) k ON k.key = x.key", KM_ENDED),
+)
 FAM = "f AS (SELECT d.*, date_diff('day', t0, app_date) / 30.44 AS lag FROM (SELECT *, owner AS place FROM docs) d JOIN (SELECT family_id, min(app_date) AS t0 FROM docs GROUP BY 1) x ON x.family_id = d.family_id), f2 AS (SELECT * FROM f WHERE lag BETWEEN 0 AND 120 AND family_id IN (SELECT family_id FROM f WHERE lag BETWEEN 0 AND 120 GROUP BY 1 HAVING count(DISTINCT place) >= 2))"
 REG.docs("market_entry", lambda d: S.market_entry(d.withColumn("country", F.col("owner"))).withColumn("months", F.round("months", 7)), sql("SELECT company, place AS country, count(*) AS n, round(avg(lag), 7) AS months FROM (SELECT *, unnest(co_applicants) AS company FROM f2) GROUP BY 1, 2 HAVING count(*) >= 3", FAM))
 REG.docs("first_entries", lambda d: S.first_entries(d.withColumn("country", F.col("owner"))), sql("SELECT country, count(*) AS n, count(*) / (SELECT count(DISTINCT family_id) FROM docs) AS share FROM (SELECT family_id, arg_min(owner, (app_date, doc_id)) AS country FROM docs GROUP BY 1) GROUP BY 1"))

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark import sources
+from foliospark.functions import parse
 from foliospark.operators import company, core, expand, filters, signals
 from foliospark.plans import frame, mapping, names
 
@@ -135,3 +137,34 @@ def test_vector_files(spark, tmp_path, docs):
     np.save(tmp_path / "bad.npy", np.array([1.0, np.nan]))
     with pytest.raises(ValueError):
         sources.read_vectors(spark, str(tmp_path / "bad.npy"))
+
+
+def test_headers_of_a_usual_export():
+    """Headers with lists of countries and codes behind them; counts of people and links are no concept."""
+    want = {
+        "country": "국가코드", "title": "발명의 명칭", "indep_claim": "독립청구항[KR,JP,US,CN,EP,IN]", "claims_count": "청구항 수", "indep_claims_count": "독립항 수[KR,JP]", "problem": "해결과제 요약[KR,US]", "solution": "해결수단 요약[KR,US]",
+        "app_date": "출원일", "reg_date": "등록일[KR,JP]", "priority_date": "최우선출원일", "expiry_date": "존속기간(예상)만료일[KR,JP,US,EP,CN,CA,AU]", "applicant": "출원인", "applicant_std": "출원인 대표명화 국문명[KR]", "assignee": "현재권리자 대표명화 국문명[KR]",
+        "legal_status": "상태정보[KR,JP,US,EP,CN,CA,AU]", "ipc": "Current IPC All", "cites_backward": "인용 문헌 수(B1)", "cites_forward": "피인용 문헌 수(F1)", "applicant_citations": "자기인용 문헌번호(B1)", "examiner_citations": "심사관인용 문헌번호(BE)[KR,US]",
+        "family_id": "WIPS패밀리 ID", "family_size": "WIPS패밀리 문헌 수(출원기준)", "family_countries": "WIPS패밀리 개별국 문헌 수(출원기준)", "family_country_count": "WIPS패밀리 국가 수(출원기준)", "sep_date": "선언일", "detail_link": "상세보기 링크(비로그인)",
+        "oa_count": "거절서류발행 횟수[KR]", "expedited_exam": "우선심사청구 여부[KR]", "trial_count": "심판 전체 횟수[KR,JP]", "court_type": "관할법원 종류[US]",
+    }
+    found = mapping.suggest_mapping([*want.values(), "출원인 수", "출원인 주소[KR]", "우선권 주장일", "현재권리자[KR,JP]", "EPO패밀리 ID", "상세보기 링크(로그인)"])
+    assert {c: m["column"] for c, m in found.items()} == want
+    assert found["expiry_date"]["score"] == 1.01 and found["reg_date"]["score"] == 0.99 and found["app_date"]["score"] == 1.0
+
+
+def test_statements_lose_openings_and_endings(spark):
+    said = ["본 발명은 휨 저감을 제공하는 것이다.", "상기 본 고안의, 방열", "본발명에 따른 이 발명은 상기 본 기술", "해결을 제공한다", "본 발명", " a   b ,", "nan", None]
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    assert [r.y for r in df.select(parse.clean_statement(F.col("x")).alias("y")).collect()] == ["휨 저감", "방열", "본 기술", "해결을 제공한다", "본 발명", "a b", "nan", None]
+
+
+def test_rights_end_on_lapse_dates_else_on_expiry_dates(spark):
+    d = "date'2000-01-01'"
+    df = spark.sql(f"""select * from values (1, {d}, date'2004-01-01', 'Lapsed', date'2010-01-01'), (2, {d}, null, 'Granted-Active', date'2005-01-01'), (3, {d}, null, 'Abandoned', date'2010-01-01'),
+        (4, {d}, null, 'Granted-Expired', date'2030-01-01'), (5, null, null, 'Lapsed', date'2010-01-01') as t(i, reg_date, lapse_date, legal_status, expiry_date)""")
+    lived = lambda x: {r.i: (round(r.duration), r.event) for r in signals.durations(x, "2020-01-01").collect()}
+    assert lived(df) == {1: (4, 1), 2: (20, 0), 3: (20, 0), 4: (20, 0)}
+    by_expiry = {1: (10, 1), 2: (20, 0), 3: (10, 1), 4: (20, 0)}
+    assert lived(df.drop("lapse_date")) == by_expiry and lived(df.withColumn("lapse_date", F.lit(None).cast("date"))) == by_expiry
+    assert lived(df.drop("lapse_date", "expiry_date")) == {i: (20, 0) for i in by_expiry}
