@@ -7,16 +7,18 @@ pairs over the threshold are put out.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg import Vectors, VectorUDT
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..plans.stored import stored
 
 
 def _dealt(df: DataFrame, id_: str, vector: str, block: int) -> DataFrame:
@@ -68,26 +70,68 @@ def followers(df: DataFrame, pairs: DataFrame, top: int = 12, least_cross: int =
     return x.where(F.col("cross_followers") >= least_cross).orderBy(F.desc("score"), "doc").limit(top)
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (the smallest node connected), by spreading minimum labels and jumping along them.
+def components(pairs: DataFrame) -> DataFrame:
+    """node, component (the smallest node connected), by spreading minimum labels and jumping along them until none changes.
 
-    Each round is cut by a reliable checkpoint if the session has a folder for
-    them, else by writing nothing and planning anew.
+    Each round is written as a table in the folder that all machines share (``plans.stored``).
     """
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct()
-    cut = (lambda d: d.checkpoint()) if pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    both = cut(both)
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    for _ in range(rounds):
+    both = stored(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct())
+    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("c"))
-        step = labels.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        jump = step.join(step.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.least("component", F.coalesce("root", F.col("component"))).alias("component"))
-        new = cut(jump)
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels
+        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
+        roots = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        jumped = stored(step.join(roots, "component", "left").select("node", "old", F.least("component", F.coalesce("root", F.col("component"))).alias("component")))
+        labels = jumped.select("node", "component")
+        if jumped.where("component <> old").isEmpty():
+            return labels
+
+
+def communities(edges: DataFrame, weight: str = "n_ab") -> DataFrame:
+    """node, community (0, 1, ... by smallest member) of a network's edges a, b: modularity raised by moving nodes, then groups, one at a time.
+
+    For the capped edge list of a network (``network_max_edges``), which one task
+    holds as a matrix; nodes move in order of their names, so a result is repeatable.
+    """
+
+    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["a"], *pdf["b"]})
+        at = {n: i for i, n in enumerate(names)}
+        links = np.zeros((len(names), len(names)))
+        np.add.at(links, (pdf["a"].map(at), pdf["b"].map(at)), pdf["w"].astype(float))
+        links += links.T
+        label = np.arange(len(names))
+        while True:
+            home = _moved(links)
+            kept, home = np.unique(home, return_inverse=True)
+            label = home[label]
+            if len(kept) == len(links):
+                break
+            member = np.eye(len(kept))[home]
+            links = member.T @ links @ member
+        order = {g: k for k, g in enumerate(dict.fromkeys(label.tolist()))}
+        return pd.DataFrame({"node": names, "community": [order[g] for g in label.tolist()]})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.where("a <> b").select("a", "b", F.col(weight).alias("w")).groupBy().applyInPandas(grouped, f"node {kind}, community int")
+
+
+def _moved(links: np.ndarray) -> np.ndarray:
+    """The group of each node once no move of a single node raises the modularity of a weighted graph."""
+    n, degree = len(links), links.sum(axis=1)
+    home, mass, total, moving = np.arange(n), degree.copy(), degree.sum(), True
+    while moving:
+        moving = False
+        for i in range(n):
+            old, near = home[i], links[i].copy()
+            near[i] = 0
+            mass[old] -= degree[i]
+            gain = np.bincount(home, weights=near, minlength=n) - degree[i] * mass / total
+            best = int(np.argmax(gain))
+            if gain[best] > gain[old] + 1e-9:
+                home[i], moving = best, True
+            mass[home[i]] += degree[i]
+    return home
 
 
 def bridges(pairs: DataFrame, labels: DataFrame, most_edges: int = 400) -> DataFrame:
@@ -154,6 +198,37 @@ def class_drift(df: DataFrame, year: str = "year", label: str = "label", vector:
     return p.groupBy("label", "year").agg((1 - F.sum(F.col("x") * F.col("p")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("p") * F.col("p")))).alias("drift"))
 
 
+def silhouette(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """label, n, silhouette: the mean silhouette of a class's vectors by cosine distance, over all pairs.
+
+    A vector's mean distance to a class follows from the class's sum of unit
+    vectors, so no pair is built; what is broadcast is one vector for each class.
+    Zero and null vectors and null labels are left out. A class of one vector
+    has 0, a single class null.
+    """
+    norm = F.sqrt(M.dot(F.col(vector), F.col(vector)))
+    x = df.where(F.col(label).isNotNull()).withColumn("_n", norm).where("_n > 1e-12").select(F.col(label).alias("label"), F.transform(vector, lambda v: F.try_divide(v.cast("double"), F.col("_n"))).alias("u"))
+    sums = x.select("label", F.posexplode("u").alias("d", "x")).groupBy("label", "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    per = sums.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("s"))
+    classes = per.agg(F.collect_list(F.struct("label", "n", "s")).alias("cs"))
+    far = lambda c: c["n"] - M.dot(F.col("u"), c["s"])  # noqa: E731  the sum of distances to a class
+    y = x.join(F.broadcast(classes)).select(
+        "label", F.get(F.filter("cs", lambda c: c["label"] == F.col("label")), F.lit(0)).alias("own"), F.array_min(F.transform(F.filter("cs", lambda c: c["label"] != F.col("label")), lambda c: far(c) / c["n"])).alias("b"), "u"
+    )
+    y = y.withColumn("a", far(F.col("own")) / F.greatest(F.col("own.n") - 1, F.lit(1)))
+    one = F.when(F.col("b").isNotNull(), F.when(F.col("own.n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))))
+    return y.groupBy("label").agg(F.count("*").alias("n"), F.avg(one).alias("silhouette"))
+
+
+def class_suggestions(confusion: DataFrame, cohesion: DataFrame, least: int = 3, merge: float = 0.8, split: float = 0.3) -> DataFrame:
+    """kind, a, b, value: classes to merge (their centroids more alike than ``merge``), to split (cohesion under ``split``), and too small ones."""
+    none = F.lit(None).cast(cohesion.schema["label"].dataType)
+    alike = confusion.where(F.col("similarity") > merge).select(F.lit("merge").alias("kind"), "a", "b", F.col("similarity").alias("value"))
+    loose = cohesion.where(F.col("cohesion") < split).select(F.lit("split").alias("kind"), F.col("label").alias("a"), none.alias("b"), F.col("cohesion").alias("value"))
+    small = cohesion.where(F.col("n") < least).select(F.lit("small").alias("kind"), F.col("label").alias("a"), none.alias("b"), F.col("n").cast("double").alias("value"))
+    return alike.unionByName(loose).unionByName(small)
+
+
 def classification_quality(docs: DataFrame, least: int = 3, low: float = 0.5) -> DataFrame:
     """tech, n, multi_ratio, low_confidence_ratio, suggestion."""
     from .expand import explode_tech
@@ -208,20 +283,27 @@ def project(df: DataFrame, vector: str = "embedding", k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(x).transform(x).withColumn("point", vector_to_array("_p")).drop("_v", "_p")
 
 
-def dense_clusters(points: DataFrame, eps_share: float = 0.05, id_: str = "vec_id", point: str = "point") -> DataFrame:
-    """node, component of core points (as many neighbours within eps as half the root of n, 2 at least): DBSCAN on a grid of eps cells."""
-    x = points.select(F.col(id_).alias("i"), F.get(point, F.lit(0)).alias("x"), F.get(point, F.lit(1)).alias("y"))
-    r = x.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count("*").alias("n")).first()
-    eps = max(1e-9, eps_share * float(r["span"] or 0))
-    least = max(int(r["n"] ** 0.5) // 2, 2)
+def dense_clusters(points: DataFrame, eps_share: float = 0.05, id_: str = "vec_id", point: str = "point", least: int | None = None) -> DataFrame:
+    """node, component (its smallest core point; -1: noise) of every point: DBSCAN on a grid of eps cells.
+
+    Core points have ``least`` points within eps, themselves included (by
+    default a 120th of n, 2 at least); eps is ``eps_share`` of the larger
+    span. A border point takes the smallest component of the core points near it.
+    """
+    x = stored(points.select(F.col(id_).cast("long").alias("i"), F.get(point, F.lit(0)).alias("x"), F.get(point, F.lit(1)).alias("y")))
+    r = x.agg((F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))).alias("span"), F.count("*").alias("n")).first()
+    eps = max(1e-6, eps_share * float(r["span"] or 0))
+    least = max(max(5, r["n"] // 60) // 2, 2) if least is None else least
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
     a = x.withColumn("gx", cell("x")).withColumn("gy", cell("y"))
     around = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     b = a.select(F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("g")).select("j", "x2", "y2", "g.gx", "g.gy")
-    near = a.join(b, ["gx", "gy"]).where("i <> j").where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= eps).select("i", "j")
-    core = near.groupBy("i").agg(F.count("*").alias("k")).where(F.col("k") + 1 >= least).select("i")
+    near = stored(a.join(b, ["gx", "gy"]).where("i <> j").where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= eps).select("i", "j"))
+    core = stored(x.join(near.groupBy("i").agg(F.count("*").alias("k")), "i", "left").where(F.coalesce("k", F.lit(0)) + 1 >= least).select("i"))
     links = near.join(core, "i").join(core.withColumnRenamed("i", "j"), "j").where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return components(links)
+    found = core.join(components(links).withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("component", "i").alias("own"))
+    border = near.join(found.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("own").alias("beside"))
+    return x.join(found, "i", "left").join(border, "i", "left").select(F.col("i").alias("node"), F.coalesce("own", "beside", F.lit(-1)).alias("component"))
 
 
 def density_grid(points: DataFrame, cells: int = 60, point: str = "point") -> DataFrame:
@@ -262,6 +344,50 @@ def overlap_density(df: DataFrame, k: int = 20, id_: str = "vec_id", vector: str
     return df.select(F.col(id_).cast("long").alias("node"), F.col(vector).isNotNull().alias("_has")).join(found, "node", "left").select("node", F.when(F.col("_has"), F.coalesce("density", F.lit(0.0))).alias("density"))
 
 
+def char_tfidf(df: DataFrame, id_: str, text: str, sizes: tuple[int, int] = (2, 4), features: int = 5000, least: int = 2) -> DataFrame:
+    """id, gram, weight: l2-normalised TF-IDF of n-grams within words (a blank before and after each), of the ``features`` most frequent in ``least`` texts or more.
+
+    Words are counted within their text before they are cut into n-grams. Texts
+    without such an n-gram have no rows.
+    """
+    words = df.select(F.col(id_).alias("id"), F.explode(F.split(F.lower(text), r"\s+")).alias("w")).where("w <> ''").groupBy("id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w")).agg(F.count("*").alias("n"))
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substr(F.col("w"), i, F.lit(k)))
+    grams = F.flatten(F.array(*[F.when(F.length("w") >= k, cut(k)).otherwise(F.array().cast("array<string>")) for k in range(sizes[0], sizes[1] + 1)]))
+    tf = words.select("id", "n", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
+    known = tf.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("c")).where(F.col("df") >= least).orderBy(F.desc("c"), "gram").limit(features)
+    n = df.agg(F.count("*").alias("N"))
+    raw = F.col("tf") * (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1)
+    w = tf.join(F.broadcast(known.select("gram", "df")), "gram").join(F.broadcast(n)).select("id", "gram", raw.alias("w"))
+    length = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    return w.join(length, "id").select("id", "gram", (F.col("w") / F.col("l")).alias("weight"))
+
+
+def reduced(weights: DataFrame, k: int = 64) -> DataFrame:
+    """id, point array<double>: the first ``k`` singular directions of rows id, gram, weight, not centred (signs are arbitrary).
+
+    The distributed Lanczos solver reads a written table; tasks hold one
+    direction matrix of distinct grams x ``k``, which ``char_tfidf`` bounds.
+    """
+    names = [r["gram"] for r in weights.select("gram").distinct().orderBy("gram").collect()]
+    k = max(1, min(k, len(names) - 1))
+    at = weights.sparkSession.createDataFrame([*enumerate(names)], "f int, gram string")
+    entry = F.array_sort(F.collect_list(F.struct("f", "weight")))
+    rows = stored(weights.join(F.broadcast(at), "gram").groupBy("id").agg(entry.alias("e")).select("id", F.transform("e", lambda s: s["f"]).alias("f"), F.transform("e", lambda s: s["weight"]).alias("w")))
+    size = len(names)
+
+    @F.udf(returnType=VectorUDT())
+    def sparse(f, w):  # noqa: ANN001, ANN202  indices in order and their weights
+        return Vectors.sparse(size, f, w)
+
+    turn = RowMatrix(rows.select(sparse("f", "w").alias("v"))).computeSVD(k).V.toArray()
+
+    @F.pandas_udf("array<double>")
+    def turned(f: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([(np.asarray(b) @ turn[np.asarray(a)]).tolist() for a, b in zip(f, w, strict=True)])
+
+    return rows.select("id", turned("f", "w").alias("point"))
+
+
 def phrase_groups(phrases: list[str], vectors: np.ndarray, distance: float = 0.45) -> dict[str, int]:
     """Average-linkage clusters of at most some hundred phrases by cosine distance (a bounded list, on the driver)."""
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
+from ..operators import core as C
 from ..operators import vectors as V
 from ..plans.binding import sql, table
 from . import Registry
@@ -42,3 +43,24 @@ REG.add("emerging_clusters", lambda s, d: V.emerging_clusters(V.clusters(embeddi
 REG.add("claim_map", lambda s, d: V.density_grid(V.project(embeddings(s, d))))
 REG.add("claim_clusters", lambda s, d: V.dense_clusters(V.project(embeddings(s, d))))
 REG.add("cluster_keywords", lambda s, d: V.cluster_keywords(table(s, d, "documents").select(F.col("lang").alias("cluster"), P.terms(F.col("text")).alias("terms"))).withColumn("score", F.round("score", 6)))
+BOTH = "bo AS (SELECT a AS i, b AS j, similarity FROM cs UNION ALL SELECT b, a, similarity FROM cs), ds AS (SELECT i, x.label AS label, y.label AS other, avg(1 - similarity) AS d FROM bo JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j GROUP BY ALL)"
+REG.add(
+    "silhouette", lambda s, d: V.silhouette(embeddings(s, d)).withColumn("silhouette", F.round("silhouette", 6)),
+    f"WITH {COS}, {BOTH}, ab AS (SELECT i, label, min(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b FROM ds GROUP BY ALL) SELECT label, count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM ab GROUP BY label",
+)
+REG.add(
+    "class_suggestions", lambda s, d: V.class_suggestions(V.class_confusion(e := embeddings(s, d)), V.class_cohesion(e)).withColumn("value", F.round("value", 6)),
+    f"""WITH {CEN}, c AS (SELECT label, d, avg(x) AS x FROM x GROUP BY ALL), cf AS (SELECT p.label AS a, q.label AS b, sum(p.x * q.x) / sqrt(sum(p.x * p.x) * sum(q.x * q.x)) AS s FROM c p JOIN c q ON p.d = q.d AND p.label < q.label GROUP BY 1, 2),
+u AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings), m AS (SELECT label, d, avg(x) AS c, avg(x / l) AS u, count(*) AS n FROM u GROUP BY ALL), co AS (SELECT label, max(n) AS n, sum(c * u) / sqrt(sum(c * c)) AS co FROM m GROUP BY label)
+SELECT 'merge' AS kind, a, b, round(s, 6) AS value FROM cf WHERE s > 0.8 UNION ALL SELECT 'split', label, NULL, round(co, 6) FROM co WHERE co < 0.3 UNION ALL SELECT 'small', label, NULL, n::DOUBLE FROM co WHERE n < 3""",
+)
+GRAMS = """wd AS (SELECT id, ' ' || w || ' ' AS w, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+tf AS (SELECT id, gram, sum(n) AS tf FROM (SELECT id, n, unnest(list_transform(range(1, len(w) - k + 2), lambda i: substr(w, i, k))) AS gram FROM wd, (SELECT unnest([2, 3, 4]) AS k)) GROUP BY ALL),
+kn AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram HAVING count(*) >= 2 ORDER BY sum(tf) DESC, gram LIMIT 5000),
+w AS (SELECT id, tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) AS w FROM tf JOIN kn ON kn.gram = tf.gram)"""
+REG.add(
+    "char_tfidf", lambda s, d: V.char_tfidf(table(s, d, "documents"), "doc_id", "text").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most")),
+    f"WITH {GRAMS} SELECT id AS doc_id, count(*) AS n_grams, round(sum(w) / sqrt(sum(w * w)), 6) AS total, round(max(w) / sqrt(sum(w * w)), 6) AS most FROM w GROUP BY id",
+)
+REG.docs("network_communities", lambda d: V.communities(C.network_edges(d)).withColumnRenamed("node", "tech"))
+REG.add("text_map", lambda s, d: V.density_grid(V.project(V.reduced(V.char_tfidf(table(s, d, "documents"), "doc_id", "text")), "point")))
