@@ -380,6 +380,19 @@ def cell_detail(docs: DataFrame, problem: str, solution: str, recent: int = 3) -
     return x.select("cell", "n", "growth", "active_ratio", (up / (1 + up) * (1 - F.coalesce("active_ratio", F.lit(0.0)))).alias("opportunity"))
 
 
+def own_capability(docs: DataFrame, own: Column) -> DataFrame:
+    """tech, n_own, capability: 1 where documents under ``own`` have the class, 0.5 where it stands beside one of their classes, else 0; null without own documents.
+
+    The own classes are one broadcast list; a class's neighbours are those it shares a document with.
+    """
+    mine = F.coalesce(own, F.lit(False))
+    known = docs.where(mine).select(F.explode("tech_list").alias("t")).agg(F.collect_set("t").alias("_own"))
+    marked = docs.withColumn("_mine", mine).select("tech_list", "_mine").join(F.broadcast(known)).withColumn("_near", F.arrays_overlap("tech_list", "_own"))
+    x = marked.select(F.explode("tech_list").alias("tech"), "_mine", "_near", (F.size("_own") > 0).alias("_any"))
+    per = x.groupBy("tech").agg(F.count_if("_mine").alias("n_own"), F.max("_near").alias("near"), F.max("_any").alias("any"))
+    return per.select("tech", "n_own", F.when(F.col("any"), F.when(F.col("n_own") > 0, 1.0).when(F.col("near"), 0.5).otherwise(0.0)).alias("capability"))
+
+
 def months_to_grant(docs: DataFrame, key: Column) -> DataFrame:
     """key, n, avg_months of documents granted after 0 and within 240 months."""
     m = F.datediff("reg_date", "app_date") / 30.44

@@ -389,13 +389,58 @@ def reduced(weights: DataFrame, k: int = 64) -> DataFrame:
 
 
 def phrase_groups(phrases: list[str], vectors: np.ndarray, distance: float = 0.45) -> dict[str, int]:
-    """Average-linkage clusters of at most some hundred phrases by cosine distance (a bounded list, on the driver)."""
-    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    groups = [[i] for i in range(len(phrases))]
-    d = 1 - v @ v.T
-    while len(groups) > 1:
-        best = min(((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), default=None)
-        if best is None or best[0] > distance:
+    """Average-linkage clusters of at most some hundred phrases by cosine distance (a bounded list, on the driver); equal distances merge in order.
+
+    The distances of a merged group are the means of its parts', weighted by their sizes.
+    """
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(length > 1e-12, length, np.inf)
+    far = 1 - unit @ unit.T
+    np.fill_diagonal(far, np.inf)
+    members: list[list[int]] = [[i] for i in range(len(phrases))]
+    while len(members) > 1:
+        i, j = divmod(int(np.argmin(far)), len(far))
+        if far[i, j] >= distance:
             break
-        groups[best[1]] += groups.pop(best[2])
-    return {phrases[i]: g for g, members in enumerate(groups) for i in members}
+        i, j = min(i, j), max(i, j)
+        a, b = len(members[i]), len(members[j])
+        both = (a * far[i] + b * far[j]) / (a + b)
+        far[i] = far[:, i] = both
+        far[i, i] = np.inf
+        far[j] = far[:, j] = np.inf
+        members[i] += members[j]
+        members[j] = []
+        if not np.isfinite(far).any():
+            break
+    return {phrases[i]: g for g, group in enumerate(m for m in members if m) for i in group}
+
+
+def semantic_groups(df: DataFrame, column: str, most: int = 300, distance: float = 0.45) -> DataFrame:
+    """phrase, group, label, n: the ``most`` most frequent phrases of a column, grouped by their n-gram vectors.
+
+    Groups are numbered by documents, largest first; a label is a group's most frequent phrase.
+    """
+    counts = df.where(F.trim(column) != "").groupBy(F.col(column).alias("phrase")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(most)
+    rows = counts.collect()  # the reference's bound: ``most`` phrases
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(i, r["phrase"]) for i, r in enumerate(rows)], "id int, phrase string")
+    weights = stored(char_tfidf(listed, "id", "phrase"))
+    points = {} if weights.isEmpty() else {r["id"]: r["point"] for r in reduced(weights).collect()}
+    size = max(map(len, points.values()), default=1)
+    group = phrase_groups([r["phrase"] for r in rows], np.array([points.get(i, [0.0] * size) for i in range(len(rows))]).reshape(len(rows), size), distance)
+    total: dict[int, int] = {}
+    for r in rows:
+        total[group[r["phrase"]]] = total.get(group[r["phrase"]], 0) + r["n"]
+    first = {}
+    for r in rows:
+        first.setdefault(group[r["phrase"]], r["phrase"])
+    order = {g: k for k, g in enumerate(sorted(total, key=lambda g: (-total[g], first[g])))}
+    return spark.createDataFrame([(r["phrase"], order[group[r["phrase"]]], first[group[r["phrase"]]], r["n"]) for r in rows], "phrase string, group int, label string, n long")
+
+
+def semantic_matrix(docs: DataFrame, problem: str = "problem", solution: str = "solution", rows: int = 30, distance: float = 0.45) -> DataFrame:
+    """problem, solution (labels of groups), n documents, of the ``rows`` largest groups of each."""
+    both = docs.where((F.trim(problem) != "") & (F.trim(solution) != ""))
+    side = lambda c: F.broadcast(semantic_groups(both, c, distance=distance).where(F.col("group") < rows).select(F.col("phrase").alias(c), F.col("label").alias(f"_{c}")))
+    found = both.join(side(problem), problem).join(side(solution), solution)
+    return found.groupBy(F.col(f"_{problem}").alias("problem"), F.col(f"_{solution}").alias("solution")).agg(F.count("*").alias("n"))

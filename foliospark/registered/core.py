@@ -163,3 +163,8 @@ REG.docs("quality_report", lambda d: C.quality_report(d, 2030), sql("""SELECT un
  unnest([y::DOUBLE, y / n, f::DOUBLE, 1 - a / n, (n - ids)::DOUBLE, r::DOUBLE, o::DOUBLE, s / n, c / n]) AS value, unnest([y <= n, y / n >= 0.9, f = 0, a / n <= 0.1, n = ids, r = 0, o = 0, s / n >= 0.8, c > 0]) AS passed
 FROM (SELECT count(*) AS n, count(base_year) AS y, count(*) FILTER (base_year > 2030) AS f, count(*) FILTER (coalesce(trim(applicant), '') = '') AS a, count(DISTINCT doc_id) AS ids, count(*) FILTER (reg_date < app_date) AS r, count(*) FILTER (len(tech_list) > 0 AND len(tech_l1_list) = 0) AS o, count(*) FILTER (legal_status <> 'Unknown') AS s, count(cites_forward) AS c FROM docs)"""))
 REG.docs("filter_options", C.filter_options, sql("SELECT facet, value, n FROM (SELECT facet, value, count(*) AS n, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, value) AS r FROM (SELECT 'applicant' AS facet, company AS value FROM comp UNION ALL SELECT 'country', country FROM docs UNION ALL SELECT 'legal_status', legal_status FROM docs UNION ALL SELECT 'tech', tech FROM tech UNION ALL SELECT 'tech_l1', unnest(tech_l1_list) FROM docs) GROUP BY facet, value) WHERE r <= 50", TECH, COMPANY))
+REG.docs(
+    "own_capability", lambda d: C.own_capability(d, F.col("family_id") == 7),
+    sql("""SELECT tech, count(*) FILTER (family_id = 7) AS n_own, CASE WHEN count(*) FILTER (family_id = 7) > 0 THEN 1.0 WHEN bool_or(list_has_any(tech_list, (SELECT list(DISTINCT tech) FROM tech WHERE family_id = 7))) THEN 0.5 ELSE 0.0 END::DOUBLE AS capability
+FROM (SELECT family_id, tech_list, unnest(tech_list) AS tech FROM docs) GROUP BY tech""", TECH),
+)

@@ -19,17 +19,15 @@ def _tidy(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.where(some).select(*[F.col(f"`{c}`") for c in keep])
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, delimiter: str = ",") -> DataFrame:
-    """All columns as strings. Without ``encoding``: UTF-8, or cp949 if a first read finds bytes that UTF-8 hasn't."""
-    reader = lambda enc: spark.read.option("header", True).option("encoding", enc).option("sep", delimiter).option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+    """All columns as strings. Without ``encoding``: UTF-8, or cp949 if the first thousand lines hold bytes that aren't UTF-8.
+
+    Cells of exports may hold line breaks, so a file is one task; without
+    ``multi_line`` large files are split among tasks.
+    """
+    reader = lambda enc: spark.read.option("header", True).option("encoding", enc).option("sep", delimiter).option("multiLine", multi_line).csv(path)
     if encoding is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("b")).first()
-        encoding = "UTF-8"
-        if head is not None:
-            try:
-                bytes(head["b"]).decode("utf-8")
-            except UnicodeDecodeError as e:  # a character cut off at the end of the head is no fault
-                encoding = "UTF-8" if e.start >= len(head["b"]) - 4 else "x-windows-949"
+        encoding = "UTF-8" if spark.read.text(path).limit(1000).where(~F.is_valid_utf8("value")).isEmpty() else "x-windows-949"
     if encoding.upper() not in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "ISO-8859-1", "US-ASCII"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark 4 reads no other charset
     return _tidy(reader(encoding), columns)
@@ -50,5 +48,13 @@ def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, columns: li
     return _tidy(spark.createDataFrame(frame.where(frame.notna(), None), schema), columns)
 
 
+def sheet_names(path: str) -> list[str]:
+    """The sheets of an Excel file, in order (needs an engine such as openpyxl)."""
+    import pandas as pd
+
+    with pd.ExcelFile(path) as book:
+        return [str(n) for n in book.sheet_names]
+
+
 def sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return df.limit(rows)

@@ -168,3 +168,17 @@ def test_rights_end_on_lapse_dates_else_on_expiry_dates(spark):
     by_expiry = {1: (10, 1), 2: (20, 0), 3: (10, 1), 4: (20, 0)}
     assert lived(df.drop("lapse_date")) == by_expiry and lived(df.withColumn("lapse_date", F.lit(None).cast("date"))) == by_expiry
     assert lived(df.drop("lapse_date", "expiry_date")) == {i: (20, 0) for i in by_expiry}
+
+
+def test_own_capability(spark):
+    df = spark.createDataFrame([(1, ["A", "B"]), (2, ["B", "C"]), (3, ["D"]), (None, ["C", "E"])], "family_id long, tech_list array<string>")
+    got = lambda own: {r.tech: r.capability for r in core.own_capability(df, own).collect()}
+    assert got(F.col("family_id") == 1) == {"A": 1.0, "B": 1.0, "C": 0.5, "D": 0.0, "E": 0.0}
+    assert set(got(F.col("family_id") == 9).values()) == {None}
+
+
+def test_several_tables_are_written(spark, tmp_path):
+    a, b = spark.range(3), spark.createDataFrame([(["x", "y"],)], "names array<string>")
+    sources.write_sheets({"a": a, "b": b}, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "a")).count() == 3
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "b")).first().names == "x; y"

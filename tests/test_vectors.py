@@ -154,3 +154,26 @@ def test_char_ngrams_and_their_singular_directions(spark):
     best = (u[:, :3] * s[:3])[ids]
     p = np.array([points[i] for i in ids])
     assert ids == sorted({i for i, _ in want}) and np.allclose(p @ p.T, best @ best.T, atol=1e-6)
+
+
+def test_phrases_group_by_average_linkage(spark):
+    rnd = np.random.default_rng(2)
+    v = np.vstack([rnd.normal(size=(25, 4)), [[0.0] * 4]])
+    u = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1)
+    groups = [[i] for i in range(len(v))]
+    while True:
+        d, i, j = min((np.mean([1 - u[x] @ u[y] for x in a for y in b]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if d >= 0.45:
+            break
+        groups[i] += groups.pop(j)
+    got = V.phrase_groups([str(i) for i in range(len(v))], v)
+    assert {frozenset(g) for g in groups} == {frozenset(int(p) for p, x in got.items() if x == g) for g in {*got.values()}}
+    assert V.phrase_groups([], np.zeros((0, 1))) == {} and 1 < len(groups) < 26
+
+
+def test_semantic_matrix_joins_like_phrases(spark):
+    rows = [("heat loss", "metal plate")] * 3 + [("heat losses", "metal plates"), ("noise", "foam"), (None, "foam"), ("noise", " ")]
+    df = spark.createDataFrame(rows, "problem string, solution string")
+    got = {(r.problem, r.solution): r.n for r in V.semantic_matrix(df).collect()}
+    assert got == {("heat loss", "metal plate"): 4, ("noise", "foam"): 1}
+    assert V.semantic_matrix(df.where("false")).collect() == []
