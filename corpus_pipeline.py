@@ -30,24 +30,47 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stay in another document; n_chars is counted again where lines went."""
+    """Texts without the lines that stay in another document; n_chars is counted again where lines went.
+
+    Null and empty texts are as they were; texts are read whole. Null ids count
+    for no line. Of documents with a common line that with the largest doc_id
+    keeps it; repeated rows lose the same lines and stay repeated. An empty table
+    stays empty, and other columns than those of documents go.
+    """
     d = line_dedup.line_dedup(docs.select(*COLUMNS))
     changed = F.col("n_dropped") > 0
-    return d.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return d.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    Texts are fingerprinted whole; null and empty ones and those of blanks only
+    are copies of each other. A row without an id stays only where none of its group has one; of rows
+    repeated with id and text one stays. An empty table stays empty, and other columns than those of documents go.
+    """
     return simhash.near_dedup(docs.select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which a twentieth or more lies in benchmark passages."""
+    """Drops the documents of which a twentieth or more lies in benchmark passages.
+
+    Null and empty texts are clean and stay; texts are scanned whole; repeated
+    rows and rows with one doc_id or none are judged each on its own text. With
+    an empty benchmark all documents stay, an empty table stays empty, and other columns than those of documents go.
+    """
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 2048 tokens."""
+    """The pieces of all documents, packed into sequences of 2048 tokens.
+
+    A null or empty text is one piece of the end id; longer texts than a sequence
+    are cut into as many pieces as they need. Repeated rows and null ids are
+    packed as they come, an empty table gives no row, and no column but doc_id is kept.
+    """
     return packing.best_fit_pack(docs)
 
 
