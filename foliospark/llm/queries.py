@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, fingerprints, language_id, line_dedup, packing, quality, repeats, simhash, url_filter
+from . import class_lm, decontaminate, fingerprints, language_id, line_dedup, packing, quality, repeats, simhash, url_filter, warc
 from .common import table
 
 
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": _documents(repeats.query),
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": _documents(language_id.query),
+    "op11_warc": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_suffix_array_dedup": repeats.SQL,
+    "op11_warc": warc.SQL,
 }
