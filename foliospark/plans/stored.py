@@ -31,6 +31,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a checkpoint in the session's ``spark.checkpoint.dir``: unlike a table it keeps its partitions and the order in them."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def document_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standard frame of the driver's tables, written at its first use in a Spark application."""
     key = (spark.sparkContext.applicationId, sf_dir)
