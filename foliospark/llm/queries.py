@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, decontaminate, fingerprints, language_id, line_dedup, packing, quality, repeats, simhash, url_filter, warc, whitening
+from . import class_lm, decontaminate, fingerprints, importance, language_id, line_dedup, packing, quality, repeats, simhash, url_filter, warc, whitening
 from .common import table
 
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": _documents(language_id.query),
     "op11_warc": warc.query,
+    "op12_importance_resampling": importance.query,
     "op13_embedding_whitening": whitening.query,
 }
 
