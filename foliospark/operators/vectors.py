@@ -1,58 +1,53 @@
-"""Analyses of embedding vectors, clusters and graphs.
-
-Similarity joins compare blocks of vectors as matrices in Arrow batches: a
-block's matrix meets each other block once, so no row pair is shuffled, and only
-pairs over the threshold are put out.
-"""
+"""Analyses of embedding vectors, clusters and graphs. Similarity joins and neighbour lists go through the metric index (``metric``)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors, VectorUDT
+from pyspark.mllib.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import metrics as M
 from ..plans.stored import stored
+from . import metric
 
 
-def _dealt(df: DataFrame, id_: str, vector: str, block: int) -> DataFrame:
-    """i, v, blk, p, q: vectors in k blocks of about ``block`` rows, each block once for every pair of blocks p <= q that it is in."""
-    n = df.count()
-    k = max(1, -(-n // block))
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(k)).cast("int").alias("blk"))
-    # Each block goes to every task (blk, other) with blk <= other.
-    left = rows.select("i", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o"))
-    return left.select("i", "v", "blk", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"))
+def _unit(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """i, v: the vectors that aren't null or zero, with length 1."""
+    v = F.col(vector).cast("array<double>")
+    x = df.select(F.col(id_).cast("long").alias("i"), v.alias("v"), F.sqrt(M.dot(v, v)).alias("l")).where("l > 1e-12")
+    return x.select("i", F.transform("v", lambda c: F.try_divide(c, F.col("l"))).alias("v"))
 
 
-def similarity_pairs(df: DataFrame, threshold: float, id_: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
+def similarity_pairs(df: DataFrame, threshold: float, id_: str = "vec_id", vector: str = "embedding", block: int = metric.BLOCK) -> DataFrame:
     """a, b, similarity of all pairs a < b with a cosine of ``threshold`` or more.
 
-    Vectors are dealt to k blocks of about ``block`` rows; a task has two
-    blocks, as one packed row each. Zero and null vectors have no pairs.
+    Cells of the metric index that are further apart than the threshold allows
+    don't meet. Zero and null vectors have no pairs.
     """
+    schema = "a long, b long, similarity double"
+    index = metric.build(_unit(df, id_, vector), block=block)
+    if index is None:
+        return df.sparkSession.createDataFrame([], schema)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        a, b = pdf[pdf["blk"] == p], pdf[pdf["blk"] == q]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        va, vb = (np.array(x["v"].tolist(), float) for x in (a, b))
-        na, nb = (np.linalg.norm(v, axis=1, keepdims=True) for v in (va, vb))
-        s = (va / np.where(na > 1e-12, na, np.inf)) @ (vb / np.where(nb > 1e-12, nb, np.inf)).T
-        x, y = np.nonzero(s >= threshold)
-        ia, ib = a["i"].to_numpy()[x], b["i"].to_numpy()[y]
-        keep = ia < ib if p == q else ia != ib
-        lo, hi = np.minimum(ia, ib), np.maximum(ia, ib)
-        return pd.DataFrame({"a": lo[keep], "b": hi[keep], "similarity": s[x, y][keep]})
+    def compare(a: metric.Block, b: metric.Block | None) -> Iterator[dict]:
+        other = a if b is None else b
+        for t in range(0, len(a.ids), metric.TILE):
+            s = a.v[t : t + metric.TILE] @ other.v.T
+            x, y = np.nonzero(s >= threshold)
+            ia, ib = a.ids[t + x], other.ids[y]
+            keep = ia < ib if b is None else ia != ib
+            yield {"a": np.minimum(ia, ib)[keep], "b": np.maximum(ia, ib)[keep], "similarity": s[x, y][keep]}
 
-    return _dealt(df, id_, vector, block).groupBy("p", "q").applyInPandas(compare, "a long, b long, similarity double")
+    return index.pairs(index.apart() <= np.sqrt(max(0.0, 2 - 2 * threshold)) + metric.SLACK, compare, schema)
 
 
 def followers(df: DataFrame, pairs: DataFrame, top: int = 12, least_cross: int = 2) -> DataFrame:
@@ -314,34 +309,25 @@ def density_grid(points: DataFrame, cells: int = 60, point: str = "point") -> Da
     return x.join(F.broadcast(b)).groupBy(at("x", "x0", "x1").alias("gx"), at("y", "y0", "y1").alias("gy")).agg(F.count("*").alias("n"))
 
 
-def overlap_density(df: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
+def overlap_density(df: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", block: int = metric.BLOCK) -> DataFrame:
     """node, density: the mean cosine of the ``k`` nearest of all vectors, or of all others if there are fewer.
 
     A row for each vector; null for a null one. As in the reference, a zero
     vector's cosines are 0, and so is that of a vector to itself, which counts
-    where fewer than ``k`` others have more. Each pair of blocks gives the
-    ``k`` best of its vectors, and these lists are merged.
+    where fewer than ``k`` others have more.
     """
-    k = max(0, min(k, df.where(F.col(vector).isNotNull()).count() - 1))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        a, b = pdf[pdf["blk"] == p], pdf[pdf["blk"] == q]
-        if not k or not len(a) or not len(b):
-            return pd.DataFrame({"node": pd.Series([], dtype="int64"), "top": pd.Series([], dtype=object)})
-        va, vb = (np.array(x["v"].tolist(), float) for x in (a, b))
-        na, nb = (np.linalg.norm(v, axis=1, keepdims=True) for v in (va, vb))
-        s = (va / np.where(na > 1e-12, na, np.inf)) @ (vb / np.where(nb > 1e-12, nb, np.inf)).T
-        if p == q:
-            np.fill_diagonal(s, 0.0)
-        best = lambda m: [*np.partition(m, -k, axis=1)[:, -k:]] if m.shape[1] > k else [*m]
-        sides = [(a, s)] if p == q else [(a, s), (b, s.T)]
-        return pd.concat([pd.DataFrame({"node": x["i"].to_numpy(), "top": best(m)}) for x, m in sides])
-
-    lists = _dealt(df, id_, vector, block).groupBy("p", "q").applyInPandas(nearest, "node long, top array<double>")
-    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, max(k, 1))
-    found = lists.groupBy("node").agg((F.aggregate(top, F.lit(0.0), lambda x, y: x + y) / max(k, 1)).alias("density"))
-    return df.select(F.col(id_).cast("long").alias("node"), F.col(vector).isNotNull().alias("_has")).join(found, "node", "left").select("node", F.when(F.col("_has"), F.coalesce("density", F.lit(0.0))).alias("density"))
+    unit = _unit(df, id_, vector)
+    there, lengthy = df.where(F.col(vector).isNotNull()).count(), unit.count()
+    k = max(0, min(k, there - 1))
+    rows = df.select(F.col(id_).cast("long").alias("node"), F.col(vector).isNotNull().alias("_has"))
+    index = metric.build(unit, block=block) if k else None
+    if index is None:
+        return rows.select("node", F.when(F.col("_has"), 0.0).alias("density"))
+    found = metric.nearest(index, k, cosine=True)
+    cosines = F.concat(F.transform("near", lambda x: -x["d"]), F.array_repeat(F.lit(0.0), min(k, there - lengthy + 1)))
+    top = F.slice(F.sort_array(cosines, asc=False), 1, k)
+    found = found.select(F.col("i").alias("node"), (F.aggregate(top, F.lit(0.0), lambda x, y: x + y) / k).alias("density"))
+    return rows.join(found, "node", "left").select("node", F.when(F.col("_has"), F.coalesce("density", F.lit(0.0))).alias("density"))
 
 
 def char_tfidf(df: DataFrame, id_: str, text: str, sizes: tuple[int, int] = (2, 4), features: int = 5000, least: int = 2) -> DataFrame:
@@ -373,13 +359,10 @@ def reduced(weights: DataFrame, k: int = 64) -> DataFrame:
     at = weights.sparkSession.createDataFrame([*enumerate(names)], "f int, gram string")
     entry = F.array_sort(F.collect_list(F.struct("f", "weight")))
     rows = stored(weights.join(F.broadcast(at), "gram").groupBy("id").agg(entry.alias("e")).select("id", F.transform("e", lambda s: s["f"]).alias("f"), F.transform("e", lambda s: s["weight"]).alias("w")))
-    size = len(names)
-
-    @F.udf(returnType=VectorUDT())
-    def sparse(f, w):  # noqa: ANN001, ANN202  indices in order and their weights
-        return Vectors.sparse(size, f, w)
-
-    turn = RowMatrix(rows.select(sparse("f", "w").alias("v"))).computeSVD(k).V.toArray()
+    # The fields of a sparse vector, which a pass over whole batches gives that type.
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(names)).alias("size"), F.col("f").alias("indices"), F.col("w").alias("values"))
+    vectors = rows.select(sparse.alias("v")).mapInArrow(lambda batches: batches, StructType([StructField("v", VectorUDT())]))
+    turn = RowMatrix(vectors).computeSVD(k).V.toArray()
 
     @F.pandas_udf("array<double>")
     def turned(f: pd.Series, w: pd.Series) -> pd.Series:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .binding import documents
 
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
+_MADE: dict[tuple[str, str, str], tuple[int, DataFrame]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,9 +40,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _stamp(spark: SparkSession, folder: str) -> int:
+    """A number that changes when a file of ``folder`` does, whatever store it is in."""
+    jvm, found = spark._jvm, []
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written at its first use in a Spark application, and again once the files of ``sf_dir`` have changed."""
+    key, stamp = (spark.sparkContext.applicationId, sf_dir, name), _stamp(spark, sf_dir)
+    if key not in _MADE or _MADE[key][0] != stamp:
+        _MADE[key] = (stamp, stored(make()))
+    return _MADE[key][1]
+
+
 def document_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The standard frame of the driver's tables, written at its first use in a Spark application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FRAMES:
-        _FRAMES[key] = stored(documents(spark, sf_dir))
-    return _FRAMES[key]
+    """The standard frame of the driver's tables, written once."""
+    return once(spark, sf_dir, "documents", lambda: documents(spark, sf_dir))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..operators import core as C
+from ..operators import hdbscan as H
 from ..operators import vectors as V
 from ..plans.binding import sql, table
+from ..plans.stored import once
 from . import Registry
 from .core import PAIRS, TECH, TECHN
 
@@ -22,7 +24,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.similarity_pairs(embeddings(spark, sf_dir), THETA)
+    return once(spark, sf_dir, "pairs", lambda: V.similarity_pairs(embeddings(spark, sf_dir), THETA))
 
 
 COS = f"cs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), sp AS (SELECT * FROM cs WHERE similarity >= {THETA})"
@@ -42,6 +44,7 @@ REG.add("emerging_clusters_by_label", lambda s, d: V.emerging_clusters(embedding
 REG.add("emerging_clusters", lambda s, d: V.emerging_clusters(V.clusters(embeddings(s, d))))
 REG.add("claim_map", lambda s, d: V.density_grid(V.project(embeddings(s, d))))
 REG.add("claim_clusters", lambda s, d: V.dense_clusters(V.project(embeddings(s, d))))
+REG.add("claim_hdbscan", lambda s, d: H.hdbscan(V.project(embeddings(s, d))))
 REG.add("cluster_keywords", lambda s, d: V.cluster_keywords(table(s, d, "documents").select(F.col("lang").alias("cluster"), P.terms(F.col("text")).alias("terms"))).withColumn("score", F.round("score", 6)))
 BOTH = "bo AS (SELECT a AS i, b AS j, similarity FROM cs UNION ALL SELECT b, a, similarity FROM cs), ds AS (SELECT i, x.label AS label, y.label AS other, avg(1 - similarity) AS d FROM bo JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j GROUP BY ALL)"
 REG.add(
