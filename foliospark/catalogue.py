@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registered import company, core, parsing, signals, streams, vectors
+from .registered import company, core, parsing, signals, streams, texts, vectors
 
 FLAGSHIP = "emerging_combinations"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (parsing, core, company, signals, vectors, streams):
+for _part in (parsing, core, company, signals, vectors, texts, streams):
     QUERIES |= _part.REG.queries
     ORACLE_SQL |= _part.REG.sql

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import metrics as M
 from .core import company_shares, latest_year, tech_year
 from .expand import applicants_of, explode_applicants, explode_pairs, explode_tech
 from .filters import applicant_mask
+from .ranking import ranked, with_ties
 
 # Gross national income in trillion dollars, the weight of a country's market.
 GNI = {
@@ -126,20 +129,34 @@ def dna_metrics(docs: DataFrame, settings: Settings | None = None, year_max: int
 DNA = ["tech_concentration", "tech_diversity", "new_class_entry", "combo_diversity", "family_size", "intl_scope", "grant_keep_ratio", "avg_citations", "continuation_ratio", "co_apply_ratio", "inventor_concentration", "recent_growth"]
 
 
+# Company types in the order in which they are tried. A measure is "high" from the cutoff on, "low" up to 1 - cutoff,
+# or at least a number; a group of measures in one condition needs one of them.
+DNA_TYPES: list[tuple[str, list[tuple[tuple[str, ...], str | float]]]] = [
+    ("선도 개척형", [(("new_class_entry",), "high"), (("recent_growth",), "high"), (("avg_citations",), 0.5)]),
+    ("권리 장벽형", [(("grant_keep_ratio",), "high"), (("family_size", "intl_scope"), 0.5)]),
+    ("집중 방어형", [(("tech_concentration",), "high"), (("tech_diversity",), "low")]),
+    ("융합 확장형", [(("combo_diversity",), "high"), (("tech_diversity",), 0.5)]),
+    ("추격 확장형", [(("recent_growth",), "high"), (("avg_citations",), "low")]),
+    ("양적 출원형", [(("n_rank",), 0.7), (("avg_citations",), "low"), (("grant_keep_ratio",), "low")]),
+]
+DNA_OTHER = "균형형"
+
+
 def dna_types(metrics: DataFrame, cutoff: float = 0.6) -> DataFrame:
-    """company, type and the measures over their largest value; the first rule that holds names the type."""
+    """company, type and the measures over their largest value; the first of DNA_TYPES whose conditions hold names the type.
+
+    n_rank is the share of companies with as many documents or fewer.
+    """
     x = M.ratio_to_max(metrics, DNA)
     total = metrics.agg(F.count("*").alias("_k"))
-    rank = x.select("n").groupBy("n").agg(F.count("*").alias("_c")).withColumn("_below", F.sum("_c").over(Window.orderBy("n")))
-    x = x.join(F.broadcast(total)).join(F.broadcast(rank.select("n", "_below")), "n").withColumn("n_rank", F.col("_below") / F.col("_k"))
-    hi = lambda c: F.col(c) >= cutoff
-    lo = lambda c: F.col(c) <= 1 - cutoff
-    kind = (
-        F.when(hi("new_class_entry") & hi("recent_growth") & (F.col("avg_citations") >= 0.5), "선도 개척형").when(hi("grant_keep_ratio") & ((F.col("family_size") >= 0.5) | (F.col("intl_scope") >= 0.5)), "권리 장벽형")
-        .when(hi("tech_concentration") & lo("tech_diversity"), "집중 방어형").when(hi("combo_diversity") & (F.col("tech_diversity") >= 0.5), "융합 확장형").when(hi("recent_growth") & lo("avg_citations"), "추격 확장형")
-        .when((F.col("n_rank") >= 0.7) & lo("avg_citations") & lo("grant_keep_ratio"), "양적 출원형").otherwise("균형형")
-    )
-    return x.select("company", kind.alias("type"), "n_rank", *DNA)
+    x = with_ties(x, [F.col("n").asc()], ["n"], "_upto", "max").join(F.broadcast(total)).withColumn("n_rank", F.col("_upto") / F.col("_k"))
+
+    def holds(names: tuple[str, ...], level: str | float) -> Column:
+        tests = [F.col(c) <= 1 - cutoff if level == "low" else F.col(c) >= (cutoff if level == "high" else level) for c in names]
+        return reduce(Column.__or__, tests)
+
+    kind = reduce(lambda out, rule: out.when(reduce(Column.__and__, [holds(*c) for c in rule[1]]), rule[0]), DNA_TYPES, F)
+    return x.select("company", kind.otherwise(DNA_OTHER).alias("type"), "n_rank", *DNA)
 
 
 def portfolio_overlap(docs: DataFrame, companies: list[str] | None = None) -> DataFrame:
@@ -295,8 +312,8 @@ def company_ranks(docs: DataFrame, recent: int = 3, year_max: int | None = None)
     n = rows.groupBy("company").agg(F.count("*").alias("n"))
     total = docs.agg(F.count("*").alias("total"))
     g = M.growth_ladder(rows.where("base_year is not null").groupBy("company", F.col("base_year").alias("year")).agg(F.count("*").alias("n")), ["company"], recent, year_max=y).select("company", "growth")
-    # Ranked over one row for each company.
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "company")).cast("long")).join(F.broadcast(total)).join(g, "company", "left").select("company", "n", "rank", (F.col("n") / F.col("total")).alias("share"), "growth")
+    # By a distributed sort of one row for each company.
+    return ranked(n, [F.desc("n"), F.asc("company")]).join(F.broadcast(total)).join(g, "company", "left").select("company", "n", "rank", (F.col("n") / F.col("total")).alias("share"), "growth")
 
 
 def bcg(docs: DataFrame, company: str, recent: int = 3, year_max: int | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,27 @@ from .vectors import components
 
 #: Edges that one task merges.
 EDGES = 1_000_000
+#: Neighbours that tell how near two cells are at most.
+NEAR = 4
 #: Weights below this share of the largest count as this share, so that points that are equal don't weigh infinitely.
 LEAST_WEIGHT = 1e-9
 
 
+def _core(a: metric.Block, best: list[np.ndarray], samples: int) -> pa.RecordBatch:
+    """i, core, and d, j of the NEAR nearest: neighbours stand for as many points as are equal to them (as do those equal to the point itself)."""
+    x, d, j, n = best
+    rows = np.arange(len(a.ids))
+    first, last = np.searchsorted(x, rows), np.searchsorted(x, rows, side="right")
+    passed = np.concatenate([[0.0], np.cumsum(n)])
+    # The neighbour with which ``samples`` others are reached, or the last there is.
+    at = np.minimum(np.searchsorted(passed, passed[first] + samples - (a.extra[0] - 1)) - 1, last - 1)
+    core = np.where((a.extra[0] - 1 >= samples) | (first == last), 0.0, np.concatenate([d, [0.0]])[np.maximum(at, 0)])
+    kept = np.flatnonzero(np.arange(len(x)) - first[x] < NEAR) if len(x) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(0, np.searchsorted(x[kept], rows, side="right")).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c[kept])) for c in (d, j)]
+    return pa.RecordBatch.from_arrays([pa.array(a.ids), pa.array(core), *lists], ["i", "core", "d", "j"])
+
+
 def _tree(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, weight): the spanning tree of points by mutual reachability (Prim)."""
     n = len(v)
@@ -248,13 +266,10 @@ def hdbscan(points: DataFrame, least: int | None = None, samples: int | None = N
     index = metric.build(same, ["n"], block)
     if index is None:
         return d.select(F.col("id").alias("node"), F.lit(-1).cast("long").alias("component"))
-    near = metric.nearest(index, samples)
-    # Neighbours stand for as many points as are equal to them; so do those equal to the point itself.
-    passed = F.aggregate("near", F.struct(F.col("n").cast("double").alias("k"), F.lit(0.0).alias("core")), lambda s, x: F.struct((s["k"] + x["n"]).alias("k"), F.when(s["k"] >= samples + 1, s["core"]).otherwise(x["d"]).alias("core")))
-    lists = stored(same.join(near, "i", "left").select("i", "n", F.coalesce(passed["core"], F.lit(0.0)).alias("core"), "near"))
-    cored = index.rows.select("i", "v", "cell").join(lists.select("i", "core"), "i")
-    index = index._replace(rows=stored(cored), extra=["core"])
-    pairs = lists.select("i", "core", F.explode("near").alias("x")).select("i", F.col("x.j").alias("j"), F.greatest("core", "x.d").alias("w"))
+    lists = stored(metric.nearest(index, samples, finish=partial(_core, samples=samples), schema="i long, core double, d array<double>, j array<long>"))
+    rows = index.rows.join(lists.select("i", "core"), "i", "left").select("i", "v", "cell", F.coalesce("core", F.lit(0.0)).alias("core"))
+    index = index._replace(rows=stored(rows), extra=["core"])
+    pairs = lists.select("i", "core", F.explode(F.arrays_zip("d", "j")).alias("x")).select("i", F.col("x.j").alias("j"), F.greatest("core", "x.d").alias("w"))
     crossing = pairs.join(lists.select(F.col("i").alias("j"), F.col("core").alias("other")), "j").select("i", "j", F.greatest("w", "other").alias("w"))
     tree = stored(_thinned(_edges(index, crossing), edges))
     labels, nodes, parents = _hierarchy(same, tree, least, edges)

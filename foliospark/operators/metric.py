@@ -16,6 +16,7 @@ dimensions, none.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -71,16 +72,10 @@ class Index(NamedTuple):
             np.minimum(out, self.far[:, j][:, None] + self.far[:, j][None, :], out=out)
         return out * (1 + SLACK) + SLACK
 
-    def pairs(self, wanted: np.ndarray, run: Callable[[Block, Block | None], Iterator[dict]], schema: str, rows: DataFrame | None = None) -> DataFrame:
-        """What ``run`` has for each pair of blocks of ``wanted`` cells (a symmetric matrix), each once; the second is None for a block and itself.
-
-        ``rows`` stands for ``self.rows`` if extra columns have changed.
-        """
-        first = np.concatenate([[0], np.cumsum(self.blocks)])
-        blocks, size, extra, wanted = self.blocks, self.size, self.extra, wanted | wanted.T
-        names = [x.split()[0] for x in schema.split(", ")]
-        rows = self.rows if rows is None else rows
-        x = rows.select("i", "cell", F.pmod(F.xxhash64("i"), F.get(F.array(*map(F.lit, blocks.tolist())), F.col("cell"))).cast("int").alias("salt"), "v", *[F.col(c).cast("double").alias(c) for c in extra])
+    def _packed(self, rows: DataFrame | None) -> DataFrame:
+        """block, cell, ids, v, extra: a row for each block."""
+        first, extra = self._first(), self.extra
+        x = (self.rows if rows is None else rows).select("i", "cell", F.pmod(F.xxhash64("i"), F.get(F.array(*map(F.lit, self.blocks.tolist())), F.col("cell"))).cast("int").alias("salt"), "v", *[F.col(c).cast("double").alias(c) for c in extra])
 
         def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches([*batches]).combine_chunks()
@@ -89,30 +84,64 @@ class Index(NamedTuple):
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             yield pa.RecordBatch.from_arrays([pa.array([int(first[key[0].as_py()]) + key[1].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int32()), one(np.asarray(column("i")), pa.int64()), one(np.asarray(column("v").flatten()), pa.float64()), one(np.concatenate([np.zeros(0), *kept]), pa.float64())], ["block", "cell", "ids", "v", "extra"])
 
+        return x.groupBy("cell", "salt").applyInArrow(pack, "block int, cell int, ids array<long>, v array<double>, extra array<double>")
+
+    def _first(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.blocks)])
+
+    def _meet(self, wanted: np.ndarray, rows: DataFrame | None) -> DataFrame:
+        """own, other, ids, v, extra: each block (``own``) for each block (``other``) of the cells that it meets."""
+        first, wanted = self._first(), wanted | wanted.T
+
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in range(batch.num_rows):
                     own, cell = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                     others = np.concatenate([np.zeros(0, np.int64), *[np.arange(first[c], first[c + 1]) for c in np.flatnonzero(wanted[cell])]])
-                    at = pa.array(np.full(len(others), r))
                     for k in range(0, len(others), 8):
-                        o, part = others[k : k + 8], at[k : k + 8]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(o, own).astype(np.int32)), pa.array(np.maximum(o, own).astype(np.int32)), batch.column(0).take(part), *[batch.column(c).take(part) for c in (2, 3, 4)]], ["p", "q", "block", "ids", "v", "extra"])
+                        o = others[k : k + 8]
+                        at = pa.array(np.full(len(o), r))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), own, np.int32)), pa.array(o.astype(np.int32)), *[batch.column(c).take(at) for c in (2, 3, 4)]], ["own", "other", "ids", "v", "extra"])
+
+        return self._packed(rows).mapInArrow(meet, "own int, other int, ids array<long>, v array<double>, extra array<double>")
+
+    def pairs(self, wanted: np.ndarray, run: Callable[[Block, Block | None], Iterator[dict]], schema: str, rows: DataFrame | None = None) -> DataFrame:
+        """What ``run`` has for each pair of blocks of ``wanted`` cells (a symmetric matrix), each once; the second is None for a block and itself.
+
+        ``rows`` stands for ``self.rows`` if extra columns have changed.
+        """
+        size, extra = self.size, len(self.extra)
+        names = [x.split()[0] for x in schema.split(", ")]
 
         def compare(table: pa.Table) -> pa.Table:
-            found = []
-            for r in range(table.num_rows):
-                ids = np.asarray(table["ids"][r].values)
-                found.append((table["block"][r].as_py(), Block(ids, np.asarray(table["v"][r].values).reshape(len(ids), size), np.asarray(table["extra"][r].values).reshape(len(extra), len(ids)))))
-            found = [b for _, b in sorted(found, key=lambda x: x[0])]
+            found = [b for _, b in sorted(((table["own"][r].as_py(), _block(table, r, size, extra)) for r in range(table.num_rows)), key=lambda x: x[0])]
             p, q = table["p"][0].as_py(), table["q"][0].as_py()
             out = [*run(found[0], None if p == q else found[1])] if p == q or len(found) == 2 else []
             return pa.table({n: np.concatenate([o[n] for o in out]) if out else [] for n in names}, schema=_arrow(schema))
 
-        packed = x.groupBy("cell", "salt").applyInArrow(pack, "block int, cell int, ids array<long>, v array<double>, extra array<double>")
-        met = packed.mapInArrow(meet, "p int, q int, block int, ids array<long>, v array<double>, extra array<double>")
+        met = self._meet(wanted, rows).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
         return met.groupBy("p", "q").applyInArrow(compare, schema)
 
+    def each(self, wanted: np.ndarray, run: Callable[[Block, Iterator[Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``run`` has for each block and those of ``wanted`` cells, which come one after the other, the block itself among them."""
+        size, extra = self.size, len(self.extra)
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = ((b["to"][r].as_py(), b["own"][r].as_py(), _block(b, r, size, extra)) for b in batches for r in range(b.num_rows))
+            for _, group in groupby(rows, key=lambda x: x[0]):
+                # The block itself comes first, and once more among the others.
+                yield from run(next(group)[2], (b for _, _, b in group))
+
+        met = self._meet(wanted, None).withColumnRenamed("other", "to")
+        itself = self._packed(None).select(F.col("block").alias("own"), F.col("block").alias("to"), "ids", "v", "extra")
+        both = itself.withColumn("turn", F.lit(0)).unionByName(met.withColumn("turn", F.lit(1)))
+        return both.repartition("to").sortWithinPartitions("to", "turn", "own").mapInArrow(stream, schema)
+
+
+def _block(table: pa.Table | pa.RecordBatch, r: int, size: int, extra: int) -> Block:
+    ids = np.asarray(table["ids"][r].values)
+    return Block(ids, np.asarray(table["v"][r].values).reshape(len(ids), size), np.asarray(table["extra"][r].values).reshape(extra, len(ids)))
+
 
 def _arrow(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
@@ -179,43 +208,51 @@ def _pivots(sample: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def nearest(index: Index, k: int, cosine: bool = False) -> DataFrame:
+def nearest(index: Index, k: int, cosine: bool = False, finish: Callable[[Block, list[np.ndarray]], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
     """i, near: the ``k`` nearest others of each vector (fewer if there are no more), as structs d, j and the extra columns, nearest first (equal ones by j).
 
     d is the distance; with ``cosine`` (of unit vectors) the negative cosine. A
     first pass over each block by itself bounds the reach of a cell: the largest
     distance of any of its vectors to its k-th neighbour. Cells further apart
-    than the reach of both don't meet.
+    than the reach of both don't meet. ``finish`` makes something else of a
+    block and its neighbours (row in the block, d, j, extra columns; nearest
+    first), so that long lists needn't leave the task.
     """
-    fields = ["i long", "d double", "j long", *[f"{c} double" for c in index.extra]]
-
-    extra = index.extra  # functions that go to tasks hold no frame
+    fields = ["d double", "j long", *[f"{c} double" for c in index.extra]]
+    kinds = [pa.float64(), pa.int64(), *[pa.float64()] * len(index.extra)]
 
     def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return -(a @ b.T) if cosine else distances(a, b)
 
-    def lists(a: Block, b: Block) -> Iterator[dict]:
-        own = a is b
+    def found(a: Block, b: Block) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row of a, d, j, extra ...) of the nearest in ``b``, tile by tile."""
+        own = np.array_equal(a.ids, b.ids)
         for t in range(0, len(a.ids), TILE):
             far = measured(a.v[t : t + TILE], b.v)
             if own:
                 far[np.arange(len(far)), np.arange(t, t + len(far))] = np.inf
             m = min(k, far.shape[1] - own)
-            if m <= 0:
-                continue
-            # All that are as near as the m-th take part, so that equal ones are told apart by j.
-            bound = np.partition(far, m - 1, axis=1)[:, m - 1 : m]
-            x, y = np.nonzero(far <= bound)
-            order = np.lexsort((b.ids[y], far[x, y], x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            x, y = x[rank < m], y[rank < m]
-            yield {"i": a.ids[t + x], "d": far[x, y], "j": b.ids[y]} | {c: e[y] for c, e in zip(extra, b.extra, strict=True)}
-
-    def both(a: Block, b: Block | None) -> Iterator[dict]:
-        yield from lists(a, a if b is None else b)
-        if b is not None:
-            yield from lists(b, a)
+            if m > 0:
+                # All that are as near as the m-th take part, so that equal ones are told apart by j.
+                x, y = np.nonzero(far <= np.partition(far, m - 1, axis=1)[:, m - 1 : m])
+                yield (t + x, far[x, y], b.ids[y], *[e[y] for e in b.extra])
+
+    def lists(a: Block, others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), *[np.zeros(0) for _ in a.extra]]
+        for b in others:
+            best = [np.concatenate(c) for c in zip(best, *found(a, b), strict=True)]
+            order = np.lexsort((best[2], best[1], best[0]))
+            x = best[0][order]
+            order = order[np.arange(len(x)) - np.searchsorted(x, x) < k]
+            best = [c[order] for c in best]
+        yield finish(a, best) if finish is not None else as_lists(a, best)
+
+    def as_lists(a: Block, best: list[np.ndarray]) -> pa.RecordBatch:
+        x = best[0]
+        rows = np.unique(x)
+        near = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(best[1:], kinds, strict=True)], [f.split()[0] for f in fields])
+        ends = np.append(np.searchsorted(x, rows), len(x)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(a.ids[rows]), pa.ListArray.from_arrays(pa.array(ends), near)], ["i", "near"])
 
     cells = len(index.blocks)
     wanted = np.ones((cells, cells), bool)
@@ -232,6 +269,4 @@ def nearest(index: Index, k: int, cosine: bool = False) -> DataFrame:
         for c, worst in own.collect():
             reach[c] = (np.sqrt(max(0.0, 2 + 2 * worst)) if cosine else worst) * (1 + SLACK) + SLACK if np.isfinite(worst) else np.inf
         wanted = index.apart() <= np.maximum(reach[:, None], reach[None, :])
-    found = index.pairs(wanted, both, ", ".join(fields))
-    entry = F.struct("d", "j", *index.extra)
-    return found.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("near"))
+    return index.each(wanted, lists, schema or f"i long, near array<struct<{', '.join(f.replace(' ', ': ') for f in fields)}>>")

@@ -34,7 +34,7 @@ def similarity_pairs(df: DataFrame, threshold: float, id_: str = "vec_id", vecto
     don't meet. Zero and null vectors have no pairs.
     """
     schema = "a long, b long, similarity double"
-    index = metric.build(_unit(df, id_, vector), block=block)
+    index = metric.build(stored(_unit(df, id_, vector)), block=block)
     if index is None:
         return df.sparkSession.createDataFrame([], schema)
 
@@ -224,12 +224,35 @@ def class_suggestions(confusion: DataFrame, cohesion: DataFrame, least: int = 3,
     return alike.unionByName(loose).unionByName(small)
 
 
-def classification_quality(docs: DataFrame, least: int = 3, low: float = 0.5) -> DataFrame:
-    """tech, n, multi_ratio, low_confidence_ratio, suggestion."""
+def classification_quality(docs: DataFrame, low: float = 0.5) -> DataFrame:
+    """tech, n, multi_ratio, low_confidence_ratio."""
     from .expand import explode_tech
 
-    x = explode_tech(docs).groupBy("tech").agg(F.count("*").alias("n"), F.avg((F.size("tech_list") > 1).cast("int")).alias("multi_ratio"), F.avg((F.col("class_confidence") < low).cast("int")).alias("low_confidence_ratio"))
-    return x.withColumn("suggestion", F.when(F.col("n") < least, "merge").when(F.col("multi_ratio") >= 0.8, "split").when(F.col("low_confidence_ratio") >= 0.3, "review").otherwise("keep"))
+    return explode_tech(docs).groupBy("tech").agg(F.count("*").alias("n"), F.avg((F.size("tech_list") > 1).cast("int")).alias("multi_ratio"), F.avg((F.col("class_confidence") < low).cast("int")).alias("low_confidence_ratio"))
+
+
+def class_review(docs: DataFrame, stability: DataFrame, least: int = 3, overlap: float = 0.5, unstable: float = 0.3, multi: float = 0.6) -> DataFrame:
+    """kind, a, b, value: suggestions without vectors. Classes to merge (their documents overlap by more than ``overlap``), to name anew
+    (keywords less stable than ``unstable``), too small ones, and whether more than a share ``multi`` of documents has several classes.
+
+    ``stability``: tech, stability (``keywords.keyword_stability``).
+    """
+    from .expand import explode_tech
+
+    n = explode_tech(docs.select("tech_list")).groupBy("tech").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, a, b, value: (F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), value.cast("double").alias("value"))
+    alike = class_overlap(docs).where(F.col("jaccard") > overlap).select(*row("merge", F.col("a"), F.col("b"), F.col("jaccard")))
+    loose = stability.where(F.col("stability") < unstable).select(*row("rename", F.col("tech"), none, F.col("stability")))
+    small = n.where(F.col("n") < least).select(*row("small", F.col("tech"), none, F.col("n")))
+    several = docs.agg(F.avg((F.size(F.array_distinct("tech_list")) >= 2).cast("int")).alias("r")).where(F.col("r") > multi).select(*row("several classes", none, none, F.col("r")))
+    return alike.unionByName(loose).unionByName(small).unionByName(several)
+
+
+def low_confidence(docs: DataFrame, low: float = 0.5, most: int = 50) -> DataFrame:
+    """doc_id, confidence, techs (4 at most) of the ``most`` documents with the least confidence under ``low``."""
+    x = docs.where(F.col("class_confidence") < low).orderBy("class_confidence", "doc_id").limit(most)
+    return x.select("doc_id", F.round("class_confidence", 3).alias("confidence"), F.slice("tech_list", 1, 4).alias("techs"))
 
 
 def class_overlap(docs: DataFrame) -> DataFrame:
@@ -260,18 +283,6 @@ def emerging_clusters(rows: DataFrame, recent: int = 3, least: int = 5, share: f
     return x.select("cluster", "n", "first_year", "mean_year", "recent_share", "new_applicant_ratio", score.alias("score"), ((F.col("recent_share") >= share) & (F.col("n") >= least)).alias("emerging"))
 
 
-def cluster_keywords(rows: DataFrame, terms: str = "terms", top: int = 8) -> DataFrame:
-    """cluster, term, score: terms that are frequent in a cluster and lift 1.3 over the rest or more; pairs of words weigh 1.6."""
-    n = rows.groupBy("cluster").agg(F.count("*").alias("n_c"))
-    total = rows.agg(F.count("*").alias("N"))
-    t = rows.select("cluster", F.explode(F.array_distinct(terms)).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("c"))
-    g = t.groupBy("term").agg(F.sum("c").alias("g"))
-    two = F.col("term").contains(" ")
-    x = t.join(n, "cluster").join(g, "term").join(F.broadcast(total)).withColumn("lift", (F.col("c") / F.col("n_c")) / ((F.col("g") + 1) / F.col("N")))
-    x = x.where((F.col("lift") >= 1.3) & (F.col("c") >= F.greatest(F.lit(2), F.floor(F.when(two, 0.12).otherwise(0.18) * F.col("n_c"))))).withColumn("score", F.round(F.col("lift") * F.col("c") * F.when(two, 1.6).otherwise(1.0), 9))
-    return x.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "term"))).where(F.col("_r") <= top).select("cluster", "term", "score")
-
-
 def project(df: DataFrame, vector: str = "embedding", k: int = 2) -> DataFrame:
     """``df`` with point array<double>: principal components (signs are arbitrary)."""
     x = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
@@ -316,7 +327,7 @@ def overlap_density(df: DataFrame, k: int = 20, id_: str = "vec_id", vector: str
     vector's cosines are 0, and so is that of a vector to itself, which counts
     where fewer than ``k`` others have more.
     """
-    unit = _unit(df, id_, vector)
+    unit = stored(_unit(df, id_, vector))
     there, lengthy = df.where(F.col(vector).isNotNull()).count(), unit.count()
     k = max(0, min(k, there - 1))
     rows = df.select(F.col(id_).cast("long").alias("node"), F.col(vector).isNotNull().alias("_has"))
