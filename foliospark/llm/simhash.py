@@ -70,32 +70,63 @@ def document_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 # --- multi-index hashing, radius 2 -----------------------------------------
 
-SEGMENT, SEGMENTS = 16, 4
+SEGMENT, SEGMENTS, RADIUS = 32, 2, 2
+#: Fingerprints of one segment value from which on that value is indexed further, and the parts of the other segment it is indexed by.
+HOT, PARTS = 128, [(0, 11), (11, 11), (22, 10)]
 
 
-def _ball(fp: Column, segment: int) -> list[Column]:
-    """The values that differ from ``fp`` in one bit of a segment."""
-    return [fp.bitwiseXOR(F.lit(_shifted(bit)).cast("long")) for bit in range(SEGMENT * segment, SEGMENT * (segment + 1))]
+def _segment(fp: Column, s: int) -> Column:
+    return F.shiftrightunsigned(fp, SEGMENT * s).bitwiseAND(F.lit((1 << SEGMENT) - 1))
 
 
-def near_links(fingerprints: DataFrame) -> DataFrame:
-    """(a, b): links between values in the long column ``fp`` that differ in at most 2 of 64 bits.
+def _key(s: int, value: Column) -> Column:
+    """Segment values as keys of their tables; equal ones of different segments are apart."""
+    return value.bitwiseOR(F.lit(s << SEGMENT))
 
-    The table holds each fingerprint under the values of the ball of radius 1
-    around each of its segments, and under its own. Two fingerprints are within
-    2 bits just if some value is in the balls of both: each flips one of the
-    differing bits. So all that meet at a value are near one another (65 at
-    most), and a link of each to the least of them, whose whole distance is then
-    verified, connects all that near pairs connect, without making the pairs.
+
+def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with sub: 0, or for a hot key a row for each part of the other segment, by the part's value."""
+    part = [F.shiftrightunsigned(_segment(F.col("fp"), 1), lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in PARTS], [F.shiftrightunsigned(_segment(F.col("fp"), 0), lo).bitwiseAND(F.lit((1 << n) - 1)) for lo, n in PARTS]
+    other = [F.when(F.col("key") < F.lit(1 << SEGMENT), a).otherwise(b) for a, b in zip(*part, strict=True)]
+    subs = F.array(*[v.bitwiseOR(F.lit((t + 1) << 16)) for t, v in enumerate(other)])
+    none = F.array(F.lit(0).cast("long"))
+    return rows.join(hot, "key", "left").withColumn("sub", F.explode(F.when(F.col("is_hot"), subs).otherwise(none))).drop("is_hot")
+
+
+def candidates(fingerprints: DataFrame, hot_from: int = HOT) -> DataFrame:
+    """(a, b, distance), a < b: what the segment tables have for the distinct values in the long column ``fp``, with whole distances.
+
+    Of two values within RADIUS bits one segment differs in one bit at most. The
+    table of a segment has each fingerprint under its value there; the lookups
+    of a fingerprint are that value and its 32 one-bit neighbours. A pair may come
+    from both tables. Values that ``hot_from`` fingerprints share are indexed
+    under the parts of their other segment as well: it differs in two bits at
+    most, so that one of its three parts is equal.
     """
-    fp = F.col("fp")
-    values = [fp, *[x for segment in range(SEGMENTS) for x in _ball(fp, segment)]]
-    # So many partitions by number: each row makes 65, which isn't seen when small partitions are put together.
+    # So many partitions by number: each row makes 66 lookups, which isn't seen when small partitions are put together.
     partitions = max(8, int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    table = fingerprints.select("fp").repartition(partitions, "fp").distinct().select("fp", F.explode(F.array(*values)).alias("value"))
-    met = cut(table.groupBy("value").agg(F.min("fp").alias("lead"), F.max("fp").alias("other")).where("lead < other").select("value", "lead"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= 2
-    return table.join(small(met, F.lit(32)), "value").where((F.col("fp") != F.col("lead")) & close).select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    prints = cut(fingerprints.select("fp").repartition(partitions, "fp").distinct())
+    fp = F.col("fp")
+    entries = prints.select("fp", F.explode(F.array(*[_key(s, _segment(fp, s)) for s in range(SEGMENTS)])).alias("key"))
+    hot = small(cut(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hot_from).select("key", F.lit(True).alias("is_hot"))), F.lit(24))
+    ball = [_key(s, v) for s in range(SEGMENTS) for v in [_segment(fp, s), *[_segment(fp, s).bitwiseXOR(F.lit(1 << bit)) for bit in range(SEGMENT)]]]
+    lookups = prints.select("fp", F.explode(F.array(*ball)).alias("key"))
+    table = cut(_split(entries, hot)).select(F.col("fp").alias("a"), "key", "sub")
+    met = _split(lookups, hot).withColumnRenamed("fp", "b").join(small(table, F.lit(32)), ["key", "sub"]).where("a < b")
+    return met.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+
+
+def near_links(fingerprints: DataFrame, hot_from: int = HOT) -> DataFrame:
+    """(a, b): links between values in the long column ``fp`` that differ in at most 2 of 64 bits, which connect all that near pairs connect.
+
+    Candidates are verified by their whole distance. The smaller values near a
+    fingerprint (2080 at most) are gathered, and of those that are near one another only the
+    least is linked: what is left out is connected by links of smaller values.
+    """
+    near = candidates(fingerprints, hot_from).where(F.col("distance") <= RADIUS).groupBy("b").agg(F.collect_set("a").alias("near"))
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
+    least = F.filter("near", lambda g: ~F.exists("near", lambda h: (h < g) & close(g, h)))
+    return near.select("b", F.explode(least).alias("a")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -123,7 +154,9 @@ def near_dedup(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs``, all columns as they are, with one row of each component: that of the smallest doc_id (of several with it, of the smallest text hash).
 
     A row without a doc_id stays only in a component where none has one. Of rows
-    that are repeated with doc_id and text one stays.
+    that are repeated with doc_id and text one stays. Texts are fingerprinted
+    whole; null and empty ones and those of blanks only are copies of one another.
+    An empty table stays empty.
     """
     n = near_duplicates(docs.select("doc_id", "text"), shingle).groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("copies"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")

@@ -73,6 +73,26 @@ def test_near_links_connect_what_near_pairs_connect(spark):
     assert roots(signed, links) == roots(signed, near)
 
 
+def test_candidates_of_segment_tables(spark):
+    """The tables give every near pair, verification rejects others, and values that are indexed further give the same."""
+    rnd = random.Random(4)
+    low = rnd.getrandbits(32)
+    fps = {(rnd.getrandbits(32) << 32) | low for _ in range(40)} | {(low << 32) | rnd.getrandbits(32) for _ in range(40)}
+    for x in [*fps][:50]:
+        fps |= {x ^ (1 << rnd.randrange(64)), x ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)), x ^ 7 << rnd.randrange(60)}
+    signed = {f - (1 << 64) if f >> 63 else f for f in fps}
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    seen = {}
+    for hot in (1, 20, 10_000):
+        found = simhash.candidates(df, hot).collect()
+        assert {(r.a, r.b) for r in found if r.distance <= 2} == near and all(r.distance == ((r.a ^ r.b) & (2**64 - 1)).bit_count() for r in found)
+        seen[hot] = sum(r.distance > 2 for r in found)
+        links = [(r.a, r.b) for r in simhash.near_links(df, hot).collect()]
+        assert set(links) <= near and len(links) == len(set(links)) and roots(signed, links) == roots(signed, near)
+    assert 0 < seen[1] < seen[10_000] and seen[20] < seen[10_000]
+
+
 def brute_kept(rows):
     """(doc_id, text) of the row that stays of each component."""
     prints = [brute_fingerprint(r.text) for r in rows]
