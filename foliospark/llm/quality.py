@@ -101,9 +101,13 @@ def _design(centre: np.ndarray, scale: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class _Fit:
-    """Newton's method on means over the positives and over all rows, which are the unlabelled set."""
+    """Newton's method on means over the positives and over all rows, which are the unlabelled set.
 
-    def __init__(self, rows: DataFrame, ridge: float = 40.0) -> None:
+    The ridge follows a rule, not labels: as many units, over the number of
+    positives, as there are features.
+    """
+
+    def __init__(self, rows: DataFrame, ridge: float = float(N_FEATURES)) -> None:
         self.rows = rows
         t = _totals(rows, lambda p, x: np.concatenate([[p.sum(), len(p)], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * N_FEATURES)
         self.n_pos, self.n = t[:2]

@@ -241,8 +241,10 @@ def test_language_id_is_brute_force(spark, documents, odd):
     from foliospark.llm.common import in_training
 
     docs = more_documents(spark, documents, odd)
-    for held_words in (10**6, 100):
-        trained = language_id.train_model(docs.where(in_training(F.col("doc_id"), 3, 1)), held_words, bits=21)  # so many slots that n-grams are alone in them
+    shipped = {"words": language_id.MODEL_WORDS, "grams": language_id.MODEL_GRAMS}
+    for caches in (shipped, {"words": 100}, {"grams": 50}, {"words": 100, "grams": 50}):  # results don't depend on what tasks hold
+        trained = language_id.train_model(docs.where(in_training(F.col("doc_id"), 3, 1)), **caches)
+        assert trained.model.all_words == ("words" not in caches or caches is shipped) and trained.model.all_grams == ("grams" not in caches or caches is shipped)
         got = [(str(r.doc_id), r.lang_pred, round(r.score, 3)) for r in language_id.languages(docs, trained, ["doc_id"]).collect()]
         assert sorted(got) == sorted(want)
 
