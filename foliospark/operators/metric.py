@@ -209,7 +209,7 @@ def _pivots(sample: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(index: Index, k: int, cosine: bool = False, finish: Callable[[Block, list[np.ndarray]], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
-    """i, near: the ``k`` nearest others of each vector (fewer if there are no more), as structs d, j and the extra columns, nearest first (equal ones by j).
+    """i, near: the ``k`` nearest others of each vector (fewer if there are no more), as structs d, j and the extra columns, nearest first (of several that are as far as the last one any).
 
     d is the distance; with ``cosine`` (of unit vectors) the negative cosine. A
     first pass over each block by itself bounds the reach of a cell: the largest
@@ -224,27 +224,24 @@ def nearest(index: Index, k: int, cosine: bool = False, finish: Callable[[Block,
     def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return -(a @ b.T) if cosine else distances(a, b)
 
-    def found(a: Block, b: Block) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row of a, d, j, extra ...) of the nearest in ``b``, tile by tile."""
-        own = np.array_equal(a.ids, b.ids)
-        for t in range(0, len(a.ids), TILE):
-            far = measured(a.v[t : t + TILE], b.v)
-            if own:
-                far[np.arange(len(far)), np.arange(t, t + len(far))] = np.inf
-            m = min(k, far.shape[1] - own)
-            if m > 0:
-                # All that are as near as the m-th take part, so that equal ones are told apart by j.
-                x, y = np.nonzero(far <= np.partition(far, m - 1, axis=1)[:, m - 1 : m])
-                yield (t + x, far[x, y], b.ids[y], *[e[y] for e in b.extra])
-
     def lists(a: Block, others: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), *[np.zeros(0) for _ in a.extra]]
+        best = [np.full((len(a.ids), k), np.inf), np.zeros((len(a.ids), k), np.int64), *[np.zeros((len(a.ids), k)) for _ in a.extra]]
         for b in others:
-            best = [np.concatenate(c) for c in zip(best, *found(a, b), strict=True)]
-            order = np.lexsort((best[2], best[1], best[0]))
-            x = best[0][order]
-            order = order[np.arange(len(x)) - np.searchsorted(x, x) < k]
-            best = [c[order] for c in best]
+            own = np.array_equal(a.ids, b.ids)
+            for t in range(0, len(a.ids), TILE):
+                far, rows = measured(a.v[t : t + TILE], b.v), slice(t, t + TILE)
+                if own:
+                    far[np.arange(len(far)), np.arange(t, t + len(far))] = np.inf
+                if not (far.min(axis=1) < best[0][rows].max(axis=1)).any():
+                    continue
+                both = np.hstack([best[0][rows], far])
+                at = np.argpartition(both, k - 1, axis=1)[:, :k]
+                for i, new in enumerate((far, b.ids, *b.extra)):
+                    best[i][rows] = np.take_along_axis(np.hstack([best[i][rows], np.broadcast_to(new, far.shape)]), at, axis=1)
+        x, y = np.nonzero(np.isfinite(best[0]))
+        best = [x, *[c[x, y] for c in best]]
+        order = np.lexsort((best[2], best[1], best[0]))
+        best = [c[order] for c in best]
         yield finish(a, best) if finish is not None else as_lists(a, best)
 
     def as_lists(a: Block, best: list[np.ndarray]) -> pa.RecordBatch:

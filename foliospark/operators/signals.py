@@ -13,6 +13,7 @@ from ..functions.parse import document_number
 from .core import latest_year
 from .expand import explode_applicants, explode_tech
 from .filters import applicant_mask
+from .sampling import ends
 
 
 
@@ -296,3 +297,16 @@ def licences(docs: DataFrame, flag: Column) -> DataFrame:
 def standards(docs: DataFrame, org: str = "sep_org") -> DataFrame:
     """org, company, n of declared documents."""
     return explode_applicants(docs.where(F.trim(F.col(org)) != "")).groupBy(F.col(org).alias("org"), "company").agg(F.count("*").alias("n"))
+
+
+def divisional(flag: str = "divisional_flag", parent: str = "parent_app_number") -> Column:
+    """Whether a document is divided from another: by the flag, or by the number of a parent."""
+    said = ~F.lower(F.trim(F.col(parent).cast("string"))).isin("", "nan", "none")
+    return F.coalesce(F.col(flag), F.lit(False)) | F.coalesce(said, F.lit(False))
+
+
+def grant_speed(docs: DataFrame, least: int = 3, each: int = 6) -> DataFrame:
+    """company, n, days, end (top: slowest, bottom: fastest): mean days from filing to grant of companies with ``least`` grants, ``each`` of either end."""
+    both = explode_applicants(docs.where("reg_date is not null and app_date is not null"))
+    x = both.groupBy("company").agg(F.count("*").alias("n"), F.avg(F.datediff("reg_date", "app_date")).alias("days")).where(F.col("n") >= least)
+    return ends(x, "days", each, "company")
