@@ -19,6 +19,7 @@ from ..config import GRANTED_STATUSES, UNCLASSIFIED
 from ..functions import parse as P
 from .mapping import KINDS, LABELS
 from .names import canonical_owner, name_table, rename_list
+from .stored import stored
 
 
 @dataclass
@@ -97,8 +98,8 @@ def build_frame(raw: DataFrame, mapping: dict[str, str], applicant_rules: dict[s
     typed["doc_id"] = F.coalesce(*ids, F.concat(F.lit("row-"), F.hex(F.xxhash64(*list(LABELS)))))
     typed["_number"] = P.present(col("reg_number"))
     typed["_any_year"] = F.regexp_extract(F.concat_ws(" ", *[col(k) for k in ("app_date", "priority_date", "pub_date", "app_number", "pub_number")]), r"(?<!\d)((?:19|20)\d{2})", 1).try_cast("int")
-    # Parsed once, whatever is asked of the frame later; memory first, then disk.
-    d = c.select(*[v.alias(k) for k, v in typed.items()]).persist()
+    # Parsed and numbered once, whatever is asked of the frame later.
+    d = stored(c.select(F.monotonically_increasing_id().alias("_row"), *[v.alias(k) for k, v in typed.items()]))
 
     year = F.coalesce(*[F.year(k) for k in ("app_date", "priority_date", "pub_date")])
     granted = col("is_granted") if facts["granted_known"] else F.when(col("_number"), True).otherwise(F.when(col("legal_status") != "Unknown", col("legal_status").isin(GRANTED_STATUSES)))
@@ -118,7 +119,7 @@ def build_frame(raw: DataFrame, mapping: dict[str, str], applicant_rules: dict[s
     d = rename_list(d, names, "_names", "co_applicants")
     d = d.withColumns({"applicant_raw": F.coalesce(F.get("_names", F.lit(0)), F.lit("")), "applicant": F.coalesce(F.get("co_applicants", F.lit(0)), F.lit(""))})
     d = canonical_owner(d, names) if "assignee" in present else d.withColumn("owner", F.lit(None).cast("string"))
-    return Documents(d.drop("_names", "_number", "_any_year").persist(), present)
+    return Documents(stored(d.drop("_row", "_names", "_number", "_any_year")), present)
 
 
 def l1_lookup(docs: DataFrame) -> DataFrame:

@@ -70,15 +70,15 @@ def name_table(names: DataFrame, rules: dict[str, str] | None = None, groups: di
     return t.withColumn("display", F.coalesce(lookup(again, groups), again))
 
 
-def rename_list(df: DataFrame, names: DataFrame, column: str, out: str) -> DataFrame:
+def rename_list(df: DataFrame, names: DataFrame, column: str, out: str, row: str = "_row") -> DataFrame:
     """``df`` with ``out``: the display names of the list in ``column``, distinct, in order.
 
-    The list is spread, joined and gathered per document, so no task holds the
-    whole name table.
+    The list is spread, joined and gathered by the number of its row, so no task
+    holds the whole name table, and rows with one doc_id keep their own names.
     """
-    long = df.select("doc_id", F.posexplode(column).alias("_p", "raw")).join(names.select("raw", "display"), "raw", "left")
-    lists = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("display", "raw").alias("d")))).alias("_l"))
-    return df.join(lists, "doc_id", "left").withColumn(out, F.array_distinct(F.coalesce(F.transform("_l", lambda x: x["d"]), F.array().cast("array<string>")))).drop("_l")
+    long = df.select(row, F.posexplode(column).alias("_p", "raw")).join(names.select("raw", "display"), "raw", "left")
+    lists = long.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("display", "raw").alias("d")))).alias("_l"))
+    return df.join(lists, row, "left").withColumn(out, F.array_distinct(F.coalesce(F.transform("_l", lambda x: x["d"]), F.array().cast("array<string>")))).drop("_l")
 
 
 def canonical_owner(df: DataFrame, names: DataFrame) -> DataFrame:
