@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import core as C
 from ..operators import hdbscan as H
+from ..operators import layout as L
 from ..operators import vectors as V
 from ..plans.binding import sql, table
 from ..plans.stored import once
@@ -46,6 +47,7 @@ REG.add("emerging_clusters_by_label", lambda s, d: V.emerging_clusters(embedding
 REG.add("emerging_clusters", lambda s, d: V.emerging_clusters(V.clusters(embeddings(s, d))))
 REG.add("claim_map", lambda s, d: V.density_grid(V.project(embeddings(s, d))))
 REG.add("claim_clusters", lambda s, d: V.dense_clusters(V.project(embeddings(s, d))))
+REG.add("embedding_map", lambda s, d: L.mapped(embeddings(s, d)).select("vec_id", F.get("point", F.lit(0)).alias("x"), F.get("point", F.lit(1)).alias("y")))
 REG.add("claim_hdbscan", lambda s, d: H.hdbscan(V.project(embeddings(s, d))))
 BOTH = "bo AS (SELECT a AS i, b AS j, similarity FROM cs UNION ALL SELECT b, a, similarity FROM cs), ds AS (SELECT i, x.label AS label, y.label AS other, avg(1 - similarity) AS d FROM bo JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j GROUP BY ALL)"
 REG.add(
