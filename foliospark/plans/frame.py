@@ -82,11 +82,14 @@ def build_frame(raw: DataFrame, mapping: dict[str, str], applicant_rules: dict[s
     c = _concepts(raw, mapping)
     facts = _facts(c)
     col = F.col
-    typed: dict[str, Column] = {k: P.parse_date(col(k)) for k in KINDS["date"]}
-    typed |= {k: P.parse_numeric(col(k)) for k in KINDS["number"]}
-    typed |= {k: P.parse_bool(col(k)) for k in KINDS["bool"]}
-    typed |= {k: (P.parse_numeric(col(k)) if facts[f"numeric_{k}"] >= 0.5 else F.when(P.present(col(k)), P.list_length(col(k)))) for k in KINDS["count_or_list"]}
-    typed |= {k: P.parse_multi(col(k)) for k in MULTI}
+    # Parsers are built for mapped concepts only: a plan of a hundred parsers of nothing takes long to make.
+    of = lambda k, parse, kind: parse(col(k)) if k in present else F.lit(None).cast(kind)
+    typed: dict[str, Column] = {k: of(k, P.parse_date, "date") for k in KINDS["date"]}
+    typed |= {k: of(k, P.parse_numeric, "double") for k in KINDS["number"]}
+    typed |= {k: of(k, P.parse_bool, "boolean") for k in KINDS["bool"]}
+    counted = lambda k: P.parse_numeric if facts[f"numeric_{k}"] >= 0.5 else lambda c: F.when(P.present(c), P.list_length(c)).cast("double")
+    typed |= {k: of(k, counted(k), "double") for k in KINDS["count_or_list"]}
+    typed |= {k: P.parse_multi(col(k)) if k in present else _empty() for k in MULTI}
     typed |= {"problem": P.clean_statement(col("problem")), "solution": P.clean_statement(col("solution")), "embedding": P.parse_vector(col("embedding")), "ipc_list": P.ipc_codes(col("ipc")), "ipc_sections": P.ipc_codes(col("ipc"), 1), "ipc_classes": P.ipc_codes(col("ipc"), 3)}
     typed |= {"inventors": P.split_names(col("inventors")), "_names": P.split_names(F.when(P.present(col("applicant")), col("applicant")).otherwise(col("applicant_std"))), "legal_status_raw": col("legal_status"), "legal_status": P.legal_status(col("legal_status"))}
     if max(facts["country_code"], facts["country_short"]) < 0.3:

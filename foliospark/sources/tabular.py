@@ -20,14 +20,14 @@ def _tidy(df: DataFrame, columns: list[str] | None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
-    """All columns as strings. Without ``encoding``: UTF-8, or cp949 if the first thousand lines hold bytes that aren't UTF-8.
+    """All columns as strings. Without ``encoding``: UTF-8, or cp949 if any line holds bytes that aren't UTF-8, for which the file is read once more.
 
     Cells of exports may hold line breaks, so a file is one task; without
     ``multi_line`` large files are split among tasks.
     """
     reader = lambda enc: spark.read.option("header", True).option("encoding", enc).option("sep", delimiter).option("multiLine", multi_line).csv(path)
     if encoding is None:
-        encoding = "UTF-8" if spark.read.text(path).limit(1000).where(~F.is_valid_utf8("value")).isEmpty() else "x-windows-949"
+        encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "x-windows-949"
     if encoding.upper() not in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "ISO-8859-1", "US-ASCII"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark 4 reads no other charset
     return _tidy(reader(encoding), columns)

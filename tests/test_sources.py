@@ -77,3 +77,9 @@ def test_rows_with_one_number_keep_their_names(spark):
     rows = [("KR1", "Zeta Corp"), ("KR1", "Alpha Inc"), ("KR2", "")]
     d = frame.build_frame(spark.createDataFrame(rows, "`공개번호` string, `출원인` string"), {"pub_number": "공개번호", "applicant": "출원인"}).df
     assert sorted((r["doc_id"], r["applicant"], r["co_applicants"]) for r in d.collect()) == [("KR1", "ALPHA", ["ALPHA"]), ("KR1", "ZETA", ["ZETA"]), ("KR2", "", [])]
+
+
+def test_encoding_is_found_wherever_it_shows(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes("\n".join(["name,n", *[f"plain {i},{i}" for i in range(3000)], "삼성,1"]).encode("cp949"))
+    got = sources.read_csv(spark, str(tmp_path / "late.csv"))
+    assert got.where("name = '삼성'").count() == 1 and got.count() == 3001
