@@ -97,12 +97,20 @@ def entropy_global(counts: DataFrame, keys: list[str], kinds: int | Column, valu
 # --- yearly series -----------------------------------------------------------
 
 
-def dense_years(counts: DataFrame, keys: list[str], value: str = "n", year_min: int | None = None, year_max: int | None = None) -> DataFrame:
-    """keys, year, value: zero-filled from each key's first year (or year_min) to its last (or year_max)."""
+def _dense(counts: DataFrame, keys: list[str], value: str, year_min: int | None = None, year_max: int | None = None) -> DataFrame:
+    """keys, _lo, _hi, year, value: zero-filled from _lo to _hi. One aggregation by the keys, which later ones by them reuse; ``counts`` is read once."""
     lo = F.lit(year_min) if year_min is not None else F.min("year")
     hi = F.lit(year_max) if year_max is not None else F.max("year")
-    spans = counts.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("year"))
-    return spans.join(counts.groupBy(*keys, "year").agg(F.sum(value).alias(value)), [*keys, "year"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    by_year = counts.groupBy(*keys, "year").agg(F.sum(value).alias(value))
+    some = F.map_from_entries(F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", value))))  # as many as there are years
+    spans = by_year.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"), some.alias("_by_year")).where("_lo <= _hi")
+    d = spans.select(*keys, "_lo", "_hi", "_by_year", F.explode(F.sequence("_lo", "_hi")).alias("year"))
+    return d.select(*keys, "_lo", "_hi", "year", F.coalesce(F.try_element_at("_by_year", "year"), F.lit(0)).alias(value))
+
+
+def dense_years(counts: DataFrame, keys: list[str], value: str = "n", year_min: int | None = None, year_max: int | None = None) -> DataFrame:
+    """keys, year, value: zero-filled from each key's first year (or year_min) to its last (or year_max)."""
+    return _dense(counts, keys, value, year_min, year_max).drop("_lo", "_hi")
 
 
 def growth_ladder(counts: DataFrame, keys: list[str], recent: int = 3, year_max: int | None = None, value: str = "n") -> DataFrame:
@@ -112,9 +120,7 @@ def growth_ladder(counts: DataFrame, keys: list[str], recent: int = 3, year_max:
     against the N before; exp(slope of log1p) - 1; slope of log1p over all.
     One aggregation: each rung is a sum or a regression over flagged rows.
     """
-    d = dense_years(counts, keys, value, year_max=year_max)
-    spans = d.groupBy(*keys).agg(F.min("year").alias("_a"), F.max("year").alias("_z"))
-    d = d.join(spans, keys).withColumn("_i", F.col("_z") - F.col("year"))
+    d = _dense(counts, keys, value, year_max=year_max).withColumnsRenamed({"_lo": "_a", "_hi": "_z"}).withColumn("_i", F.col("_z") - F.col("year"))
     r, y = F.col("_i") < recent, F.col(value).cast("double")
     k = F.least(F.max(F.col("_z") - F.col("_a")) + 1, F.lit(recent))
     a = d.groupBy(*keys).agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import metrics as M
+from ..plans.stored import stored
 from .expand import applicants_of, combo_counts, core_combinations, explode_applicants, explode_dimension, explode_pairs, explode_tech
 from .filters import applicant_mask
 
@@ -141,7 +142,7 @@ def emerging_combinations(docs: DataFrame, settings: Settings | None = None, yea
         .join(F.broadcast(n_docs))
     )
     x = x.select("a", "b", "n_ab", "growth", F.greatest(F.coalesce("growth", F.lit(0.0)), F.lit(0.0)).alias("g"), M.lift(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n_docs")).alias("lift"), "n_new_applicants", F.when(F.col("l1_a") != F.col("l1_b"), 1.0).otherwise(0.5).alias("diversity"), "active_ratio")
-    z = M.normalize(x, {"g": False, "lift": True, "n_new_applicants": True}, s.threshold("winsor_pct"))
+    z = M.normalize(stored(x), {"g": False, "lift": True, "n_new_applicants": True}, s.threshold("winsor_pct"))
     score = M.weighted_geometric_mean([(F.col("norm_g"), w["growth"]), (F.col("norm_lift"), w["lift"]), (F.col("norm_n_new_applicants"), w["new_entrants"]), (F.col("diversity"), w["diversity"])])
     return z.select("a", "b", "n_ab", "growth", "lift", "n_new_applicants", "diversity", "active_ratio", score.alias("score"))
 
@@ -155,19 +156,23 @@ def combination_growth(combos: DataFrame, recent_from: int) -> DataFrame:
     return x.select("tech", F.when(old > 0, F.try_divide((F.col("new") - old).cast("double"), old)).otherwise(F.when(F.col("new") > 0, 1.0).otherwise(0.0)).alias("combo_growth"), "adjacency")
 
 
-def lifecycle(docs: DataFrame, settings: Settings | None = None, year_max: int | None = None) -> DataFrame:
-    """tech, n, growth, age, hhi, new_entrants, active_ratio, combo_growth, avg_cites, maturity, momentum, phase."""
+def lifecycle(docs: DataFrame, settings: Settings | None = None, year_max: int | None = None, combos: DataFrame | None = None) -> DataFrame:
+    """tech, n, growth, age, hhi, new_entrants, active_ratio, combo_growth, avg_cites, maturity, momentum, phase.
+
+    ``combos``: ``combo_counts`` of the recent years, if they are known already.
+    What is used more than once (a row for each class and company, or each class) is written.
+    """
     s = settings or Settings()
     recent = int(s.threshold("recent_years"))
     y = year_max or latest_year(docs)
     rows = explode_tech(docs)
     base = rows.groupBy("tech").agg(F.count("*").alias("n"), F.min("base_year").alias("first_year"), F.avg(F.col("active_flag").cast("int")).alias("active_ratio"), F.avg("cites_forward").alias("avg_cites"))
     base = base.where(F.col("n") >= s.threshold("min_class_patents"))
-    by_company = rows.select("tech", "base_year", F.explode(applicants_of()).alias("company")).groupBy("tech", "company").agg(F.count("*").alias("n"), F.min("base_year").alias("lo"))
+    by_company = stored(rows.select("tech", "base_year", F.explode(applicants_of()).alias("company")).groupBy("tech", "company").agg(F.count("*").alias("n"), F.min("base_year").alias("lo")))
     entrants = by_company.groupBy("tech").agg(F.sum((F.col("lo") > y - recent).cast("long")).alias("new_entrants"))
     hhi = M.concentration(by_company, ["tech"]).select("tech", "hhi")
-    combos = combination_growth(combo_counts(docs, y - recent + 1), y - recent + 1).select("tech", "combo_growth")
-    series = tech_year(docs)
+    combos = combination_growth(stored(combo_counts(docs, y - recent + 1)) if combos is None else combos, y - recent + 1).select("tech", "combo_growth")
+    series = stored(tech_year(docs))
     dense = M.dense_years(series, ["tech"], "w", year_max=y)
     past = int(s.threshold("reemerging_decline_years"))
     before = F.lag("w").over(Window.partitionBy("tech").orderBy("year"))
@@ -178,7 +183,7 @@ def lifecycle(docs: DataFrame, settings: Settings | None = None, year_max: int |
     )
     x = base.join(entrants, "tech", "left").join(hhi, "tech", "left").join(combos, "tech", "left").join(M.growth_ladder(series, ["tech"], recent, year_max=y, value="w"), "tech", "left").join(drop, "tech", "left")
     x = x.withColumn("age", F.lit(y) - F.col("first_year")).withColumn("new_entrants", F.coalesce("new_entrants", F.lit(0))).withColumn("combo_growth", F.coalesce("combo_growth", F.lit(0.0)))
-    z = M.normalize(x.withColumn("total", F.col("n")), {"age": False, "total": True, "growth": False, "new_entrants": True}, s.threshold("winsor_pct"))
+    z = M.normalize(stored(x.withColumn("total", F.col("n"))), {"age": False, "total": True, "growth": False, "new_entrants": True}, s.threshold("winsor_pct"))
     g = F.coalesce("growth", F.lit(0.0))
     again = F.coalesce((F.col("years") >= recent + past) & (F.col("past_slope") <= 1e-9) & F.col("rises") & (F.col("new_entrants") >= 1) & (F.col("combo_growth") > 0), F.lit(False))
     least = s.threshold("emerging_min_growth")
@@ -465,13 +470,14 @@ def opportunity(docs: DataFrame, settings: Settings | None = None, year_max: int
     recent, w = int(s.threshold("recent_years")), s.weights("opportunity")
     y = year_max or latest_year(docs)
     rows = explode_tech(docs)
-    life = lifecycle(docs, s, y).select("tech", "n", "growth", "new_entrants", "combo_growth")
+    found = stored(combo_counts(docs, y - recent + 1))
+    life = lifecycle(docs, s, y, found).select("tech", "n", "growth", "new_entrants", "combo_growth")
     said = rows.select("tech", "doc_id", F.explode("_problems").alias("p"))
     problems = said.groupBy("tech").agg((1 - F.count_distinct("p") / F.count_distinct("doc_id")).alias("problem_recurrence"))
     late = (F.col("base_year") > y - recent).cast("int")
     words = rows.select("tech", late.alias("late"), F.explode("_keywords").alias("k")).groupBy("tech").agg(F.count_distinct(F.when(F.col("late") == 1, F.col("k"))).alias("now"), F.count_distinct(F.when(F.coalesce("late", F.lit(0)) == 0, F.col("k"))).alias("old"))
     words = words.select("tech", F.when(F.col("old") > 0, F.try_divide((F.col("now") - F.col("old")).cast("double"), F.col("old"))).otherwise(F.when(F.col("now") > 0, 1.0).otherwise(0.0)).alias("keyword_growth"))
-    combos = combo_counts(docs, y - recent + 1).where(F.col("n_ab") >= s.threshold("min_combo_patents"))
+    combos = found.where(F.col("n_ab") >= s.threshold("min_combo_patents"))
     degree = combination_growth(combos, y - recent + 1).select("tech", "adjacency")
     # The most cited tenth of a class, over its distinct counts of citations: as many rows as there are of those.
     per = Window.partitionBy("tech")
@@ -489,7 +495,7 @@ def opportunity(docs: DataFrame, settings: Settings | None = None, year_max: int
     x = x.withColumns({c: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)) for c, v in (("g", "growth"), ("combo_growth", "combo_growth"), ("keyword_growth", "keyword_growth"))}).withColumn("adjacency", F.coalesce("adjacency", F.lit(0)))
     parts = ["g", "new_entrants", "combo_growth", "keyword_growth", "problem_recurrence", "adjacency"]
     walls = ["active_grants", "cr3", "core_share", "family_countries", "years_left"]
-    z = M.normalize(x, {c: c in ("new_entrants", "adjacency", "active_grants", "family_countries", "years_left") for c in parts + walls}, s.threshold("winsor_pct"))
+    z = M.normalize(stored(x), {c: c in ("new_entrants", "adjacency", "active_grants", "family_countries", "years_left") for c in parts + walls}, s.threshold("winsor_pct"))
     names = ["growth", *parts[1:]]
     attr = M.weighted_geometric_mean([(F.col(f"norm_{c}"), w[n]) for c, n in zip(parts, names, strict=True)])
     barrier = sum((F.col(f"norm_{c}") for c in walls), F.lit(0.0)) / len(walls)
