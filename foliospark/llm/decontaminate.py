@@ -35,7 +35,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, limit: int
 
     Null texts have no words. Several rows with one doc_id are judged on their
     own; a null item_id is matched but can't be listed in ``items``. An empty
-    benchmark leaves every document clean.
+    benchmark leaves every document clean, an empty table gives no row. Texts and
+    items are read whole, however long; items with equal windows are all listed.
+    Other columns play no part, whatever their names.
     """
     per_item = benchmark_windows(benchmark, n)
     distinct = per_item.select("len", "window").distinct()

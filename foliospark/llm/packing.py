@@ -152,8 +152,9 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
     A document is the ids of its text and then ``end_id``; a null text is empty,
     so that every row makes a piece. Only documents longer than ``capacity`` are
-    cut. Repeated rows are packed as often as they come; an empty table packs
-    into nothing.
+    cut, into as many pieces as they need. Repeated rows are packed as often as they come; an empty table packs
+    into nothing. Of pieces that are equally long any may come first. Other
+    columns than doc_id and text play no part, whatever their names.
     """
     pieces = cut(tokenized_pieces(docs, tokenizer, capacity, end_id))
     return pack(pieces, capacity).select(*[c.split()[0] for c in PIECES.split(", ")], "sequence_id", "offset")

@@ -375,7 +375,8 @@ def cut_repeats(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
 
     Null and empty texts have no bytes, and null ids are ids like others. Texts
     are read whole. Rows that are repeated as a whole repeat one another and
-    lose all from MIN_BYTES bytes on. An empty table gives an empty one; other
+    lose all from MIN_BYTES bytes on; of equal stretches none stays, as strings
+    are judged on the input. An empty table gives an empty one; other
     columns play no part.
     """
     spans = cut(repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans"))

@@ -120,7 +120,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", block
     the longer host. No rule: ``default``. A null
     url, or one without ``://``, has an empty host and path, which no rule with
     a host fits. Rules with a null in them are passed over; of two rules with
-    the same host and path the one that blocks counts.
+    the same host and path the one that blocks counts. Urls are read whole,
+    however long; an empty table gives no row, and without rules all are
+    ``default``. Other columns of ``pages`` are left out, whatever their names.
     """
     host, path = url_parts(F.col("url"))
     out = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_key", reversed_key(F.col("host")))
