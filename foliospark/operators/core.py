@@ -385,6 +385,18 @@ def cell_detail(docs: DataFrame, problem: str, solution: str, recent: int = 3) -
     return x.select("cell", "n", "growth", "active_ratio", (up / (1 + up) * (1 - F.coalesce("active_ratio", F.lit(0.0)))).alias("opportunity"))
 
 
+def cell_view(docs: DataFrame, problem: str, solution: str, top: int = 5, claim: str = "indep_claim", most: int = 600) -> DataFrame:
+    """part, name, n: a cell's documents by year, its ``top`` applicants, and the first claim by doc_id (``most`` characters, n null) where the frame has claims."""
+    d = docs.where(F.array_contains("tech_c_list", problem) & F.array_contains("tech_b_list", solution))
+    years = d.where("base_year is not null").groupBy("base_year").agg(F.count("*").alias("n")).select(F.lit("year").alias("part"), F.col("base_year").cast("string").alias("name"), "n")
+    people = explode_applicants(d).groupBy("company").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "company").limit(top).select(F.lit("applicant").alias("part"), F.col("company").alias("name"), "n")
+    out = years.unionByName(people)
+    if claim not in docs.columns:
+        return out
+    said = d.where(F.trim(claim) != "").agg(F.min_by(F.substring(claim, 1, most), "doc_id").alias("name")).where("name is not null")
+    return out.unionByName(said.select(F.lit("claim").alias("part"), "name", F.lit(None).cast("long").alias("n")))
+
+
 def own_capability(docs: DataFrame, own: Column) -> DataFrame:
     """tech, n_own, capability: 1 where documents under ``own`` have the class, 0.5 where it stands beside one of their classes, else 0; null without own documents.
 

@@ -24,10 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_FOLDERS: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written; how many there were. Frames that read them are of no use afterwards."""
+    application, jvm = spark.sparkContext.applicationId, spark._jvm
+    folders = _FOLDERS.pop(application, [])
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _MADE if k[0] == application]:
+        del _MADE[key]
+    return len(folders)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table: what is built on it prunes its columns and never computes it again."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,6 +13,7 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
+        self.over_docs: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def add(self, name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
         self.queries[name] = f
@@ -21,4 +22,5 @@ class Registry:
 
     def docs(self, name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
         """A query over the standard frame."""
+        self.over_docs[name] = f
         self.add(name, lambda spark, sf_dir: f(document_frame(spark, sf_dir)), sql)

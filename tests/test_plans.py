@@ -1,8 +1,11 @@
 """How often the analyses read the document frame."""
 
+import pathlib
+
 import pytest
 
 from foliospark.operators import core
+from foliospark.plans import stored
 from foliospark.plans.stored import document_frame
 
 
@@ -30,3 +33,20 @@ def test_scans_of_the_frame(spark, monkeypatch, analysis, most):
     result = getattr(core, analysis)(docs)
     scans.append(scans_of(result, path))
     assert 0 < sum(scans) <= most, scans
+
+
+def test_written_tables_are_made_anew_and_released(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(str(tmp_path / "t"))
+
+    assert [stored.once(spark, str(tmp_path), "x", make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "t"))
+    table = stored.once(spark, str(tmp_path), "x", make)
+    assert table.count() == 8 and len(made) == 2
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert pathlib.Path(folder).exists()
+    assert stored.release(spark) >= 2 and not pathlib.Path(folder).exists() and stored.release(spark) == 0
