@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from .encode import CACHES, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of each of a worker's memos.
-MEMO = 400_000
+#: Entries of each of a worker's two memos, some 250 bytes each.
+MEMO = 100_000
 #: Fixed value: how the vocabulary file's pre-tokenizer cuts a text.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~¡-ͯ]+")
@@ -124,6 +124,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = chunk_tokenizer(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
+            text = None
             ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = tok.of(text.as_py() or "") + end
@@ -134,6 +135,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            del batch, text  # not kept while the next batch is read
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],

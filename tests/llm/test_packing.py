@@ -62,3 +62,14 @@ def test_plan_is_near_the_bound():
 def test_matching_pairs_all_that_can_be():
     for hist, bins in (({683: 4}, 2), ({1024: 3, 1025: 1}, 3), ({1300: 2, 700: 2, 690: 1}, 3), ({1000: 1, 1040: 1}, 1), ({2048: 3}, 3), ({1000: 1, 1048: 1, 1047: 1, 1001: 1}, 2)):
         assert packing.plan(hist, 2048)[1] == bins, hist
+
+
+def test_a_workers_memos_stay_small():
+    """Of the pipeline's last stage: with 400,000 entries each they took 77 MB of every worker here."""
+    import sys
+
+    tok = tokens.ChunkTokenizer(tokens.default_tokenizer())
+    for i in range(0, 200_000, 1000):
+        tok.of(" ".join(f"w{j:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(7**6 + i, 7**6 + i + 1000)))
+    held = [d for m in (tok.chunks, tok.words) for d in (m, m.old)]
+    assert sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in held) < 32e6
