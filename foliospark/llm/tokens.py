@@ -1,35 +1,40 @@
 """Token ids of whole texts by a public tokenizer, batch by batch.
 
 White space ends a token in this vocabulary, so a text's ids are those of its
-blank-separated chunks in a row. Chunks repeat, so their ids are looked up in a
-bounded memo of each worker; an unseen chunk of plain letters is cut up further
-by the vocabulary's own pattern, and anything unusual is left to the tokenizer
-as it stands.
+blank-separated chunks in a row. Chunks repeat, so each of a few texts
+(``encode.CHUNK``) is cut up once: letters and the marks after them by Arrow's kernels, other
+plain chunks by the vocabulary's own pattern, and anything unusual is left to
+the tokenizer as it stands. Words' ids are kept in a bounded memo of each worker.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .encode import CACHES, tidy
+from .encode import CACHES, encoded, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of each of a worker's two memos, some 250 bytes each.
-MEMO = 100_000
+#: Entries of a worker's memos of words and of odd chunks, some 130 bytes each.
+MEMO, ODD = 170_000, 30_000
 #: Fixed value: how the vocabulary file's pre-tokenizer cuts a text.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[!-~¡-ͯ]+")
 LAST_PLAIN = "ͯ"
 #: Marks that may stand after a word as one piece; an apostrophe may begin a piece of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters whose lower case is one of them too, and which normalisation leaves alone.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def default_tokenizer() -> str:
@@ -74,7 +79,7 @@ class ChunkTokenizer:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, ODD)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         alike = "Don't stop:éÜß ¿qué? x_1 "
         self.fast = self.of(alike) == self._whole(alike)
@@ -108,6 +113,46 @@ class ChunkTokenizer:
             return self._whole(text)
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``chunks`` in a row, and how many each has."""
+        n = len(chunks)
+        worded = pc.match_substring_regex(chunks, f"^[{LETTERS}]+[{re.escape(MARKS)}]*$")
+        plain, at = chunks.filter(worded), np.flatnonzero(np.asarray(worded))
+        words = pc.utf8_lower(pc.utf8_rtrim(plain, characters=MARKS)).dictionary_encode()
+        marks = pc.replace_substring_regex(plain, f"^[{LETTERS}]+", "").dictionary_encode()
+        others = chunks.filter(pc.invert(worded)).to_pylist()
+        parts = [self.words[w] for w in words.dictionary.to_pylist()]
+        first, second = np.zeros(n, np.int64), np.full(n, -1)
+        first[at], second[at] = np.asarray(words.indices), len(parts) + np.asarray(marks.indices).astype(np.int64)
+        parts += [self.words[m] if m else b"" for m in marks.dictionary.to_pylist()]
+        first[~np.asarray(worded)] = len(parts) + np.arange(len(others))
+        parts += map(self.chunks.__getitem__, others)
+        second[second < 0] = len(parts)
+        parts.append(b"")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, each = _gathered(np.frombuffer(b"".join(parts), "<u4"), lengths, np.column_stack([first, second]).ravel())
+        return ids, each.reshape(-1, 2).sum(axis=1)
+
+    def of_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``of`` each text, or of an empty one for null."""
+        if not self.fast:
+            yield from (self.of(t or "") for t in texts.to_pylist())
+            return
+        for e in encoded(texts, lambda x: pc.split_pattern(pc.replace_substring(x, "\n", " "), " ")):
+            ids, each = _gathered(*self._distinct(e.words), e.codes)
+            ends = np.append(0, np.cumsum(each))[np.append(0, e.ends)]
+            yield from (ids[a:b].tobytes() for a, b in pairwise(ends.tolist()))
+
+
+def _gathered(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``values``, cut into runs of ``lengths``, the runs numbered ``chosen`` in a row, and their lengths."""
+    each = lengths[chosen]
+    before = (np.cumsum(lengths) - lengths)[chosen] - (np.cumsum(each) - each)
+    kind = np.int32 if each.sum() < 1 << 31 > len(values) else np.int64  # half the memory, for all but giant texts
+    at = np.repeat(before.astype(kind), each)
+    at += np.arange(len(at), dtype=kind)
+    return values[at], each
+
 
 @lru_cache(maxsize=1)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
@@ -124,10 +169,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = chunk_tokenizer(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            text = None
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = tok.of(text.as_py() or "") + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), tok.of_all(batch.column(1)), strict=True):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     ids.append(doc_id)
@@ -135,7 +179,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            del batch, text  # not kept while the next batch is read
+            del batch  # not kept while the next batch is read
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
