@@ -9,7 +9,9 @@ counts or lists, whether dates exist) come from one aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -77,20 +79,20 @@ def _share(test: Column, of: Column) -> Column:
 
 def _facts(c: DataFrame, wanted: set[str] | None = None) -> dict[str, Any]:
     """What depends on all rows (of it what is ``wanted``), in one aggregation; whether there is any date, in a look for the first."""
-    said = {k: P.present(F.col(k)) for k in LABELS}
-    prefix = lambda k: F.coalesce(F.col(k), F.lit("")).rlike(r"^\s*[A-Za-z]{2}")
+    said = lambda k: P.present(F.col(k))
+    prefix = lambda k: F.avg(F.coalesce(F.col(k), F.lit("")).rlike(r"^\s*[A-Za-z]{2}").cast("int"))
     country = F.trim("country")
-    exprs = {
-        **{f"has_{k}": F.max(F.coalesce(said[k], F.lit(False)).cast("int")) for k in ("tech_multi", "tech_l1", "tech_l2", "tech_l3", "tech_b_l1", "tech_b_l2", "tech_b_l3", "tech_c_l1", "tech_c_l2", "tech_c_l3", "is_granted", "reg_number")},
-        "country_code": _share(country.rlike("^[A-Za-z]{2,3}$"), said["country"]),
-        "country_short": _share((F.length(country) <= 8) & ~country.rlike(r"^[+-]?\d+(\.\d+)?$") & ~country.rlike(r"\d{4}"), said["country"]),
-        **{f"prefix_{k}": F.avg(prefix(k).cast("int")) for k in ("pub_number", "app_number", "reg_number")},
-        **{f"numeric_{k}": _share(F.trim(k).rlike(r"^[+-]?[\d,]+(\.\d+)?$"), said[k]) for k in KINDS["count_or_list"]},
+    exprs: dict[str, Callable[[], Column]] = {
+        **{f"has_{k}": lambda k=k: F.max(F.coalesce(said(k), F.lit(False)).cast("int")) for k in ("tech_multi", "tech_l1", "tech_l2", "tech_l3", "tech_b_l1", "tech_b_l2", "tech_b_l3", "tech_c_l1", "tech_c_l2", "tech_c_l3", "is_granted", "reg_number")},
+        "country_code": lambda: _share(country.rlike("^[A-Za-z]{2,3}$"), said("country")),
+        "country_short": lambda: _share((F.length(country) <= 8) & ~country.rlike(r"^[+-]?\d+(\.\d+)?$") & ~country.rlike(r"\d{4}"), said("country")),
+        **{f"prefix_{k}": partial(prefix, k) for k in ("pub_number", "app_number", "reg_number")},
+        **{f"numeric_{k}": lambda k=k: _share(F.trim(k).rlike(r"^[+-]?[\d,]+(\.\d+)?$"), said(k)) for k in KINDS["count_or_list"]},
         # Rows without a number of their own.
-        "unnumbered": F.count(F.when(F.coalesce(*_ids()).isNull(), 1)),
-        "granted_known": F.count(P.parse_bool(F.col("is_granted"))),
+        "unnumbered": lambda: F.count(F.when(F.coalesce(*_ids()).isNull(), 1)),
+        "granted_known": lambda: F.count(P.parse_bool(F.col("is_granted"))),
     }
-    found = c.agg(*[v.alias(k) for k, v in exprs.items() if wanted is None or k in wanted]).first().asDict()
+    found = c.agg(*[v().alias(k) for k, v in exprs.items() if wanted is None or k in wanted]).first().asDict()
     if wanted is None or "dated" in wanted:  # ends at the first row with a date
         found["dated"] = not c.where(F.coalesce(*[P.parse_date(F.col(k)) for k in ("app_date", "priority_date", "pub_date")]).isNotNull()).isEmpty()
     return found
@@ -120,26 +122,27 @@ def build_frame(raw: DataFrame, mapping: dict[str, str], applicant_rules: dict[s
     asked = lambda k: columns is None or k in columns
     chosen = lambda of: {k: v for k, v in of.items() if asked(k)}
     col = F.col
-    # Parsers are built for mapped concepts only: a plan of a hundred parsers of nothing takes long to make.
+    # Parsers are built for mapped concepts and asked columns only: a plan of a hundred parsers of nothing takes long to make.
     of = lambda k, parse, kind: parse(col(k)) if k in present else F.lit(None).cast(kind)
-    typed: dict[str, Column] = {k: of(k, P.parse_date, "date") for k in KINDS["date"]}
-    typed |= {k: of(k, P.parse_numeric, "double") for k in KINDS["number"]}
-    typed |= {k: of(k, P.parse_bool, "boolean") for k in KINDS["bool"]}
+    typed: dict[str, Callable[[], Column]] = {k: partial(of, k, P.parse_date, "date") for k in KINDS["date"]}
+    typed |= {k: partial(of, k, P.parse_numeric, "double") for k in KINDS["number"]}
+    typed |= {k: partial(of, k, P.parse_bool, "boolean") for k in KINDS["bool"]}
     counted = lambda k: P.parse_numeric if facts.get(f"numeric_{k}", 1) >= 0.5 else lambda c: F.when(P.present(c), P.list_length(c)).cast("double")
-    typed |= {k: of(k, counted(k), "double") for k in KINDS["count_or_list"]}
-    typed |= {k: P.parse_multi(col(k)) if k in present else _empty() for k in MULTI}
-    typed |= {"problem": P.clean_statement(col("problem")), "solution": P.clean_statement(col("solution")), "embedding": P.parse_vector(col("embedding")), "ipc_list": P.ipc_codes(col("ipc")), "ipc_sections": P.ipc_codes(col("ipc"), 1), "ipc_classes": P.ipc_codes(col("ipc"), 3)}
-    typed |= {"inventors": P.split_names(col("inventors")), "_names": P.split_names(F.when(P.present(col("applicant")), col("applicant")).otherwise(col("applicant_std"))), "legal_status_raw": col("legal_status"), "legal_status": P.legal_status(col("legal_status"))}
+    typed |= {k: partial(of, k, counted(k), "double") for k in KINDS["count_or_list"]}
+    typed |= {k: lambda k=k: P.parse_multi(col(k)) if k in present else _empty() for k in MULTI}
+    typed |= {k: lambda k=k: P.clean_statement(col(k)) for k in ("problem", "solution")} | {"embedding": lambda: P.parse_vector(col("embedding"))}
+    typed |= {k: partial(P.ipc_codes, col("ipc"), n) for k, n in (("ipc_list", 4), ("ipc_sections", 1), ("ipc_classes", 3))}
+    typed |= {"inventors": lambda: P.split_names(col("inventors")), "_names": lambda: P.split_names(F.when(P.present(col("applicant")), col("applicant")).otherwise(col("applicant_std"))), "legal_status_raw": lambda: col("legal_status"), "legal_status": lambda: P.legal_status(col("legal_status"))}
     if (asked("country") or asked("country_raw")) and max(facts["country_code"], facts["country_short"]) < 0.3:
         source = next((k for k in ("pub_number", "app_number", "reg_number") if (facts[f"prefix_{k}"] or 0) >= 0.3), None)
-        typed |= {"country_raw": col("country")} | ({"country": F.nullif(F.upper(F.regexp_extract(F.coalesce(col(source), F.lit("")), r"^\s*([A-Za-z]{2})", 1)), F.lit(""))} if source else {})
+        typed |= {"country_raw": lambda: col("country")} | ({"country": lambda: F.nullif(F.upper(F.regexp_extract(F.coalesce(col(source), F.lit("")), r"^\s*([A-Za-z]{2})", 1)), F.lit(""))} if source else {})
     text = [k for k in LABELS if k not in typed]
-    typed |= {k: F.coalesce(col(k), F.lit("")) for k in text}
+    typed |= {k: lambda k=k: F.coalesce(col(k), F.lit("")) for k in text}
     # Where every row has a number, none reads all columns for a hash.
-    typed["doc_id"] = F.coalesce(*_ids(), *([F.concat(F.lit("row-"), F.hex(F.xxhash64(*list(LABELS))))] if facts["unnumbered"] else []))
-    typed["_number"] = P.present(col("reg_number"))
-    typed["_any_year"] = F.regexp_extract(F.concat_ws(" ", *[col(k) for k in ("app_date", "priority_date", "pub_date", "app_number", "pub_number")]), r"(?<!\d)((?:19|20)\d{2})", 1).try_cast("int")
-    d = c.select(F.monotonically_increasing_id().alias("_row"), *[v.alias(k) for k, v in typed.items() if known is None or k in known])
+    typed["doc_id"] = lambda: F.coalesce(*_ids(), *([F.concat(F.lit("row-"), F.hex(F.xxhash64(*list(LABELS))))] if facts["unnumbered"] else []))
+    typed["_number"] = lambda: P.present(col("reg_number"))
+    typed["_any_year"] = lambda: F.regexp_extract(F.concat_ws(" ", *[col(k) for k in ("app_date", "priority_date", "pub_date", "app_number", "pub_number")]), r"(?<!\d)((?:19|20)\d{2})", 1).try_cast("int")
+    d = c.select(F.monotonically_increasing_id().alias("_row"), *[v().alias(k) for k, v in typed.items() if known is None or k in known])
     named = columns is None or "_names" in known
     if named:  # parsed and numbered once, whatever is asked of the frame later
         d = stored(d)
@@ -155,7 +158,7 @@ def build_frame(raw: DataFrame, mapping: dict[str, str], applicant_rules: dict[s
     levels = {"tech_l1_list": col("tech_l1"), "tech_l2_list": col("tech_l2"), "tech_l3_list": col("tech_l3"), "tech_list": main}
     if not any_class:
         levels = {"tech_l1_list": col("ipc_sections"), "tech_l2_list": col("ipc_classes"), "tech_l3_list": col("ipc_list"), "tech_list": col("ipc_list")}
-    d = d.withColumns(chosen({k: ruled(v) for k, v in levels.items()} | {"tech_b_list": _levels("tech_b_", facts), "tech_c_list": _levels("tech_c_", facts), "agents": col("agent")}))
+    d = d.withColumns({k: ruled(v) for k, v in chosen(levels).items()} | chosen({"tech_b_list": _levels("tech_b_", facts), "tech_c_list": _levels("tech_c_", facts), "agents": col("agent")}))
     if not named:
         return Documents(d.select(*dict.fromkeys(["doc_id", *columns])), present)
 

@@ -154,10 +154,12 @@ def validate_mapping(df: DataFrame, mapping: dict[str, dict], rows: int = 300) -
     for concept, m in mapping.items():
         c = F.col(f"`{m['column']}`").cast("string")
         said, k = P.present(c), kind_of(concept)
-        number = F.trim(c).rlike(r"^[+-]?[\d,]+(\.\d+)?$")
-        tests = {"date": P.parse_date(c).isNotNull(), "number": P.parse_numeric(c).isNotNull(), "count_or_list": P.parse_numeric(c).isNotNull() | (F.size(P.parse_multi(c)) > 0), "country": F.length(F.trim(c)) <= 8, "text": number | P.parse_date(c).isNotNull()}
+        tests = {
+            "date": lambda c: P.parse_date(c).isNotNull(), "number": lambda c: P.parse_numeric(c).isNotNull(), "count_or_list": lambda c: P.parse_numeric(c).isNotNull() | (F.size(P.parse_multi(c)) > 0), "country": lambda c: F.length(F.trim(c)) <= 8,
+            "text": lambda c: F.trim(c).rlike(r"^[+-]?[\d,]+(\.\d+)?$") | P.parse_date(c).isNotNull(),
+        }
         if k in tests and not concept.endswith(("number", "_id", "_rep", "embedding")):
-            checks.append(F.coalesce(F.try_divide(F.sum((said & tests[k]).cast("int")), F.sum(said.cast("int"))), F.lit(-1.0)).alias(concept))
+            checks.append(F.coalesce(F.try_divide(F.sum((said & tests[k](c)).cast("int")), F.sum(said.cast("int"))), F.lit(-1.0)).alias(concept))
     if not checks:
         return dict(mapping)
     share = df.limit(rows).agg(*checks).first().asDict()
