@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +23,26 @@ def _turn(options: list[Column], by: Column) -> Column:
     return F.coalesce(*[F.when(turn == i, x) for i, x in enumerate(options)])  # of the options one is computed
 
 
-def untidy(docs: DataFrame) -> DataFrame:
-    """Text columns under the headers of an export: dates in six layouts, names with legal forms, classes in three kinds of lists."""
+def _headed() -> dict[str, tuple[str, Callable[[], Column]]]:
+    """By the header of a text column the columns of a document that it is made of, and how."""
     c = F.col
     day = lambda d: _turn([F.date_format(d, f) for f in ("yyyy-MM-dd", "yyyy.M.d", "yyyy/MM/dd", "yyyyMMdd")] + [F.concat(F.lit("10-2020-0123456 ("), F.date_format(d, "yyyy-MM-dd"), F.lit(")")), F.concat(F.year(d), F.lit("년 "), F.month(d), F.lit("월 "), F.day(d), F.lit("일"))], c("doc_id"))
     dressed = lambda x, i: _turn([F.concat(x, F.lit(" Co., Ltd.")), F.concat(F.lit("(주)"), x), F.concat(F.lower(x), F.lit(" corp")), x], c("doc_id") + i)
     lists = lambda x: _turn([F.to_json(F.concat(x, F.slice(x, 1, 1))), F.concat_ws("|", x), F.concat(F.concat_ws("; ", x), F.lit("; nan"))], c("doc_id"))
-    return docs.select(
-        F.concat(F.lit("KR10-"), "base_year", F.lit("-"), F.lpad(c("doc_id").cast("string"), 9, "0"), F.lit("A")).alias("공개번호"), day(c("app_date")).alias("출원일"), day(c("reg_date")).alias("등록일"),
-        F.array_join(F.transform("co_applicants", dressed), "; ").alias("출원인"), F.concat("owner", F.lit(" Inc.")).alias("현재 권리자"), F.array_join("inventors", "; ").alias("발명자"),
-        lists(c("tech_list")).alias("다중 기술분류"), F.array_join("tech_l1_list", "; ").alias("기술 대분류"), F.when(F.size("tech_list") > 2, F.get("tech_b_list", F.lit(0))).otherwise("").alias("기술 중분류"),
-        F.when(c("legal_status") == "Granted-Active", "등록").when(c("legal_status") == "Pending", "공개").otherwise("").alias("법적상태"), F.when(c("is_granted"), "Y").when(~c("is_granted"), " no ").otherwise("").alias("등록 여부"),
-        F.concat(c("cites_forward").cast("long").cast("string"), F.lit("건")).alias("피인용 수"), F.format_number(c("claims_count") * 100, 0).alias("청구항 수"), c("class_confidence").cast("string").alias("분류 신뢰도"), F.substring("country", 1, 2).alias("국가"),
-        F.concat(F.lit("본 발명은 "), F.get("agents", F.lit(0)), F.lit("을 제공하는 것이다")).alias("해결과제"), F.get("tech_c_list", F.lit(0)).alias("해결수단"), _turn([F.lit(x) for x in IPC], c("doc_id")).alias("IPC/CPC 분류"),
-        F.when(F.size("tech_list") >= 3, "예").when(F.size("tech_list") == 2, "무").otherwise("").alias("심사청구 여부"), F.when(c("oa_count") > 2, "Y").otherwise("").alias("분할출원 여부"), F.lower(F.substring("country", 1, 2)).alias("최우선출원국가"),
-    )
+    return {
+        "공개번호": ("doc_id base_year", lambda: F.concat(F.lit("KR10-"), "base_year", F.lit("-"), F.lpad(c("doc_id").cast("string"), 9, "0"), F.lit("A"))), "출원일": ("doc_id app_date", lambda: day(c("app_date"))), "등록일": ("doc_id reg_date", lambda: day(c("reg_date"))),
+        "출원인": ("doc_id co_applicants", lambda: F.array_join(F.transform("co_applicants", dressed), "; ")), "현재 권리자": ("owner", lambda: F.concat("owner", F.lit(" Inc."))), "발명자": ("inventors", lambda: F.array_join("inventors", "; ")),
+        "다중 기술분류": ("doc_id tech_list", lambda: lists(c("tech_list"))), "기술 대분류": ("tech_l1_list", lambda: F.array_join("tech_l1_list", "; ")), "기술 중분류": ("tech_list tech_b_list", lambda: F.when(F.size("tech_list") > 2, F.get("tech_b_list", F.lit(0))).otherwise("")),
+        "법적상태": ("legal_status", lambda: F.when(c("legal_status") == "Granted-Active", "등록").when(c("legal_status") == "Pending", "공개").otherwise("")), "등록 여부": ("is_granted", lambda: F.when(c("is_granted"), "Y").when(~c("is_granted"), " no ").otherwise("")),
+        "피인용 수": ("cites_forward", lambda: F.concat(c("cites_forward").cast("long").cast("string"), F.lit("건"))), "청구항 수": ("claims_count", lambda: F.format_number(c("claims_count") * 100, 0)), "분류 신뢰도": ("class_confidence", lambda: c("class_confidence").cast("string")), "국가": ("country", lambda: F.substring("country", 1, 2)),
+        "해결과제": ("agents", lambda: F.concat(F.lit("본 발명은 "), F.get("agents", F.lit(0)), F.lit("을 제공하는 것이다"))), "해결수단": ("tech_c_list", lambda: F.get("tech_c_list", F.lit(0))), "IPC/CPC 분류": ("doc_id", lambda: _turn([F.lit(x) for x in IPC], c("doc_id"))),
+        "심사청구 여부": ("tech_list", lambda: F.when(F.size("tech_list") >= 3, "예").when(F.size("tech_list") == 2, "무").otherwise("")), "분할출원 여부": ("oa_count", lambda: F.when(c("oa_count") > 2, "Y").otherwise("")), "최우선출원국가": ("country", lambda: F.lower(F.substring("country", 1, 2))),
+    }
+
+
+def untidy(docs: DataFrame, headers: list[str] | None = None) -> DataFrame:
+    """Text columns (all, or those with the ``headers``) of an export: dates in six layouts, names with legal forms, classes in three kinds of lists."""
+    return docs.select(*[made().alias(k) for k, (_, made) in _headed().items() if headers is None or k in headers])
 
 
 def built(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
@@ -49,9 +56,10 @@ def built(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
         raw = untidy(document_frame(spark, sf_dir))
         return once(spark, sf_dir, "built", lambda: make(raw, mapping.suggest_mapping(raw.columns)))
     # Of the documents only what the columns need is gathered, and written once for the passes over it.
-    raw, needed = untidy(documents(spark, sf_dir)), frame.concepts_of(columns)
-    found = {k: v for k, v in mapping.suggest_mapping(raw.columns).items() if k in needed}
-    return make(stored(raw.select(*[f"`{v['column']}`" for v in found.values()])), found)
+    headed, needed = _headed(), frame.concepts_of(columns)
+    found = {k: v for k, v in mapping.suggest_mapping(list(headed)).items() if k in needed}
+    headers = [v["column"] for v in found.values()]
+    return make(stored(untidy(documents(spark, sf_dir, {x for h in headers for x in headed[h][0].split()}), headers)), found)
 
 
 def _add(name: str, columns: str, f, text: str) -> None:  # noqa: ANN001
