@@ -91,8 +91,12 @@ def rename_list(df: DataFrame, names: DataFrame, column: str, out: str, row: str
 
 
 def canonical_owner(df: DataFrame, names: DataFrame) -> DataFrame:
-    """``df`` with owner: the assignee under the spelling that is most frequent among applicants of the same standard name."""
-    counted = df.groupBy("applicant").agg(F.count("*").alias("n"))
+    """``df``, of lists _names, with owner: the assignee under the spelling that is most frequent among applicants of the same standard name.
+
+    An applicant is the first of a list under its display name. Names are counted as they stand and then shown, each once instead of row by row.
+    """
+    first = df.groupBy(F.get("_names", F.lit(0)).alias("raw")).agg(F.count("*").alias("n")).join(names.select("raw", "display"), "raw", "left")
+    counted = first.groupBy(F.coalesce("display", "raw", F.lit("")).alias("applicant")).agg(F.sum("n").alias("n"))
     spelt = counted.join(names.select(F.col("display").alias("applicant"), "auto").distinct(), "applicant").groupBy("auto").agg(F.min_by("applicant", F.struct(-F.col("n"), "applicant")).alias("_spelling"))
     owners = df.select(F.col("assignee").alias("raw")).where("trim(raw) <> ''").distinct().withColumn("auto", _standard("raw")).join(spelt, "auto", "left").select(F.col("raw").alias("assignee"), F.coalesce("_spelling", F.nullif(F.col("auto"), F.lit(""))).alias("owner"))
     return df.join(owners, "assignee", "left")
