@@ -189,7 +189,9 @@ def block_table_pairs(fingerprints: DataFrame, columns: list[str], radius: int =
     The bits are cut into ``blocks`` blocks; ``radius`` differing bits touch
     ``radius`` blocks at most, so two such fingerprints agree in all the other
     blocks: there is a table for each choice of blocks - radius blocks, sorted by
-    these, and every table is searched by equality.
+    these, and every table is searched by equality. Spark takes a table of
+    entries for as small as the fingerprints it is exploded from, so that it
+    would broadcast one of many times its limit; the join is told to sort both.
     """
     total = 64 * len(columns)
     edges = [round(total * i / blocks) for i in range(blocks + 1)]
@@ -206,7 +208,7 @@ def block_table_pairs(fingerprints: DataFrame, columns: list[str], radius: int =
     left, right = entries.select(F.col("fp").alias("a"), "key", "t"), entries.select(F.col("fp").alias("b"), "key")
     differing = {c: F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in columns}
     distance = reduce(lambda x, y: x + y, [F.bit_count(x) for x in differing.values()])
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (distance <= radius))
+    met = left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & (distance <= radius))
     # A pair may meet in several tables: the first of them counts, so that no pair is sent on to be compared.
     alike = [reduce(lambda x, y: x & y, [differing[c].bitwiseAND(F.lit(m).cast("long")) == 0 for c, m in zip(columns, masks(chosen), strict=True)]) for chosen in tables]
     first = F.coalesce(*[F.when(x, t) for t, x in enumerate(alike)])
